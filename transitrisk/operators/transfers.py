@@ -212,3 +212,79 @@ def stay_aboard(boardings: DataFrame, queries: DataFrame, sr: DataFrame, mode: s
     return e.select("query_id", "T", "target", "threshold", "bound", "edge_id",
                     F.lit(False).alias("virtual"), "to_node", "to_t", "from_node", "path_id",
                     "trip_id", "day_start", "dist_id", "best")
+
+
+def transfer_table(rides: DataFrame, walks: DataFrame | None, grids: DataFrame,
+                   params: SearchParams = SearchParams(), direct: bool = True,
+                   cutoff: bool = True) -> DataFrame:
+    """Query-independent transfer pairs x → (walk) → e.
+
+    e departs within 24 h after x arrives (plus the walk), from x's arrival
+    stop or a stop walkable from it; never the same run, never another run
+    of the same path, no immediate return. The join key is (stop, hour of
+    week), so a hub stop is spread over 168 keys. ``cutoff`` keeps, per
+    (x, via stop, next stop, path), the candidates up to and including the
+    first with probability above ``params.cutoff`` (forward order).
+    """
+    x = rides.select(F.col("edge_id").alias("x_edge"), F.col("trip_id").alias("x_trip"),
+                     F.col("day_start").alias("x_day"), F.col("path_id").alias("x_path"),
+                     F.col("dep_node").alias("x_dep"), F.col("arr_node").alias("x_arr"),
+                     F.pmod("arr_sow", F.lit(WEEK_S)).alias("xa"), F.col("dist_id").alias("x_dist"))
+    parts = []
+    if direct:
+        parts.append(x.select("*", F.col("x_arr").alias("via"), F.lit(0).alias("walk_s"),
+                              F.lit(None).cast("string").alias("prev_node")))
+    if walks is not None:
+        w = walks.select(F.col("dep_node").alias("_wa"), F.col("arr_node").alias("via"),
+                         F.col("walk_s").cast("int").alias("walk_s"), "prev_node")
+        parts.append(x.join(w, x.x_arr == w._wa).where(F.col("via") != F.col("x_dep")).drop("_wa"))
+    v = parts[0]
+    for p in parts[1:]:
+        v = v.unionByName(p)
+    lo = F.col("xa") + F.col("walk_s")
+    hi = F.col("xa") + F.lit(DAY_S)
+    v = v.where(F.col("walk_s") <= DAY_S).withColumn(
+        "bin", F.explode(F.transform(F.sequence(F.floor(lo / HOUR_S), F.floor(hi / HOUR_S)),
+                                     lambda b: F.pmod(b, F.lit(BINS)).cast("int"))))
+    e = rides.select(F.col("edge_id").alias("e_edge"), F.col("trip_id").alias("e_trip"),
+                     F.col("day_start").alias("e_day"), F.col("path_id").alias("e_path"),
+                     F.col("dep_node").alias("e_dep"), F.col("arr_node").alias("e_arr"),
+                     F.pmod("dep_sow", F.lit(WEEK_S)).alias("ed"),
+                     (F.col("arr_sow") - F.col("dep_sow")).alias("e_dur"),
+                     F.floor(F.pmod("dep_sow", F.lit(WEEK_S)) / HOUR_S).cast("int").alias("e_bin"))
+    j = v.join(e, (v.via == e.e_dep) & (v.bin == e.e_bin))
+    gap = F.pmod(F.col("ed") - F.col("xa"), F.lit(WEEK_S))
+    j = j.withColumn("gap", gap.cast("int"))
+    is_walk = F.col("prev_node").isNotNull()
+    p14 = F.when(is_walk, F.col("e_arr") != F.col("prev_node")).otherwise(F.col("e_arr") != F.col("x_dep"))
+    j = j.where((F.col("gap") >= F.col("walk_s")) & (F.col("gap") <= DAY_S)
+                & ((F.col("x_trip") != F.col("e_trip")) | (F.col("x_day") != F.col("e_day")))
+                & (F.col("x_path") != F.col("e_path")) & p14)
+    j = j.withColumn("slack", (F.col("gap") - F.col("walk_s") - F.lit(params.buffer_s)).cast("int"))
+    j = with_cdf(j, grids, "x_dist", "slack", "p")
+    if cutoff:
+        w5 = (Window.partitionBy("x_edge", "via", "e_arr", "e_path")
+              .orderBy(F.col("gap") + F.col("e_dur"), "gap", "e_edge")
+              .rowsBetween(Window.unboundedPreceding, -1))
+        j = j.withColumn("_seen", F.max((F.col("p") > params.cutoff).cast("int")).over(w5)) \
+             .where(F.coalesce(F.col("_seen"), F.lit(0)) == 0).drop("_seen")
+    return j.select("x_edge", "e_edge", "via", "walk_s", "gap", "slack", "p")
+
+
+def horizon_rides(q: DataFrame, sr: DataFrame, mode: str) -> DataFrame:
+    """Rides leaving each query's start stop inside its 24-hour horizon (P12),
+    joined on (stop, hour-of-week bin). q: query_id, T, start."""
+    lo, hi = F.lit(1), F.lit(DAY_S)
+    qb = q.withColumn("bin", F.explode(window_bins(mode, lo, hi)))
+    j = qb.join(sr.withColumnRenamed("bin", "r_bin"),
+                (qb.start == sr.from_node) & (qb.bin == F.col("r_bin")))
+    j = j.withColumns(rel_times(mode))
+    return j.where(in_horizon(mode)).drop("bin", "r_bin")
+
+
+def seed_rides(q: DataFrame, sr: DataFrame, mode: str) -> DataFrame:
+    """First ride per (query, next stop, path) from the start stop (J13, W4,
+    A15): ordered by arrival (depart) or by departure, latest first (arrive)."""
+    h = horizon_rides(q, sr, mode)
+    w = Window.partitionBy("query_id", "to_node", "path_id").orderBy("to_t", "from_t", "edge_id")
+    return h.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")

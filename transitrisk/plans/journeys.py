@@ -262,3 +262,16 @@ def itinerary_display(itin: DataFrame, stops: DataFrame) -> DataFrame:
     return (itin.join(stops.select(F.col("stop").alias("dep_node"), F.col("lon"), F.col("lat")), "dep_node", "left")
             .withColumns({"dep_day": F.floor(F.pmod("dep_sow", F.lit(WEEK_S)) / DAY_S),
                           "dep_clock": format_hms("dep_sow"), "arr_clock": format_hms("arr_sow")}))
+
+
+def direction_flags(df: DataFrame, stops: DataFrame, from_col: str, to_col: str, target_col: str) -> DataFrame:
+    """``nice`` = the edge ends closer to the target than it starts.
+    Coordinates come through equi-joins on the stop name."""
+    from transitrisk.functions.geo import haversine_m
+    c = lambda p: stops.select(F.col("stop").alias(f"{p}_stop"), F.col("lat").alias(f"{p}_lat"),
+                               F.col("lon").alias(f"{p}_lon"))
+    j = (df.join(c("a"), F.col(from_col) == F.col("a_stop"))
+         .join(c("b"), F.col(to_col) == F.col("b_stop"))
+         .join(c("t"), F.col(target_col) == F.col("t_stop")))
+    nice = haversine_m("b_lat", "b_lon", "t_lat", "t_lon") < haversine_m("a_lat", "a_lon", "t_lat", "t_lon")
+    return j.withColumn("nice", nice).drop(*[f"{p}_{k}" for p in "abt" for k in ("stop", "lat", "lon")])

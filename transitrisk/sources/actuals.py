@@ -76,7 +76,7 @@ def normalize_actuals(raw: DataFrame, drop_outliers: bool = True) -> DataFrame:
           .withColumns({
               "_arr_t": F.coalesce(F.col("_arr_s"), F.col("_dep_s")),
               "_dep_t": F.coalesce(F.col("_dep_s"), F.col("_arr_s")),
-              "service_date": F.try_to_date(F.col("service_day"), F.lit(DATE_FMT)),
+              "service_date": F.try_to_date(F.col("service_day"), DATE_FMT),
           })
           .where(F.col("_arr_t").isNotNull() & F.col("service_date").isNotNull()))
     if drop_outliers:

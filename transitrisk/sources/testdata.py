@@ -207,14 +207,14 @@ v_rides AS (
 
 SQL_JSTOPS = f"""v_jstops AS (
   SELECT {SQL_RIDE_STOP} AS stop,
-         min({JSTOP_LON0} + {JSTOP_DLON} * (CAST(floor(value / 5) AS INTEGER) % 4)) AS lon,
-         min({JSTOP_LAT0} + {JSTOP_DLAT} * (ascii(event_type) - 97)) AS lat
+         min(CAST({JSTOP_LON0} AS DOUBLE) + CAST({JSTOP_DLON} AS DOUBLE) * (CAST(floor(value / 5) AS INTEGER) % 4)) AS lon,
+         min(CAST({JSTOP_LAT0} AS DOUBLE) + CAST({JSTOP_DLAT} AS DOUBLE) * (ascii(event_type) - 97)) AS lat
   FROM events GROUP BY 1)"""
 
 SQL_SSTOPS = f"""v_stops AS (
   SELECT s_name AS stop, s_suppkey AS station_id,
-         {SSTOP_LON0} + (s_suppkey % {SSTOP_COLS}) * {SSTOP_STEP} AS lon,
-         {SSTOP_LAT0} + floor(s_suppkey / {SSTOP_COLS}) * {SSTOP_STEP} AS lat,
+         CAST({SSTOP_LON0} AS DOUBLE) + (s_suppkey % {SSTOP_COLS}) * CAST({SSTOP_STEP} AS DOUBLE) AS lon,
+         CAST({SSTOP_LAT0} AS DOUBLE) + floor(s_suppkey / {SSTOP_COLS}) * CAST({SSTOP_STEP} AS DOUBLE) AS lat,
          s_nationkey AS height
   FROM supplier)"""
 
