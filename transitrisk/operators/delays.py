@@ -180,7 +180,13 @@ def cdf_grids(dists: DataFrame, max_slack: int = 86400) -> DataFrame:
             .mapInPandas(build, GRID_SCHEMA))
 
 
-def with_cdf(df: DataFrame, grids: DataFrame, dist_col: str, slack_col: str, out_col: str = "p") -> DataFrame:
+def grid_cells(grids: DataFrame) -> int:
+    """Total number of grid cells (one aggregate over the per-law table)."""
+    return int(grids.select(F.sum(F.size("grid"))).first()[0] or 0)
+
+
+def with_cdf(df: DataFrame, grids: DataFrame, dist_col: str, slack_col: str, out_col: str = "p",
+             cells: int | None = None) -> DataFrame:
     """Adds ``out_col`` = CDF of ``dist_col``'s law at integer ``slack_col``.
 
     The grid table is broadcast only when its total size is below a fixed
@@ -188,7 +194,8 @@ def with_cdf(df: DataFrame, grids: DataFrame, dist_col: str, slack_col: str, out
     equi-join on (dist_id, second) against the exploded grid.
     Rows with a null distribution get probability 1.
     """
-    cells = grids.select(F.sum(F.size("grid"))).first()[0] or 0
+    if cells is None:
+        cells = grid_cells(grids)
     d = df.withColumn("_did", F.col(dist_col).cast("string"))
     if cells <= GRID_BROADCAST_CELLS:
         j = d.join(F.broadcast(grids.withColumnRenamed("dist_id", "_did")), on="_did", how="left")

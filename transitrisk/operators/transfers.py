@@ -112,7 +112,7 @@ LABEL_COLS = ["query_id", "T", "target", "threshold", "bound", "edge_id", "virtu
 
 
 def expand(frontier: DataFrame, sr: DataFrame, sw: DataFrame, grids: DataFrame, mode: str,
-           params: SearchParams) -> DataFrame:
+           params: SearchParams, cells: int | None = None) -> DataFrame:
     """One expansion step: frontier labels → best boarding per (query, ride).
 
     frontier: LABEL_COLS (``best`` = struct(prob, start_t, pkey, hist, board)).
@@ -164,7 +164,7 @@ def expand(frontier: DataFrame, sr: DataFrame, sw: DataFrame, grids: DataFrame,
     else:
         dist = F.when(F.col("virtual") & ~F.col("is_walk"), F.lit(None)).otherwise(F.col("c_dist"))
     c = c.withColumns({"_slack": slack.cast("int"), "_dist": dist.cast("string")})
-    c = with_cdf(c, grids, "_dist", "_slack", "p")
+    c = with_cdf(c, grids, "_dist", "_slack", "p", cells)
     # Ordered cut-off per (label, via, next stop, path)
     w = (Window.partitionBy("query_id", "edge_id", "virtual", "a", "b", "c_to", "c_path")
          .orderBy("c_to_t", "c_from_t", "c_edge")

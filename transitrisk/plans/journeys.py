@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitrisk.functions.timeops import DAY_S, WEEK_S, format_hms
+from transitrisk.operators.delays import grid_cells
 from transitrisk.operators.paths import chain_segments, run_paths
 from transitrisk.operators.transfers import (LABEL_COLS, LEGS_TYPE, SearchParams, expand,
                                               orient_rides, orient_walks, ride_leg, stay_aboard,
@@ -93,6 +94,7 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
     """
     sr = orient_rides(tt.rides, mode).cache()
     sw = orient_walks(tt.walks, mode).cache()
+    cells = grid_cells(tt.grids)
     q = cut_lineage(q)
     frontier = _virtual_labels(q)
     labels = None
@@ -103,7 +105,7 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
             truncated = True
             break
         rounds += 1
-        boardings = expand(frontier, sr, sw, tt.grids, mode, params)
+        boardings = expand(frontier, sr, sw, tt.grids, mode, params, cells)
         cand = stay_aboard(boardings, q, sr, mode)
         if labels is None:
             improved = cand
@@ -155,7 +157,28 @@ def _real_times(mode: str, t: F.Column, dep_sow: F.Column, arr_sow: F.Column):
     return arr - dur, arr
 
 
-def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams()) -> tuple[DataFrame, DataFrame]:
+# Time bounds of the successive search passes (seconds after/before the query).
+DEEPENING_S = (3 * 3600, 8 * 3600, DAY_S)
+
+
+def _answers(labels: DataFrame, qf: DataFrame, sw: DataFrame) -> DataFrame:
+    """Best way to reach the target per query (A16, W6): earliest arrival,
+    then higher probability, then later start, then a stable path key."""
+    arr = _target_arrivals(labels, qf, sw)
+    order = F.struct(F.col("arr_t"), -F.col("best.prob"), -F.col("best.start_t"), F.col("best.pkey"))
+    best = (arr.groupBy("query_id")
+            .agg(F.min_by(F.struct("arr_t", "best", "edge_id", "wa", "wb", "walk_s"), order).alias("r"))
+            .select("query_id", "r.*"))
+    legs = F.col("best.hist")
+    legs = F.when(F.col("edge_id") >= 0, F.concat(legs, F.array(ride_leg(F.col("best.board"), F.col("edge_id"))))) \
+        .otherwise(legs)
+    legs = F.when(F.col("walk_s").isNotNull(),
+                  F.concat(legs, F.array(walk_leg(F.col("wa"), F.col("wb"), F.col("walk_s"))))).otherwise(legs)
+    return best.withColumn("legs", legs).join(qf.select("query_id", "T"), "query_id")
+
+
+def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(),
+         deepening: tuple[int, ...] = DEEPENING_S) -> tuple[DataFrame, DataFrame]:
     """Depart-at (G1) and arrive-by (G2) plans for a table of queries.
 
     queries(query_id, mode, dep_node, arr_node, t_sow, threshold).
@@ -164,6 +187,11 @@ def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(
       itinerary(query_id, leg, kind, trip_id, dep_node, arr_node, dep_sow, arr_sow, prob)
     Times are seconds of week in the query's frame (may pass the week's end
     or be negative around Monday 00:00).
+
+    The search runs in passes with growing time bounds (``deepening``). A
+    query answered within a pass's bound is final: every label on an
+    optimal path arrives no later than the answer, and labels within the
+    bound are computed exactly. Only unanswered queries go to the next pass.
     """
     ok, rejected = _validate(queries, tt.rides)
     summaries, itins = [], []
@@ -171,36 +199,43 @@ def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(
         qm = ok.where(F.col("mode") == mode)
         start, target = ("dep_node", "arr_node") if mode == "depart" else ("arr_node", "dep_node")
         trivial = qm.where(F.col("dep_node") == F.col("arr_node"))
-        qs = qm.where(F.col("dep_node") != F.col("arr_node")).select(
+        pending = cut_lineage(qm.where(F.col("dep_node") != F.col("arr_node")).select(
             "query_id", F.col("t_sow").cast("int").alias("T"), F.col(start).alias("start"),
-            F.col(target).alias("target"), F.col("threshold").cast("double"),
-            F.lit(DAY_S).alias("bound"))
-        labels, qf, status = search(qs, tt, mode, params, to_target=True)
+            F.col(target).alias("target"), F.col("threshold").cast("double")))
         sw = orient_walks(tt.walks, mode)
-        arr = _target_arrivals(labels, qf, sw)
-        order = F.struct(F.col("arr_t"), -F.col("best.prob"), -F.col("best.start_t"), F.col("best.pkey"))
-        best = (arr.groupBy("query_id")
-                .agg(F.min_by(F.struct("arr_t", "best", "edge_id", "wa", "wb", "walk_s"), order).alias("r"))
-                .select("query_id", "r.*"))
-        legs = F.col("best.hist")
-        legs = F.when(F.col("edge_id") >= 0, F.concat(legs, F.array(ride_leg(F.col("best.board"), F.col("edge_id"))))) \
-            .otherwise(legs)
-        legs = F.when(F.col("walk_s").isNotNull(),
-                      F.concat(legs, F.array(walk_leg(F.col("wa"), F.col("wb"), F.col("walk_s"))))).otherwise(legs)
-        best = best.withColumn("legs", legs)
-        best = cut_lineage(best.join(qf.select("query_id", "T"), "query_id"))
+        found, statuses = [], []
+        for level, bound in enumerate(deepening):
+            if level > 0 and pending.limit(1).count() == 0:
+                break
+            qs = pending.withColumn("bound", F.lit(int(bound)))
+            labels, qf, status = search(qs, tt, mode, params, to_target=True)
+            best = cut_lineage(_answers(labels, qf, sw))
+            found.append(best)
+            last = level == len(deepening) - 1
+            if last:
+                statuses.append(status)
+            else:
+                statuses.append(status.join(best.select("query_id"), "query_id", "left_semi"))
+            pending = cut_lineage(pending.join(best.select("query_id"), "query_id", "left_anti"))
+        best = found[0]
+        for b in found[1:]:
+            best = best.unionByName(b)
+        status = statuses[0]
+        for st_ in statuses[1:]:
+            status = status.unionByName(st_)
         itin = _itinerary(best, tt.rides, mode)
         itins.append(itin)
         agg = (itin.groupBy("query_id")
                .agg(F.min("dep_sow").alias("dep_sow"), F.max("arr_sow").alias("arr_sow"),
                     F.first("prob").alias("prob"),
                     F.sum((F.col("kind") == "ride").cast("int")).alias("n_rides")))
-        found = qs.select("query_id").join(agg, "query_id", "left").join(status, "query_id", "left")
+        searched = qm.where(F.col("dep_node") != F.col("arr_node")).select("query_id")
+        found_df = searched.join(agg, "query_id", "left").join(status, "query_id", "left")
         st = (F.when(F.col("prob").isNotNull(), F.lit("ok"))
               .when(F.col("truncated"), F.lit("truncated")).otherwise(F.lit("no_path")))
-        summaries.append(found.select("query_id", F.lit(mode).alias("mode"), st.alias("status"),
-                                      F.col("dep_sow").cast("int"), F.col("arr_sow").cast("int"),
-                                      "prob", F.col("n_rides").cast("int")))
+        summaries.append(found_df.select("query_id", F.lit(mode).alias("mode"), st.alias("status"),
+                                         F.col("dep_sow").cast("int"), F.col("arr_sow").cast("int"),
+                                         "prob", F.col("n_rides").cast("int")))
         summaries.append(trivial.select("query_id", F.lit(mode).alias("mode"), F.lit("trivial").alias("status"),
                                         F.col("t_sow").cast("int").alias("dep_sow"),
                                         F.col("t_sow").cast("int").alias("arr_sow"),
@@ -209,8 +244,8 @@ def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(
                                      F.lit(None).cast("int").alias("dep_sow"), F.lit(None).cast("int").alias("arr_sow"),
                                      F.lit(None).cast("double").alias("prob"), F.lit(None).cast("int").alias("n_rides")))
     summary = summaries[0]
-    for s in summaries[1:]:
-        summary = summary.unionByName(s)
+    for s_ in summaries[1:]:
+        summary = summary.unionByName(s_)
     itinerary = itins[0].unionByName(itins[1])
     return summary, itinerary
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -65,7 +66,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executors), unlike a local checkpoint.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persist first: writing a reliable checkpoint otherwise recomputes the plan
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -32,7 +32,7 @@ OBS_TRIPS = 5
 SLOT_S = 4 * 3600
 PURCHASE_DWELL_S = 300
 DWELL_S = 60
-JSTOP_LON0, JSTOP_LAT0, JSTOP_DLON, JSTOP_DLAT = 8.50, 47.37, 0.004, 0.001
+JSTOP_LON0, JSTOP_LAT0, JSTOP_DLON, JSTOP_DLAT = 8.50, 47.37, 0.02, 0.0022
 SSTOP_LON0, SSTOP_LAT0, SSTOP_STEP, SSTOP_COLS = 8.30, 47.30, 0.004, 25
 MAX_EDGE_S = 3 * 3600
 DEFAULT_THRESHOLD = 0.5
