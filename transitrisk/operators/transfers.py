@@ -191,14 +191,17 @@ def expand(frontier: DataFrame, sr: DataFrame, sw: DataFrame, grids: DataFrame,
                  F.first("seq").alias("seq")))
 
 
-def stay_aboard(boardings: DataFrame, queries: DataFrame, sr: DataFrame, mode: str) -> DataFrame:
+def stay_aboard(boardings: DataFrame, frontier: DataFrame, sr: DataFrame, mode: str) -> DataFrame:
     """Propagates each boarding along its vehicle run (probability unchanged):
     a running maximum over the run's later edges (in search direction), so no
     board/alight pairs are ever enumerated. Returns LABEL_COLS rows."""
     asc = mode == "depart"
     segs = (boardings.groupBy("query_id", "trip_id", "day_start", "seg")
             .agg((F.min("seq") if asc else F.max("seq")).alias("s0")))
-    segs = segs.join(queries.select("query_id", "T", "target", "threshold", "bound"), "query_id")
+    qcols = frontier.groupBy("query_id").agg(
+        F.first("T").alias("T"), F.first("target").alias("target"),
+        F.first("threshold").alias("threshold"), F.min("bound").alias("bound"))
+    segs = segs.join(qcols, "query_id")
     e = segs.join(sr, on=["trip_id", "day_start", "seg"])
     e = e.withColumns(rel_times(mode))
     e = e.where(in_horizon(mode) & (F.col("to_t") <= F.col("bound"))

@@ -89,15 +89,17 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
            to_target: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Runs the rounds for queries q(query_id, T, start, target, threshold, bound).
 
-    Returns (labels, q with final bound, status per query: rounds used and
-    whether the round limit cut the search).
+    Returns (labels, q, status per query: rounds used and whether the round
+    limit cut the search). Each round is one reliable checkpoint of the
+    improved labels; the per-query bound (best target arrival so far) rides
+    along in the label rows, so no other table is rewritten per round.
     """
     sr = orient_rides(tt.rides, mode).cache()
     sw = orient_walks(tt.walks, mode).cache()
     cells = grid_cells(tt.grids)
     q = cut_lineage(q)
     frontier = _virtual_labels(q)
-    labels = None
+    pieces: list[DataFrame] = []
     rounds = 0
     truncated = False
     while True:
@@ -106,36 +108,39 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
             break
         rounds += 1
         boardings = expand(frontier, sr, sw, tt.grids, mode, params, cells)
-        cand = stay_aboard(boardings, q, sr, mode)
-        if labels is None:
-            improved = cand
-        else:
-            old = labels.select("query_id", "edge_id", F.col("best").alias("old"))
-            improved = (cand.join(old, ["query_id", "edge_id"], "left")
-                        .where(F.col("old").isNull() | (F.col("best") > F.col("old"))).drop("old"))
-        improved = cut_lineage(improved)
+        cand = stay_aboard(boardings, frontier, sr, mode)
+        if pieces:
+            old = _union(pieces).groupBy("query_id", "edge_id").agg(F.max("best").alias("old"))
+            cand = (cand.join(old, ["query_id", "edge_id"], "left")
+                    .where(F.col("old").isNull() | (F.col("best") > F.col("old"))).drop("old"))
+        if to_target:
+            arr = F.when(F.col("to_node") == F.col("target"), F.col("to_t"))
+            w = Window.partitionBy("query_id")
+            cand = (cand.withColumn("bound", F.least(F.col("bound"), F.coalesce(F.min(arr).over(w), F.col("bound"))))
+                    .where(F.col("to_t") <= F.col("bound")))
+        improved = cut_lineage(cand.select(*LABEL_COLS))
         if improved.limit(1).count() == 0:
             break
-        if labels is None:
-            labels = improved
-        else:
-            labels = cut_lineage(labels.join(improved.select("query_id", "edge_id"), ["query_id", "edge_id"],
-                                             "left_anti").unionByName(improved))
+        pieces.append(improved)
         frontier = improved
-        if to_target:
-            arr = _target_arrivals(improved, q, sw).groupBy("query_id").agg(F.min("arr_t").alias("nb"))
-            q = cut_lineage(q.join(arr, "query_id", "left")
-                            .withColumn("bound", F.least("bound", F.coalesce("nb", "bound"))).drop("nb"))
-            frontier = (frontier.drop("bound").join(q.select("query_id", "bound"), "query_id")
-                        .where(F.col("to_t") <= F.col("bound")).select(*LABEL_COLS))
-    if labels is None:
+    if pieces:
+        labels = (_union(pieces).groupBy("query_id", "edge_id")
+                  .agg(F.max(F.struct("best", *[c for c in LABEL_COLS if c not in ("query_id", "edge_id", "best")]))
+                       .alias("r"))
+                  .select("query_id", "edge_id", "r.*").select(*LABEL_COLS))
+    else:
         labels = _virtual_labels(q).limit(0)
     status = q.select("query_id", F.lit(rounds).alias("rounds"), F.lit(truncated).alias("truncated"))
-    sr.unpersist()
-    sw.unpersist()
     return labels, q, status
 
 
+def _union(dfs: list[DataFrame]) -> DataFrame:
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def _validate(queries: DataFrame, rides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Splits queries into searchable ones and rejects with a reason."""
     deps = rides.select(F.col("dep_node").alias("dep_node")).distinct().withColumn("_d", F.lit(True))
