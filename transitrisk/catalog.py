@@ -303,7 +303,7 @@ def q_edge_duration(spark, d):
 _BR_COLS = ["arr_node", "arr_day", "arr_sod", "arr_row_dep_sod", "mean_delay", "std_delay", "num_delays"]
 SQL_BRIDGE = (SQL_OBS_BASE.rstrip() + f""",
 v_b0 AS (
-  SELECT *, max(CASE WHEN dep_day = arr_day AND dep_sod > arr_sod THEN 1 ELSE 0 END)
+  SELECT *, max(CASE WHEN dep_day = arr_day AND dep_sod > arr_sod AND NOT wrap THEN 1 ELSE 0 END)
               OVER (PARTITION BY trip_id, day_start) AS bad_run,
          lead(pos) OVER wp AS n_pos, """
               + ", ".join(f"lead({c}) OVER wp AS n_{c}" for c in _BR_COLS) + f"""

@@ -60,8 +60,10 @@ def consecutive_pairs(stats: DataFrame) -> DataFrame:
 
 
 def anomalies(pairs: DataFrame) -> DataFrame:
-    """Pairs departing after they arrive on the same day."""
-    return pairs.where((F.col("dep_day") == F.col("arr_day")) & (F.col("dep_sod") > F.col("arr_sod")))
+    """Pairs departing after they arrive on the same day (P8); the week
+    wrap-around pair is never an anomaly."""
+    return pairs.where((F.col("dep_day") == F.col("arr_day")) & (F.col("dep_sod") > F.col("arr_sod"))
+                       & ~F.col("wrap"))
 
 
 def bridge_repair(pairs: DataFrame, bad_stop: str) -> DataFrame:
@@ -70,8 +72,8 @@ def bridge_repair(pairs: DataFrame, bad_stop: str) -> DataFrame:
     pairs departing from it are dropped. Other runs are unchanged."""
     w = Window.partitionBy(*RUN_KEY).orderBy("pos")
     whole = Window.partitionBy(*RUN_KEY)
-    anomalous = F.max(((F.col("dep_day") == F.col("arr_day"))
-                       & (F.col("dep_sod") > F.col("arr_sod"))).cast("int")).over(whole) == 1
+    anomalous = F.max(((F.col("dep_day") == F.col("arr_day")) & (F.col("dep_sod") > F.col("arr_sod"))
+                       & ~F.col("wrap")).cast("int")).over(whole) == 1
     arrival_cols = ["arr_node", "arr_day", "arr_sod", "arr_row_dep_sod", "mean_delay",
                     "std_delay", "num_delays"] + (["delays"] if "delays" in pairs.columns else [])
     p = pairs.withColumn("_bad_run", anomalous)
