@@ -591,11 +591,19 @@ def q_cluster_gamma(spark, d):
 
 # ------------------------------------------------------------ journeys: P12-P17, J11-J13, W4, W5, F14, G1-G9
 
+_TIMETABLES: dict[tuple[str, str], object] = {}
+
+
 def _ride_timetable(spark, d):
-    from transitrisk.plans.journeys import Timetable
-    e = _events(spark, d)
-    walks = WK.walk_closure(WK.walk_pairs(V.jstops(e)))
-    return Timetable(_rides(spark, d), walks, _grids(spark, d))
+    """Journey timetable of a data folder, built once per application and
+    stored as Parquet in the shared checkpoint folder (S4), then read back
+    (S5) by every plan/isochrone query."""
+    from transitrisk.plans.journeys import build_timetable
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TIMETABLES:
+        e = _events(spark, d)
+        _TIMETABLES[key] = build_timetable(spark, _rides(spark, d), V.jstops(e), V.exp_dists(e))
+    return _TIMETABLES[key]
 
 
 def _depart_q(spark, d):

@@ -19,7 +19,7 @@ FEATURE_COLS = [f"p{p}" for p in PERCENTILES]
 DEFAULT_LOC_PAD = 1e-10
 HIST_BINS = 100
 PDF_POINTS = 1000
-GRID_BROADCAST_CELLS = 4_000_000  # ≈ 32 MB of doubles
+GRID_BROADCAST_CELLS = 2_000_000  # grid points broadcast as (law, second, p) rows
 
 
 def edge_delays(edges: DataFrame, obs: DataFrame) -> DataFrame:
@@ -185,31 +185,32 @@ def grid_cells(grids: DataFrame) -> int:
     return int(grids.select(F.sum(F.size("grid"))).first()[0] or 0)
 
 
+def cdf_tables(grids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bounds, points): one row per law with its grid range, and one row per
+    (law, second) with the CDF value."""
+    bounds = grids.select(F.col("dist_id").alias("_did"), F.col("lo").alias("_lo"),
+                          (F.col("lo") + F.size("grid") - 1).alias("_hi"))
+    pts = (grids.select(F.col("dist_id").alias("_did"), "lo", F.posexplode("grid").alias("_k", "_p"))
+           .select("_did", (F.col("lo") + F.col("_k")).alias("_s"), "_p"))
+    return bounds, pts
+
+
 def with_cdf(df: DataFrame, grids: DataFrame, dist_col: str, slack_col: str, out_col: str = "p",
-             cells: int | None = None) -> DataFrame:
+             cells: int | None = None, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Adds ``out_col`` = CDF of ``dist_col``'s law at integer ``slack_col``.
 
-    The grid table is broadcast only when its total size is below a fixed
-    bound (checked with one aggregate); otherwise the lookup becomes an
-    equi-join on (dist_id, second) against the exploded grid.
-    Rows with a null distribution get probability 1.
+    Equi-join on (law, slack clamped to the law's grid) against one row per
+    grid point. The point table is broadcast only when its size (checked
+    with one aggregate) is below a fixed bound; beyond it the join shuffles.
+    The per-law bounds table has one row per law and is always broadcast.
+    Rows with a null law get probability 1.
     """
     if cells is None:
         cells = grid_cells(grids)
+    bounds, pts = tables or cdf_tables(grids)
+    pts = F.broadcast(pts) if cells <= GRID_BROADCAST_CELLS else pts
     d = df.withColumn("_did", F.col(dist_col).cast("string"))
-    if cells <= GRID_BROADCAST_CELLS:
-        j = d.join(F.broadcast(grids.withColumnRenamed("dist_id", "_did")), on="_did", how="left")
-        k = F.col(slack_col) - F.col("lo")
-        p = (F.when(F.col("_did").isNull(), F.lit(1.0))
-             .when(k < 0, F.lit(0.0))
-             .when(k >= F.size("grid"), F.lit(1.0))
-             .otherwise(F.element_at("grid", (k + 1).cast("int"))))
-        return j.withColumn(out_col, p).drop("_did", "lo", "grid")
-    pts = (grids.select(F.col("dist_id").alias("_did"), "lo", F.posexplode("grid").alias("_k", "_p"))
-           .select("_did", (F.col("lo") + F.col("_k")).alias("_s"), "_p"))
-    bounds = grids.select(F.col("dist_id").alias("_did"), F.col("lo").alias("_lo"),
-                          (F.col("lo") + F.size("grid") - 1).alias("_hi"))
-    j = (d.join(bounds, on="_did", how="left")
+    j = (d.join(F.broadcast(bounds), on="_did", how="left")
          .withColumn("_s", F.greatest(F.least(F.col(slack_col), F.col("_hi")), F.col("_lo")))
          .join(pts, on=["_did", "_s"], how="left"))
     p = (F.when(F.col("_did").isNull(), F.lit(1.0))

@@ -112,7 +112,7 @@ LABEL_COLS = ["query_id", "T", "target", "threshold", "bound", "edge_id", "virtu
 
 
 def expand(frontier: DataFrame, sr: DataFrame, sw: DataFrame, grids: DataFrame, mode: str,
-           params: SearchParams, cells: int | None = None) -> DataFrame:
+           params: SearchParams, cells: int | None = None, tables=None) -> DataFrame:
     """One expansion step: frontier labels → best boarding per (query, ride).
 
     frontier: LABEL_COLS (``best`` = struct(prob, start_t, pkey, hist, board)).
@@ -164,7 +164,7 @@ def expand(frontier: DataFrame, sr: DataFrame, sw: DataFrame, grids: DataFrame,
     else:
         dist = F.when(F.col("virtual") & ~F.col("is_walk"), F.lit(None)).otherwise(F.col("c_dist"))
     c = c.withColumns({"_slack": slack.cast("int"), "_dist": dist.cast("string")})
-    c = with_cdf(c, grids, "_dist", "_slack", "p", cells)
+    c = with_cdf(c, grids, "_dist", "_slack", "p", cells, tables)
     # Ordered cut-off per (label, via, next stop, path)
     w = (Window.partitionBy("query_id", "edge_id", "virtual", "a", "b", "c_to", "c_path")
          .orderBy("c_to_t", "c_from_t", "c_edge")
@@ -184,35 +184,45 @@ def expand(frontier: DataFrame, sr: DataFrame, sw: DataFrame, grids: DataFrame,
                     hist.alias("hist"), F.col("c_edge").cast("long").alias("board"))
     c = c.select("query_id", F.col("c_edge").alias("edge_id"), F.col("c_trip").alias("trip_id"),
                  F.col("c_day").alias("day_start"), F.col("c_seg").alias("seg"),
-                 F.col("c_seq").alias("seq"), best.alias("best"))
+                 F.col("c_seq").alias("seq"), best.alias("best"), "T", "target", "threshold", "bound")
     return (c.groupBy("query_id", "edge_id")
             .agg(F.max("best").alias("best"), F.first("trip_id").alias("trip_id"),
                  F.first("day_start").alias("day_start"), F.first("seg").alias("seg"),
-                 F.first("seq").alias("seq")))
+                 F.first("seq").alias("seq"), F.first("T").alias("T"), F.first("target").alias("target"),
+                 F.first("threshold").alias("threshold"), F.min("bound").alias("bound")))
 
 
-def stay_aboard(boardings: DataFrame, frontier: DataFrame, sr: DataFrame, mode: str) -> DataFrame:
+def stay_aboard(boardings: DataFrame, sr: DataFrame, mode: str) -> DataFrame:
     """Propagates each boarding along its vehicle run (probability unchanged):
     a running maximum over the run's later edges (in search direction), so no
-    board/alight pairs are ever enumerated. Returns LABEL_COLS rows."""
+    board/alight pairs are ever enumerated. Boarding rows and run rows are
+    unioned and share one window partition (query, run stretch); a stretch
+    boarded twice is expanded once (from its earliest boarding).
+    Returns LABEL_COLS rows.
+    """
     asc = mode == "depart"
-    segs = (boardings.groupBy("query_id", "trip_id", "day_start", "seg")
-            .agg((F.min("seq") if asc else F.max("seq")).alias("s0")))
-    qcols = frontier.groupBy("query_id").agg(
-        F.first("T").alias("T"), F.first("target").alias("target"),
-        F.first("threshold").alias("threshold"), F.min("bound").alias("bound"))
-    segs = segs.join(qcols, "query_id")
-    e = segs.join(sr, on=["trip_id", "day_start", "seg"])
-    e = e.withColumns(rel_times(mode))
-    e = e.where(in_horizon(mode) & (F.col("to_t") <= F.col("bound"))
-                & ((F.col("seq") >= F.col("s0")) if asc else (F.col("seq") <= F.col("s0"))))
-    e = e.join(boardings.select("query_id", "edge_id", F.col("best").alias("b0")),
-               on=["query_id", "edge_id"], how="left")
-    order = F.col("seq").asc() if asc else F.col("seq").desc()
-    w = (Window.partitionBy("query_id", "trip_id", "day_start", "seg").orderBy(order)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    e = e.withColumn("best", F.max("b0").over(w)).where(F.col("best").isNotNull())
-    return e.select("query_id", "T", "target", "threshold", "bound", "edge_id",
+    part = ["query_id", "trip_id", "day_start", "seg"]
+    b = boardings.withColumn("_bseq", F.col("seq"))
+    run = (b.select("query_id", "trip_id", "day_start", "seg", "_bseq", "T", "target", "threshold", "bound")
+           .join(sr.drop("bin"), on=["trip_id", "day_start", "seg"]))
+    run = run.withColumns(rel_times(mode))
+    run = run.where(in_horizon(mode) & (F.col("to_t") <= F.col("bound"))
+                    & ((F.col("seq") >= F.col("_bseq")) if asc else (F.col("seq") <= F.col("_bseq"))))
+    run = run.select("query_id", "trip_id", "day_start", "seg", "seq", "edge_id", "T", "target", "threshold",
+                     "bound", "to_node", "to_t", "from_node", "path_id", "dist_id", "_bseq",
+                     F.lit(None).cast(boardings.schema["best"].dataType).alias("b0"), F.lit(1).alias("_kind"))
+    brd = boardings.select("query_id", "trip_id", "day_start", "seg", "seq", "edge_id", "T", "target",
+                           "threshold", "bound", F.lit(None).cast("string").alias("to_node"),
+                           F.lit(None).cast("int").alias("to_t"), F.lit(None).cast("string").alias("from_node"),
+                           F.lit(None).cast("long").alias("path_id"), F.lit(None).cast("string").alias("dist_id"),
+                           F.col("seq").alias("_bseq"), F.col("best").alias("b0"), F.lit(0).alias("_kind"))
+    u = run.unionByName(brd)
+    order = [F.col("seq").asc() if asc else F.col("seq").desc(), F.col("_kind").asc()]
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    first_b = (F.min("_bseq") if asc else F.max("_bseq")).over(Window.partitionBy(*part))
+    u = u.withColumns({"best": F.max("b0").over(w), "_first": first_b})
+    u = u.where((F.col("_kind") == 1) & (F.col("_bseq") == F.col("_first")) & F.col("best").isNotNull())
+    return u.select("query_id", "T", "target", "threshold", "bound", "edge_id",
                     F.lit(False).alias("virtual"), "to_node", "to_t", "from_node", "path_id",
                     "trip_id", "day_start", "dist_id", "best")
 

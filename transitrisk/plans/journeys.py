@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitrisk.functions.timeops import DAY_S, WEEK_S, format_hms
-from transitrisk.operators.delays import grid_cells
+from transitrisk.operators.delays import cdf_tables, grid_cells
 from transitrisk.operators.paths import chain_segments, run_paths
 from transitrisk.operators.transfers import (LABEL_COLS, LEGS_TYPE, SearchParams, expand,
                                               orient_rides, orient_walks, ride_leg, stay_aboard,
@@ -41,6 +41,25 @@ class Timetable:
     grids: DataFrame
 
 
+def build_timetable(spark, rides: DataFrame, stops: DataFrame, dists: DataFrame,
+                    walk_max_m: float = 500.0, speed_mps: float = 1.0,
+                    max_walk_s: int | None = None) -> "Timetable":
+    """Materialises the search inputs once (S4) and reads them back (S5):
+    rides (already prepared), the walk closure over stops within
+    ``walk_max_m`` and the CDF grids of the delay laws."""
+    from transitrisk.operators.delays import cdf_grids
+    from transitrisk.operators.walks import walk_closure, walk_pairs
+    from transitrisk.session import scratch_path
+    from transitrisk.sources.storage import read_stage, write_stage
+    walks = walk_closure(walk_pairs(stops, walk_max_m, speed_mps), max_walk_s)
+    grids = cdf_grids(dists)
+    base = scratch_path(spark, "timetable")
+    out = {}
+    for name, df in (("rides", rides), ("walks", walks), ("grids", grids)):
+        out[name] = read_stage(spark, write_stage(df, f"{base}/{name}")).cache()
+    return Timetable(out["rides"], out["walks"], out["grids"])
+
+
 def prepare_rides(edges: DataFrame, dist_col: str = "dist_id") -> DataFrame:
     """Adds run stretches (seg, seq) and the path key when missing."""
     e = edges
@@ -97,6 +116,8 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
     sr = orient_rides(tt.rides, mode).cache()
     sw = orient_walks(tt.walks, mode).cache()
     cells = grid_cells(tt.grids)
+    bounds, pts = cdf_tables(tt.grids)
+    tables = (bounds.cache(), pts.cache())
     q = cut_lineage(q)
     frontier = _virtual_labels(q)
     pieces: list[DataFrame] = []
@@ -107,22 +128,29 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
             truncated = True
             break
         rounds += 1
-        boardings = expand(frontier, sr, sw, tt.grids, mode, params, cells)
-        cand = stay_aboard(boardings, frontier, sr, mode)
+        boardings = expand(frontier, sr, sw, tt.grids, mode, params, cells, tables)
+        cand = stay_aboard(boardings, sr, mode).select(*LABEL_COLS)
         if pieces:
-            old = _union(pieces).groupBy("query_id", "edge_id").agg(F.max("best").alias("old"))
-            cand = (cand.join(old, ["query_id", "edge_id"], "left")
-                    .where(F.col("old").isNull() | (F.col("best") > F.col("old"))).drop("old"))
-        if to_target:
-            arr = F.when(F.col("to_node") == F.col("target"), F.col("to_t"))
-            w = Window.partitionBy("query_id")
-            cand = (cand.withColumn("bound", F.least(F.col("bound"), F.coalesce(F.min(arr).over(w), F.col("bound"))))
-                    .where(F.col("to_t") <= F.col("bound")))
-        improved = cut_lineage(cand.select(*LABEL_COLS))
+            # strict improvement over every earlier label of the same (query, edge):
+            # one window over new ∪ old rows instead of an aggregate plus a join
+            old = _union(pieces).select(*LABEL_COLS).withColumn("_new", F.lit(False))
+            u = cand.withColumn("_new", F.lit(True)).unionByName(old)
+            w = Window.partitionBy("query_id", "edge_id")
+            u = u.withColumn("_old", F.max(F.when(~F.col("_new"), F.col("best"))).over(w))
+            cand = (u.where(F.col("_new") & (F.col("_old").isNull() | (F.col("best") > F.col("_old"))))
+                    .select(*LABEL_COLS))
+        improved = cut_lineage(cand)
         if improved.limit(1).count() == 0:
             break
         pieces.append(improved)
         frontier = improved
+        if to_target:
+            # best arrival at the target so far; only target rows are aggregated
+            nb = (improved.where(F.col("to_node") == F.col("target"))
+                  .groupBy("query_id").agg(F.min("to_t").alias("_nb")))
+            frontier = (frontier.join(nb, "query_id", "left")
+                        .withColumn("bound", F.least("bound", F.coalesce("_nb", "bound")))
+                        .where(F.col("to_t") <= F.col("bound")).select(*LABEL_COLS))
     if pieces:
         labels = (_union(pieces).groupBy("query_id", "edge_id")
                   .agg(F.max(F.struct("best", *[c for c in LABEL_COLS if c not in ("query_id", "edge_id", "best")]))
