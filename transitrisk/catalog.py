@@ -794,3 +794,154 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+# ------------------------------------------------------------ SQL oracles for the searches
+# A keyed recursive CTE is a label-correcting dynamic program: one row per
+# (query, ride edge), replaced only by a strictly better (prob, start, fewer
+# rides) label; it is an independent formulation of the same specification.
+
+SQL_RIDE_SEGS = """v_rs AS (
+  SELECT *, sum(brk) OVER (PARTITION BY trip_id, day_start ORDER BY dep_sow, edge_id ROWS UNBOUNDED PRECEDING) AS seg,
+         row_number() OVER (PARTITION BY trip_id, day_start ORDER BY dep_sow, edge_id) AS seq
+  FROM (SELECT *, CASE WHEN lag(arr_node) OVER w <> dep_node OR lag(arr_sow) OVER w > dep_sow THEN 1 ELSE 0 END AS brk
+        FROM v_r WINDOW w AS (PARTITION BY trip_id, day_start ORDER BY dep_sow, edge_id)) t)"""
+
+
+def _search_sql(mode: str, iso: bool) -> str:
+    dep = mode == "depart"
+    W, Dd = WEEK_S, DAY_S
+    fn, tn = ("dep_node", "arr_node") if dep else ("arr_node", "dep_node")
+    from_abs = f"((dep_sow % {W}) + {W}) % {W}" if dep else f"((arr_sow % {W}) + {W}) % {W}"
+    from_t = f"((from_abs - q.T) % {W} + {W}) % {W}" if dep else f"((q.T - from_abs) % {W} + {W}) % {W}"
+    same_day = f"from_t < {Dd} - T % {Dd}" if dep else f"from_t <= T % {Dd}"
+    wa, wb = ("dep_node", "arr_node") if dep else ("arr_node", "dep_node")
+    law = "l.dist_id" if dep else "CASE WHEN l.virtual AND NOT w.is_walk THEN NULL ELSE e.dist_id END"
+    if dep:
+        p14w = "(l.from_node IS NULL OR w.b <> l.from_node) AND (w.prev IS NULL OR e.to_node <> w.prev)"
+    else:
+        p14w = "(w.a <> e.to_node) AND (l.from_node IS NULL OR l.from_node <> w.prev)"
+    walk_start = "0" if dep else "c.from_t - c.walk_s"
+    seq_cmp = "c.seq >= b.seq" if dep else "c.seq <= b.seq"
+    if iso:
+        head = f"""q0 AS (SELECT user_id AS query_id, f_stop AS start, CAST(f_sow AS BIGINT) AS T,
+                   {V.ISO_RANGE_S} AS bound, {V.DEFAULT_THRESHOLD} AS threshold FROM v_ue),
+q AS (SELECT *, CAST(NULL AS VARCHAR) AS target FROM q0
+      WHERE EXISTS (SELECT 1 FROM v_rides r WHERE r.dep_node = q0.start)
+        AND threshold BETWEEN 0 AND 1 AND bound BETWEEN 0 AND {Dd})"""
+    else:
+        t_col = "f_sow" if dep else "l_sow"
+        st, tg = ("dep_node", "arr_node") if dep else ("arr_node", "dep_node")
+        head = f"""q0 AS (SELECT user_id AS query_id, f_stop AS dep_node, l_stop AS arr_node, CAST({t_col} AS BIGINT) AS T,
+                   {V.DEFAULT_THRESHOLD} AS threshold FROM v_ue),
+qv AS (SELECT q0.*, CASE
+         WHEN NOT EXISTS (SELECT 1 FROM v_rides r WHERE r.dep_node = q0.dep_node) THEN 'rejected: unknown departure stop'
+         WHEN NOT EXISTS (SELECT 1 FROM v_rides r WHERE r.arr_node = q0.arr_node) THEN 'rejected: unknown arrival stop'
+         WHEN threshold < 0 OR threshold > 1 THEN 'rejected: threshold outside [0, 1]'
+         WHEN dep_node = arr_node THEN 'trivial' END AS pre FROM q0),
+q AS (SELECT query_id, T, threshold, {st} AS start, {tg} AS target, {Dd} AS bound FROM qv WHERE pre IS NULL)"""
+    body = f"""
+sr AS (SELECT edge_id, trip_id, day_start, seg, seq, path, dist_id, {fn} AS from_node, {tn} AS to_node,
+              {from_abs} AS from_abs, arr_sow - dep_sow AS dur FROM v_rs),
+qr AS (SELECT q.query_id, q.T, q.bound, sr.*, {from_t} AS from_t FROM q, sr),
+qrh AS (SELECT *, from_t + dur AS to_t FROM qr
+        WHERE from_t > 0 AND ({same_day} OR from_t + dur < {Dd}) AND from_t + dur <= bound),
+sw AS (SELECT {wa} AS a, {wb} AS b, walk_s, dep_node AS prev, true AS is_walk FROM v_walks),
+vw AS (SELECT * FROM sw UNION ALL
+       SELECT DISTINCT s AS a, s AS b, 0, CAST(NULL AS VARCHAR), false FROM
+         (SELECT dep_node AS s FROM v_rides UNION SELECT arr_node FROM v_rides UNION SELECT start FROM q) t),
+lab(query_id, edge_id, prob, start_t, nrn, to_node, to_t, from_node, path, trip_id, day_start, dist_id,
+    virtual, threshold) USING KEY (query_id, edge_id) AS (
+  SELECT query_id, -1, CAST(1.0 AS DOUBLE), 0, 0, start, 0, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR[]), CAST(NULL AS BIGINT),
+         CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), true, threshold FROM q
+  UNION
+  (SELECT nl.* FROM (
+    SELECT c.query_id, c.edge_id, max({{'prob': b.prob, 'start_t': b.start_t, 'nrn': b.nrn}}).prob AS prob,
+           max({{'prob': b.prob, 'start_t': b.start_t, 'nrn': b.nrn}}).start_t AS start_t,
+           max({{'prob': b.prob, 'start_t': b.start_t, 'nrn': b.nrn}}).nrn AS nrn,
+           any_value(c.to_node) AS to_node, any_value(c.to_t) AS to_t,
+           any_value(c.from_node) AS from_node, any_value(c.path) AS path, any_value(c.trip_id) AS trip_id,
+           any_value(c.day_start) AS day_start, any_value(c.dist_id) AS dist_id, false AS virtual,
+           any_value(b.threshold) AS threshold
+    FROM (
+      SELECT query_id, edge_id, max(x) AS b_x FROM (
+        SELECT c.*, c.lprob * c.p AS nprob,
+               {{'prob': c.lprob * c.p,
+                 'start_t': CASE WHEN c.virtual THEN CASE WHEN c.is_walk THEN {walk_start} ELSE c.from_t END ELSE c.lstart END,
+                 'nrn': c.lnrn - 1, 'threshold': c.threshold, 'seq': c.seq,
+                 'trip_id': c.trip_id, 'day_start': c.day_start, 'seg': c.seg}} AS x
+        FROM (
+          SELECT l.query_id, l.edge_id AS x_edge, l.virtual, l.prob AS lprob, l.start_t AS lstart, l.nrn AS lnrn,
+                 l.threshold, w.a, w.b, w.walk_s, w.is_walk, e.edge_id, e.to_node, e.path, e.from_t,
+                 e.to_t, e.trip_id, e.day_start, e.seg, e.seq,
+                 CASE WHEN {law} IS NULL THEN CAST(1.0 AS DOUBLE)
+                      WHEN e.from_t - l.to_t - w.walk_s - {BUFFER_S} <= 0 THEN CAST(0.0 AS DOUBLE)
+                      ELSE 1 - exp(-(e.from_t - l.to_t - w.walk_s - {BUFFER_S}) / dl.scale) END AS p
+          FROM lab l JOIN vw w ON w.a = l.to_node
+          JOIN qrh e ON e.query_id = l.query_id AND e.from_node = w.b
+          LEFT JOIN v_dists dl ON dl.dist_id = {law}
+          WHERE e.from_t >= l.to_t + w.walk_s
+            AND (l.virtual OR NOT (e.trip_id = l.trip_id AND e.day_start = l.day_start))
+            AND (l.virtual OR e.path <> l.path)
+            AND CASE WHEN w.is_walk THEN {p14w} ELSE (l.from_node IS NULL OR e.to_node <> l.from_node) END
+        ) c
+        QUALIFY coalesce(max(CASE WHEN c.p > {CUTOFF} THEN 1 ELSE 0 END) OVER (
+                  PARTITION BY c.query_id, c.x_edge, c.virtual, c.a, c.b, c.to_node, c.path
+                  ORDER BY c.to_t, c.from_t, c.edge_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0
+      ) k WHERE nprob > threshold
+      GROUP BY query_id, edge_id
+    ) bb
+    CROSS JOIN LATERAL (SELECT bb.b_x.prob AS prob, bb.b_x.start_t AS start_t, bb.b_x.nrn AS nrn,
+                               bb.b_x.threshold AS threshold, bb.b_x.seq AS seq, bb.b_x.trip_id AS trip_id,
+                               bb.b_x.day_start AS day_start, bb.b_x.seg AS seg) b
+    JOIN qrh c ON c.query_id = bb.query_id AND c.trip_id = b.trip_id AND c.day_start = b.day_start
+               AND c.seg = b.seg AND {seq_cmp}
+    GROUP BY c.query_id, c.edge_id) nl
+   LEFT JOIN recurring.lab o ON o.query_id = nl.query_id AND o.edge_id = nl.edge_id
+   WHERE o.edge_id IS NULL OR nl.prob > o.prob OR (nl.prob = o.prob AND (nl.start_t > o.start_t
+         OR (nl.start_t = o.start_t AND nl.nrn > o.nrn))))
+)"""
+    base = V.with_views(V.SQL_RIDES, SQL_RIDE_PATHS, SQL_RIDE_SEGS, V.SQL_EXP_DISTS, V.SQL_JSTOPS,
+                        SQL_JWALKS, V.SQL_USER_ENDS).rstrip()
+    sql = base.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + head + ",\n" + body
+    if iso:
+        return sql + f"""
+, r AS (
+  SELECT query_id, to_node AS stop, to_t AS rt FROM lab WHERE NOT virtual
+  UNION ALL SELECT l.query_id, w.b, l.to_t + w.walk_s FROM lab l JOIN sw w ON w.a = l.to_node WHERE NOT l.virtual
+  UNION ALL SELECT q.query_id, w.b, w.walk_s FROM q JOIN sw w ON w.a = q.start WHERE q.threshold < 1)
+SELECT q.query_id, m.stop, CAST(q.T + m.rt AS BIGINT) AS arr_sow, round(CAST(q.bound - m.rt AS DOUBLE) * 1.0, 6) AS radius_m
+FROM (SELECT query_id, stop, min(rt) AS rt FROM (
+        SELECT r.* FROM r JOIN q USING (query_id) WHERE r.rt <= q.bound
+        UNION ALL SELECT query_id, start, 0 FROM q) u GROUP BY query_id, stop) m JOIN q USING (query_id)"""
+    dep_sow = "q.T + b.start_t" if dep else "q.T - b.arr_t"
+    arr_sow = "q.T + b.arr_t" if dep else "q.T - b.start_t"
+    return sql + f"""
+, arr AS (
+  SELECT l.query_id, l.to_t AS arr_t, l.prob, l.start_t, l.nrn FROM lab l JOIN q USING (query_id)
+  WHERE NOT l.virtual AND l.to_node = q.target
+  UNION ALL
+  SELECT l.query_id, l.to_t + w.walk_s, l.prob, l.start_t, l.nrn FROM lab l JOIN q USING (query_id)
+  JOIN sw w ON w.a = l.to_node
+  WHERE w.b = q.target AND (l.from_node IS NULL OR w.b <> l.from_node) AND l.prob > q.threshold),
+b AS (SELECT * FROM arr QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY arr_t, prob DESC, start_t DESC, nrn DESC) = 1)
+SELECT qv.query_id,
+       coalesce(qv.pre, CASE WHEN b.query_id IS NULL THEN 'no_path' ELSE 'ok' END) AS status,
+       CAST(CASE WHEN qv.pre = 'trivial' THEN qv.T WHEN b.query_id IS NOT NULL THEN {dep_sow.replace('q.T', 'qv.T')} END AS BIGINT) AS dep_sow,
+       CAST(CASE WHEN qv.pre = 'trivial' THEN qv.T WHEN b.query_id IS NOT NULL THEN {arr_sow.replace('q.T', 'qv.T')} END AS BIGINT) AS arr_sow,
+       round(CAST(CASE WHEN qv.pre = 'trivial' THEN 1.0 ELSE b.prob END AS DOUBLE), 6) AS prob,
+       CAST(CASE WHEN qv.pre = 'trivial' THEN 0 ELSE -b.nrn END AS BIGINT) AS n_rides
+FROM qv LEFT JOIN b ON b.query_id = qv.query_id"""
+
+
+ORACLE["plan_depart"] = _search_sql("depart", iso=False)
+ORACLE["plan_arrive"] = _search_sql("arrive", iso=False)
+ORACLE["isochrone"] = _search_sql("depart", iso=True)
+
+ORACLE["isochrone_layer"] = (
+    _search_sql("depart", iso=True).replace(
+        "SELECT q.query_id, m.stop, CAST(q.T + m.rt AS BIGINT) AS arr_sow, round(CAST(q.bound - m.rt AS DOUBLE) * 1.0, 6) AS radius_m",
+        "SELECT q.query_id, m.stop, CAST(q.T + m.rt AS BIGINT) AS arr_sow, round(CAST(q.bound - m.rt AS DOUBLE) * 1.0, 6) AS radius_m, "
+        "round(6378137.0 * radians(s.lon), 6) AS x, round(6378137.0 * ln(tan(pi() / 4 + radians(s.lat) / 2)), 6) AS y")
+    .replace("GROUP BY query_id, stop) m JOIN q USING (query_id)",
+             "GROUP BY query_id, stop) m JOIN q USING (query_id) JOIN v_jstops s ON s.stop = m.stop"))

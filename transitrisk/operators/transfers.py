@@ -121,7 +121,8 @@ def expand(frontier: DataFrame, sr: DataFrame, sw: DataFrame, grids: DataFrame,
     likely than ``params.cutoff`` per (label, via, next stop, path)) applied.
     """
     fr = frontier.select(*LABEL_COLS, F.col("best.prob").alias("lprob"),
-                         F.col("best.start_t").alias("lstart"), F.col("best.pkey").alias("lpkey"),
+                         F.col("best.start_t").alias("lstart"), F.col("best.nrn").alias("lnrn"),
+                         F.col("best.pkey").alias("lpkey"),
                          F.col("best.hist").alias("lhist"), F.col("best.board").alias("lboard"))
     direct = fr.select("*", F.col("to_node").alias("a"), F.col("to_node").alias("b"),
                        F.lit(0).alias("walk_s"), F.lit(None).cast("string").alias("prev_node"),
@@ -177,9 +178,13 @@ def expand(frontier: DataFrame, sr: DataFrame, sw: DataFrame, grids: DataFrame,
         F.concat(F.col("lhist"), F.array(ride_leg(F.col("lboard"), F.col("edge_id")))))
     hist = F.when(F.col("is_walk"), F.concat(hist, F.array(walk_leg(F.col("a"), F.col("b"), F.col("walk_s"))))) \
         .otherwise(hist)
-    start = F.when(F.col("virtual"), F.when(F.col("is_walk"), F.lit(0)).otherwise(F.col("c_from_t"))) \
+    # start key: depart = first departure after T (a first walk leaves at T);
+    # arrive = time before T of the (re-timed) arrival at the destination
+    walk_start = F.lit(0) if mode == "depart" else F.col("c_from_t") - F.col("walk_s")
+    start = F.when(F.col("virtual"), F.when(F.col("is_walk"), walk_start).otherwise(F.col("c_from_t"))) \
         .otherwise(F.col("lstart"))
     best = F.struct(F.col("nprob").alias("prob"), start.cast("int").alias("start_t"),
+                    (F.col("lnrn") - 1).cast("int").alias("nrn"),
                     F.xxhash64(F.col("lpkey"), F.col("c_edge"), F.col("b")).alias("pkey"),
                     hist.alias("hist"), F.col("c_edge").cast("long").alias("board"))
     c = c.select("query_id", F.col("c_edge").alias("edge_id"), F.col("c_trip").alias("trip_id"),

@@ -73,7 +73,7 @@ def prepare_rides(edges: DataFrame, dist_col: str = "dist_id") -> DataFrame:
 
 
 def _virtual_labels(q: DataFrame) -> DataFrame:
-    best = F.struct(F.lit(1.0).alias("prob"), F.lit(0).alias("start_t"),
+    best = F.struct(F.lit(1.0).alias("prob"), F.lit(0).alias("start_t"), F.lit(0).alias("nrn"),
                     F.lit(0).cast("long").alias("pkey"), F.array().cast(LEGS_TYPE).alias("hist"),
                     F.lit(None).cast("long").alias("board"))
     return q.select("query_id", "T", "target", "threshold", "bound",
@@ -101,7 +101,9 @@ def _target_arrivals(labels: DataFrame, q: DataFrame, sw: DataFrame) -> DataFram
     direct = (v.join(sw, v.to_node == sw.a).where(F.col("b") == F.col("target"))
               .select("query_id", F.col("walk_s").alias("arr_t"), "best", "edge_id",
                       F.col("a").alias("wa"), F.col("b").alias("wb"), "walk_s"))
-    return ride.unionByName(walk).unionByName(direct).where(F.col("best.prob") > 0)
+    th = q.select("query_id", F.col("threshold").alias("_th"))
+    return (ride.unionByName(walk).unionByName(direct).join(th, "query_id")
+            .where(F.col("best.prob") > F.col("_th")).drop("_th"))
 
 
 def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = SearchParams(),
@@ -196,9 +198,11 @@ DEEPENING_S = (3 * 3600, 8 * 3600, DAY_S)
 
 def _answers(labels: DataFrame, qf: DataFrame, sw: DataFrame) -> DataFrame:
     """Best way to reach the target per query (A16, W6): earliest arrival,
-    then higher probability, then later start, then a stable path key."""
+    then higher probability, then later start, then fewer rides, then a
+    stable path key."""
     arr = _target_arrivals(labels, qf, sw)
-    order = F.struct(F.col("arr_t"), -F.col("best.prob"), -F.col("best.start_t"), F.col("best.pkey"))
+    order = F.struct(F.col("arr_t"), -F.col("best.prob"), -F.col("best.start_t"), -F.col("best.nrn"),
+                     F.col("best.pkey"))
     best = (arr.groupBy("query_id")
             .agg(F.min_by(F.struct("arr_t", "best", "edge_id", "wa", "wb", "walk_s"), order).alias("r"))
             .select("query_id", "r.*"))
