@@ -27,7 +27,7 @@ from transitrisk.operators.paths import chain_segments, run_paths
 from transitrisk.operators.transfers import (LABEL_COLS, LEGS_TYPE, SearchParams, expand,
                                               orient_rides, orient_walks, ride_leg, stay_aboard,
                                               walk_leg)
-from transitrisk.session import cut_lineage
+from transitrisk.session import cut_lineage, cut_lineage_counted
 
 INF = 10 * WEEK_S
 
@@ -141,8 +141,9 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
             u = u.withColumn("_old", F.max(F.when(~F.col("_new"), F.col("best"))).over(w))
             cand = (u.where(F.col("_new") & (F.col("_old").isNull() | (F.col("best") > F.col("_old"))))
                     .select(*LABEL_COLS))
-        improved = cut_lineage(cand)
-        if improved.limit(1).count() == 0:
+        improved, n_improved = cut_lineage_counted(cand)
+        if n_improved == 0:
+            improved.unpersist()
             break
         pieces.append(improved)
         frontier = improved

@@ -73,6 +73,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Like ``cut_lineage`` but also returns the row count, computed while
+    persisting; an empty result is returned without writing a checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = df.count()
+    if n == 0:
+        return df, 0
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out, n
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
