@@ -538,14 +538,17 @@ def q_reliability_300s(spark, d):
 
 
 @register("reliability_summary", V.with_views(V.SQL_EXP_DISTS) + """
-, c AS (SELECT 1 - exp(-300.0 / scale) AS cdf FROM v_dists)
-SELECT count(cdf) AS n, round(avg(cdf), 6) AS mean, round(stddev_samp(cdf), 6) AS std, round(min(cdf), 6) AS min,
-       round(quantile_cont(cdf, 0.25), 6) AS q25, round(quantile_cont(cdf, 0.5), 6) AS q50,
-       round(quantile_cont(cdf, 0.75), 6) AS q75, round(max(cdf), 6) AS max FROM c""")
+, c AS (SELECT CAST(round((1 - exp(-300.0 / scale)) * 1000000) AS BIGINT) AS cdf_micro FROM v_dists)
+SELECT count(cdf_micro) AS n, round(avg(cdf_micro) / 1e6, 6) AS mean, round(stddev_samp(cdf_micro) / 1e6, 6) AS std,
+       round(min(cdf_micro) / 1e6, 6) AS min, round(quantile_cont(cdf_micro, 0.25) / 1e6, 6) AS q25,
+       round(quantile_cont(cdf_micro, 0.5) / 1e6, 6) AS q50, round(quantile_cont(cdf_micro, 0.75) / 1e6, 6) AS q75,
+       round(max(cdf_micro) / 1e6, 6) AS max FROM c""")
 def q_reliability_summary(spark, d):
-    r = q_reliability_300s(spark, d)
-    s = TT.support_summary(r, "cdf")
-    return s.select(bi("n").alias("n"), *[r6(c).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
+    """A5 over CDF(300 s) per law, in exact integer micro-units."""
+    r = q_reliability_300s(spark, d).select(F.round(F.col("cdf") * 1e6).cast("bigint").alias("cdf_micro"))
+    s = TT.support_summary(r, "cdf_micro")
+    return s.select(bi("n").alias("n"),
+                    *[r6(F.col(c) / 1e6).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
 
 
 def _features(spark, d):
@@ -945,3 +948,22 @@ ORACLE["isochrone_layer"] = (
         "round(6378137.0 * radians(s.lon), 6) AS x, round(6378137.0 * ln(tan(pi() / 4 + radians(s.lat) / 2)), 6) AS y")
     .replace("GROUP BY query_id, stop) m JOIN q USING (query_id)",
              "GROUP BY query_id, stop) m JOIN q USING (query_id) JOIN v_jstops s ON s.stop = m.stop"))
+
+
+@register("edge_distributions")
+def q_edge_distributions(spark, d):
+    """The delay model end to end (A8, M1, M3, J8, A9, A10, J7): supported
+    timetable edges → percentile features → KMeans → gamma law per cluster
+    → law attached to every edge."""
+    obs = _obs(spark, d)
+    edges = TT.finalize_edges(TT.support_filter(TT.valid_edges(
+        TT.consecutive_pairs(TT.delay_stats(obs))), MIN_SUPPORT))
+    long = D.edge_delays(edges, obs)
+    feats = C.features(D.delay_percentiles(long, "edge_id"))
+    labels = C.cluster_labels(feats, _k(feats)).select("edge_id", "cluster")
+    pooled = long.join(labels, "edge_id").select("cluster", "delay")
+    fits = D.fit_gamma(D.gamma_stats(pooled, "cluster"))
+    out = D.attach_distribution(edges.join(labels, "edge_id"), fits)
+    return out.select("trip_id", "day_start", "dep_node", "arr_node", bi("dep_day").alias("dep_day"),
+                      bi("dep_sod").alias("dep_sod"), bi("cluster").alias("cluster"), "method",
+                      r6("shape").alias("shape"), r6("loc").alias("loc"), r6("scale").alias("scale"))
