@@ -193,6 +193,9 @@ def _real_times(mode: str, t: F.Column, dep_sow: F.Column, arr_sow: F.Column):
     return arr - dur, arr
 
 
+ITINERARY_SCHEMA = ("query_id long, leg int, kind string, trip_id long, dep_node string, arr_node string, "
+                    "dep_sow int, arr_sow int, prob double")
+
 # Time bounds of the successive search passes (seconds after/before the query).
 DEEPENING_S = (3 * 3600, 8 * 3600, DAY_S)
 
@@ -242,6 +245,12 @@ def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(
             F.col(target).alias("target"), F.col("threshold").cast("double")))
         sw = orient_walks(tt.walks, mode)
         found, statuses = [], []
+        summaries.append(trivial.select("query_id", F.lit(mode).alias("mode"), F.lit("trivial").alias("status"),
+                                        F.col("t_sow").cast("int").alias("dep_sow"),
+                                        F.col("t_sow").cast("int").alias("arr_sow"),
+                                        F.lit(1.0).alias("prob"), F.lit(0).alias("n_rides")))
+        if pending.limit(1).count() == 0:
+            continue
         for level, bound in enumerate(deepening):
             if level > 0 and pending.limit(1).count() == 0:
                 break
@@ -274,17 +283,18 @@ def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(
         summaries.append(found_df.select("query_id", F.lit(mode).alias("mode"), st.alias("status"),
                                          F.col("dep_sow").cast("int"), F.col("arr_sow").cast("int"),
                                          "prob", F.col("n_rides").cast("int")))
-        summaries.append(trivial.select("query_id", F.lit(mode).alias("mode"), F.lit("trivial").alias("status"),
-                                        F.col("t_sow").cast("int").alias("dep_sow"),
-                                        F.col("t_sow").cast("int").alias("arr_sow"),
-                                        F.lit(1.0).alias("prob"), F.lit(0).alias("n_rides")))
     summaries.append(rejected.select("query_id", "mode", F.concat(F.lit("rejected: "), F.col("reason")).alias("status"),
                                      F.lit(None).cast("int").alias("dep_sow"), F.lit(None).cast("int").alias("arr_sow"),
                                      F.lit(None).cast("double").alias("prob"), F.lit(None).cast("int").alias("n_rides")))
     summary = summaries[0]
     for s_ in summaries[1:]:
         summary = summary.unionByName(s_)
-    itinerary = itins[0].unionByName(itins[1])
+    if itins:
+        itinerary = itins[0]
+        for it in itins[1:]:
+            itinerary = itinerary.unionByName(it)
+    else:
+        itinerary = queries.sparkSession.createDataFrame([], ITINERARY_SCHEMA)
     return summary, itinerary
 
 

@@ -23,6 +23,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = (builder
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
              .config("spark.driver.memory", os.environ.get("TR_DRIVER_MEMORY", "16g"))
              .getOrCreate())
