@@ -47,6 +47,7 @@ def main():
     run("walk_pairs", lambda: C.q_walk_pairs(spark, sf_dir).count())
     n_x = run("transfer_table", lambda: C.q_transfer_cutoff(spark, sf_dir).count())
     extra["transfer_rows_per_sec"] = round(n_x / max(times["transfer_table"], 1e-9), 1)
+    run("journey_timetable", lambda: C._ride_timetable(spark, sf_dir).rides.count())
     n_d = run("plan_depart", lambda: C.q_plan_depart(spark, sf_dir).count())
     n_a = run("plan_arrive", lambda: C.q_plan_arrive(spark, sf_dir).count())
     extra["sec_per_query_depart"] = round(times["plan_depart"] / max(n_d, 1), 4)
