@@ -120,7 +120,7 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
     cells = grid_cells(tt.grids)
     bounds, pts = cdf_tables(tt.grids)
     tables = (bounds.cache(), pts.cache())
-    q = cut_lineage(q)
+    q, n_queries = cut_lineage_counted(q)
     frontier = _virtual_labels(q)
     pieces: list[DataFrame] = []
     rounds = 0
@@ -151,6 +151,7 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
             # best arrival at the target so far; only target rows are aggregated
             nb = (improved.where(F.col("to_node") == F.col("target"))
                   .groupBy("query_id").agg(F.min("to_t").alias("_nb")))
+            nb = F.broadcast(nb) if n_queries <= BROADCAST_QUERIES else nb
             frontier = (frontier.join(nb, "query_id", "left")
                         .withColumn("bound", F.least("bound", F.coalesce("_nb", "bound")))
                         .where(F.col("to_t") <= F.col("bound")).select(*LABEL_COLS))
@@ -193,6 +194,9 @@ def _real_times(mode: str, t: F.Column, dep_sow: F.Column, arr_sow: F.Column):
     return arr - dur, arr
 
 
+# The per-query bound table has one row per query; broadcast it up to this many.
+BROADCAST_QUERIES = 2_000_000
+
 ITINERARY_SCHEMA = ("query_id long, leg int, kind string, trip_id long, dep_node string, arr_node string, "
                     "dep_sow int, arr_sow int, prob double")
 
