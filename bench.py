@@ -30,7 +30,11 @@ def main():
 
     def run(name, fn):
         t0 = time.time()
-        n = fn()
+        try:
+            n = fn()
+        except Exception as ex:  # noqa: BLE001 - one failing query must not lose the others
+            extra[f"{name}_error"] = f"{type(ex).__name__}: {str(ex)[:200]}"
+            n = 0
         times[name] = round(time.time() - t0, 3)
         extra[f"{name}_rows"] = n
         return n

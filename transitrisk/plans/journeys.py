@@ -201,7 +201,7 @@ ITINERARY_SCHEMA = ("query_id long, leg int, kind string, trip_id long, dep_node
                     "dep_sow int, arr_sow int, prob double")
 
 # Time bounds of the successive search passes (seconds after/before the query).
-DEEPENING_S = (3 * 3600, 8 * 3600, DAY_S)
+DEEPENING_S = (4 * 3600, DAY_S)
 
 
 def _answers(labels: DataFrame, qf: DataFrame, sw: DataFrame) -> DataFrame:

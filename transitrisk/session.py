@@ -39,6 +39,10 @@ def configure(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and conf.get("spark.sql.shuffle.partitions") == "200":
+        # local runs: one shuffle partition per core instead of Spark's default 200
+        conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
     ensure_checkpoint_dir(spark)
     return spark
 
