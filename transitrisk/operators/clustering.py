@@ -25,7 +25,10 @@ def fit_kmeans(feats: DataFrame, k: int, seed: int = 0, max_iter: int = 50):
 
 
 def cluster_labels(feats: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """Adds ``cluster`` to every row (M1, M3, J8: the row keeps its id, no join)."""
+    """Adds ``cluster`` to every row (M1, M3, J8: the row keeps its id, no join).
+    With fewer than two clusters requested every row is cluster 0."""
+    if k < 2:
+        return feats.drop("features").withColumn("cluster", F.lit(0))
     model = fit_kmeans(feats, k, seed)
     return model.transform(feats).drop("features")
 
