@@ -116,3 +116,11 @@ def test_percentiles_match_numpy(spark):
     r = D.delay_percentiles(df, "edge_id").collect()[0]
     for p in D.PERCENTILES:
         assert r[f"p{p}"] == pytest.approx(np.percentile(vals, p))
+
+
+def test_delay_lists_agree_with_counts(spark):
+    rows = [("t", 0, 0, 100, 100, "A", 5, 0), ("t", 0, 0, 100, 100, "A", 7, 0),
+            ("t", 0, 0, 100, 100, "A", None, 0), ("t", 0, 0, 200, 200, "B", 1, 0)]
+    s = {r.stop: r for r in TT.delay_stats(spark.createDataFrame(rows, OBS_SCHEMA), with_lists=True).collect()}
+    assert sorted(s["A"].delays) == [5, 7] and s["A"].num_delays == 2 and s["A"].mean_delay == 6.0
+    assert s["B"].delays == [1] and s["B"].std_delay is None
