@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -39,14 +40,30 @@ def configure(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
-    sc = spark.sparkContext
-    if sc.master.startswith("local") and conf.get("spark.sql.shuffle.partitions") == "200":
-        # local runs: one shuffle partition per core instead of Spark's default 200
-        conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    ship_package(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once per context: functions that run
+    in Python workers import it there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_transitrisk_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="transitrisk-py-")), "transitrisk.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("transitrisk", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._transitrisk_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
