@@ -1,5 +1,8 @@
 """Headline timings. Prints one JSON line.
 
+Every query is written to Spark's ``noop`` sink, so all of its columns are
+computed. Plans run in batches of 1, 100, 1000 and all queries.
+
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
 """
 
@@ -13,12 +16,14 @@ import time
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
+BATCHES = (1, 100, 1000)
 
-def main():
-    from pyspark.sql import functions as F
 
+def main():
     from transitrisk import catalog as C
+    from transitrisk.plans.journeys import plan
     from transitrisk.session import build_session
+    from transitrisk.sources import testdata as V
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -28,35 +33,33 @@ def main():
     times: dict[str, float] = {}
     extra: dict[str, float] = {}
 
-    def run(name, fn):
+    def run(name, make):
         t0 = time.time()
         try:
-            n = fn()
+            make().write.format("noop").mode("overwrite").save()
         except Exception as ex:  # noqa: BLE001 - one failing query must not lose the others
             extra[f"{name}_error"] = f"{type(ex).__name__}: {str(ex)[:200]}"
-            n = 0
         times[name] = round(time.time() - t0, 3)
-        extra[f"{name}_rows"] = n
-        return n
 
-    q = C.queries()
     # warm-up: JVM, Python workers
-    q["trip_pool"](spark, sf_dir).collect()
-
-    run("timetable_build", lambda: C.q_support_filter(spark, sf_dir).count())
-    run("bridge_repair", lambda: C.q_bridge_repair(spark, sf_dir).count())
-    run("delay_percentiles", lambda: C.q_delay_percentiles(spark, sf_dir).count())
-    run("kmeans_labels", lambda: C.q_kmeans_labels(spark, sf_dir).count())
-    run("cluster_gamma", lambda: C.q_cluster_gamma(spark, sf_dir).count())
-    run("walk_pairs", lambda: C.q_walk_pairs(spark, sf_dir).count())
-    n_x = run("transfer_table", lambda: C.q_transfer_cutoff(spark, sf_dir).count())
-    extra["transfer_rows_per_sec"] = round(n_x / max(times["transfer_table"], 1e-9), 1)
-    run("journey_timetable", lambda: C._ride_timetable(spark, sf_dir).rides.count())
-    n_d = run("plan_depart", lambda: C.q_plan_depart(spark, sf_dir).count())
-    n_a = run("plan_arrive", lambda: C.q_plan_arrive(spark, sf_dir).count())
-    extra["sec_per_query_depart"] = round(times["plan_depart"] / max(n_d, 1), 4)
-    extra["sec_per_query_arrive"] = round(times["plan_arrive"] / max(n_a, 1), 4)
-    run("isochrone", lambda: C.q_isochrone(spark, sf_dir).count())
+    C.REGISTRY["trip_pool"](spark, sf_dir).collect()
+
+    for name, query in (("timetable_build", "support_filter"), ("bridge_repair", "bridge_repair"),
+                        ("delay_percentiles", "delay_percentiles"), ("kmeans_labels", "kmeans_labels"),
+                        ("cluster_gamma", "cluster_gamma"), ("walk_pairs", "walk_pairs"),
+                        ("transfer_table", "transfer_cutoff")):
+        run(name, lambda q=query: C.REGISTRY[q](spark, sf_dir))
+    run("journey_timetable", lambda: C._ride_timetable(spark, sf_dir).rides)
+
+    for mode in ("depart", "arrive"):
+        queries = V.plan_queries(C._events(spark, sf_dir), mode).cache()
+        total = queries.count()
+        for n in (*BATCHES, total) if mode == "depart" else (total,):
+            batch = queries.orderBy("query_id").limit(min(n, total))
+            name = f"plan_{mode}" + ("" if n == total else f"_{n}")
+            run(name, lambda b=batch: plan(b, C._ride_timetable(spark, sf_dir))[0])
+            extra[f"{name}_sec_per_query"] = round(times[name] / min(n, total), 4)
+    run("isochrone", lambda: C.REGISTRY["isochrone"](spark, sf_dir))
 
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_query_time", "value": total, "unit": "sec", "queries": times,

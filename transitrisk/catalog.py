@@ -557,15 +557,10 @@ def _features(spark, d):
     return C.features(p)
 
 
-def _k(feats, k=C.K_CHOSEN):
-    n = feats.count()
-    return max(1, min(k, n))
-
-
 @register("kmeans_labels")
 def q_kmeans_labels(spark, d):
     f = _features(spark, d)
-    lab = C.cluster_labels(f, _k(f))
+    lab = C.cluster_labels(f, C.K_CHOSEN)
     return lab.select(*[bi(c).alias(c) if c != "stop" else F.col(c) for c in _GK], bi("cluster").alias("cluster"))
 
 
@@ -577,7 +572,7 @@ def q_kmeans_sweep(spark, d):
 @register("cluster_sample")
 def q_cluster_sample(spark, d):
     f = _features(spark, d)
-    lab = C.cluster_labels(f, _k(f))
+    lab = C.cluster_labels(f, C.K_CHOSEN)
     return C.cluster_sample(lab)
 
 
@@ -585,7 +580,7 @@ def q_cluster_sample(spark, d):
 def q_cluster_gamma(spark, d):
     """A9-A10 on the KMeans clusters: pooled delays per cluster → gamma fit."""
     f = _features(spark, d)
-    lab = C.cluster_labels(f, _k(f)).select(*_GK, "cluster")
+    lab = C.cluster_labels(f, C.K_CHOSEN).select(*_GK, "cluster")
     long = _obs(spark, d).join(lab, _GK).select("cluster", F.col("arrival_delay").alias("delay"))
     fit = D.fit_gamma(D.gamma_stats(long, "cluster"))
     return fit.select(bi("cluster").alias("cluster"), "method", r6("shape").alias("shape"),
@@ -597,14 +592,24 @@ def q_cluster_gamma(spark, d):
 _TIMETABLES: dict[tuple[str, str], object] = {}
 
 
+def _stamps(spark, df):
+    """Paths, lengths and times of a table's files: a changed folder is another timetable."""
+    jvm = spark._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for f in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        s = path.getFileSystem(conf).getFileStatus(path)
+        yield f, s.getLen(), s.getModificationTime()
+
+
 def _ride_timetable(spark, d):
     """Journey timetable of a data folder, built once per application and
     stored as Parquet in the shared checkpoint folder (S4), then read back
     (S5) by every plan/isochrone query."""
     from transitrisk.plans.journeys import build_timetable
-    key = (spark.sparkContext.applicationId, d)
+    e = _events(spark, d)
+    key = (spark.sparkContext.applicationId, d, tuple(_stamps(spark, e)))
     if key not in _TIMETABLES:
-        e = _events(spark, d)
         _TIMETABLES[key] = build_timetable(spark, _rides(spark, d), V.jstops(e), V.exp_dists(e))
     return _TIMETABLES[key]
 
@@ -773,24 +778,86 @@ def q_isochrone_layer(spark, d):
                     r6("x").alias("x"), r6("y").alias("y"))
 
 
-@register("query_rejects", SQL_RIDES_FULL.rstrip() + """,
-q AS (SELECT user_id AS query_id, f_stop AS dep_node, l_stop AS arr_node, (user_id % 7) / 5.0 AS threshold FROM v_ue)
-SELECT query_id, CASE
-    WHEN NOT EXISTS (SELECT 1 FROM v_rides r WHERE r.dep_node = q.dep_node) THEN 'unknown departure stop'
-    WHEN NOT EXISTS (SELECT 1 FROM v_rides r WHERE r.arr_node = q.arr_node) THEN 'unknown arrival stop'
-    ELSE 'threshold outside [0, 1]' END AS reason
-FROM q
-WHERE NOT EXISTS (SELECT 1 FROM v_rides r WHERE r.dep_node = q.dep_node)
-   OR NOT EXISTS (SELECT 1 FROM v_rides r WHERE r.arr_node = q.arr_node)
-   OR threshold < 0 OR threshold > 1""")
+@register("isochrone_arrive")
+def q_isochrone_arrive(spark, d):
+    """From where can each user's last stop still be reached by the last event, leaving at most 2 h before."""
+    from transitrisk.plans.isochrones import isochrones
+    q = V.iso_queries(_events(spark, d), mode="arrive")
+    r, _ = isochrones(q, _ride_timetable(spark, d), mode="arrive")
+    return r.select("query_id", "stop", bi("dep_sow").alias("dep_sow"), r6("radius_m").alias("radius_m"))
+
+
+def _full_itinerary(spark, d):
+    from transitrisk.plans.journeys import itinerary_edges
+    _, it = _plans(spark, d, "depart")
+    return itinerary_edges(it, _ride_timetable(spark, d).rides)
+
+
+@register("itinerary_edges")
+def q_itinerary_edges(spark, d):
+    it = _full_itinerary(spark, d)
+    return it.select("query_id", bi("step").alias("step"), "kind", bi("trip_id").alias("trip_id"), "dep_node", "arr_node",
+                     bi("dep_sow").alias("dep_sow"), bi("arr_sow").alias("arr_sow"), r6("prob").alias("prob"))
+
+
+@register("itinerary_stops")
+def q_itinerary_stops(spark, d):
+    from transitrisk.plans.journeys import itinerary_stops
+    t = itinerary_stops(_full_itinerary(spark, d), V.jstops(_events(spark, d)))
+    return t.select("query_id", bi("pos").alias("pos"), "stop", bi("arr_sow").alias("arr_sow"), bi("dep_sow").alias("dep_sow"),
+                    "arr_clock", "dep_clock", r6("lon").alias("lon"), r6("lat").alias("lat"))
+
+
+SQL_REJECT_QUERIES = """q AS (
+  SELECT user_id - CASE WHEN user_id % 17 = 1 THEN 1 ELSE 0 END AS query_id,
+         CASE WHEN user_id % 11 = 3 THEN 'Depart' WHEN user_id % 11 = 5 THEN NULL ELSE 'depart' END AS mode,
+         CASE WHEN user_id % 19 = 2 THEN 'nowhere' ELSE f_stop END AS dep_node, l_stop AS arr_node,
+         CASE WHEN user_id % 23 = 4 THEN NULL ELSE f_sow END AS t_sow,
+         CASE WHEN user_id % 13 = 4 THEN NULL ELSE (user_id % 7) / 5.0 END AS threshold FROM v_ue)"""
+
+
+@register("query_rejects", V.with_views(V.SQL_RIDES, SQL_RIDE_PATHS, V.SQL_EXP_DISTS, V.SQL_USER_ENDS, V.SQL_JSTOPS, SQL_JWALKS,
+                                        SQL_REJECT_QUERIES) + """
+SELECT query_id, reason FROM (SELECT query_id, CASE
+    WHEN count(*) OVER (PARTITION BY query_id) > 1 THEN 'duplicate query_id'
+    WHEN mode IS NULL OR mode NOT IN ('depart', 'arrive') THEN 'unknown mode'
+    WHEN t_sow IS NULL THEN 'time missing or malformed'
+    WHEN dep_node NOT IN (SELECT dep_node FROM v_rides UNION SELECT dep_node FROM v_walks) THEN 'unknown departure stop'
+    WHEN arr_node NOT IN (SELECT arr_node FROM v_rides UNION SELECT arr_node FROM v_walks) THEN 'unknown arrival stop'
+    WHEN threshold IS NULL OR threshold < 0 OR threshold > 1 THEN 'threshold outside [0, 1]' END AS reason FROM q) v
+WHERE reason IS NOT NULL""")
 def q_query_rejects(spark, d):
+    """Bad modes, missing times and thresholds, unknown stops and repeated ids: each has its reason."""
     from transitrisk.plans.journeys import _validate
     e = _events(spark, d)
-    q = V.plan_queries(e, "depart").withColumn("threshold", (F.col("query_id") % 7) / 5.0)
-    _, rej = _validate(q, V.rides(e))
+    i = F.col("query_id")
+    q = V.plan_queries(e, "depart").withColumns({
+        "mode": F.when(i % 11 == 3, "Depart").when(i % 11 == 5, F.lit(None)).otherwise("depart"),
+        "dep_node": F.when(i % 19 == 2, "nowhere").otherwise(F.col("dep_node")),
+        "t_sow": F.when(i % 23 != 4, F.col("t_sow")),
+        "threshold": F.when(i % 13 != 4, (i % 7) / 5.0)})
+    q = q.withColumn("query_id", i - F.when(i % 17 == 1, 1).otherwise(0))
+    _, rej = _validate(q, V.rides(e), _direct_walks(spark, d))
     return rej.select("query_id", "reason")
 
 
+@register("plan_depart_fitted")
+def q_plan_depart_fitted(spark, d):
+    """The whole flow: observed timetable, KMeans clusters, fitted gamma laws,
+    and one depart-at plan per user between the stops of the first and last event."""
+    from transitrisk.plans.flow import build_timetable_from_obs
+    from transitrisk.plans.journeys import plan
+    e = _events(spark, d)
+    stops = e.select(F.col("event_type").alias("stop")).distinct().withColumns(
+        {"lon": F.lit(V.JSTOP_LON0) + F.ascii("stop") * V.JSTOP_DLON, "lat": F.lit(V.JSTOP_LAT0)})
+    tt, _ = build_timetable_from_obs(spark, _obs(spark, d), stops, min_support=MIN_SUPPORT)
+    kind = lambda c: F.regexp_extract(c, "^(.*)_[0-9]+$", 1)
+    q = V.plan_queries(e, "depart").withColumns({"dep_node": kind("dep_node"), "arr_node": kind("arr_node")})
+    s, _ = plan(q, tt)
+    return s.select("query_id", "status", bi("dep_sow").alias("dep_sow"), bi("arr_sow").alias("arr_sow"),
+                    r6("prob").alias("prob"), bi("n_rides").alias("n_rides"))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
 
@@ -827,10 +894,11 @@ def _search_sql(mode: str, iso: bool) -> str:
     walk_start = "0" if dep else "c.from_t - c.walk_s"
     seq_cmp = "c.seq >= b.seq" if dep else "c.seq <= b.seq"
     if iso:
-        head = f"""q0 AS (SELECT user_id AS query_id, f_stop AS start, CAST(f_sow AS BIGINT) AS T,
+        end = "f" if dep else "l"
+        head = f"""q0 AS (SELECT user_id AS query_id, {end}_stop AS start, CAST({end}_sow AS BIGINT) AS T,
                    {V.ISO_RANGE_S} AS bound, {V.DEFAULT_THRESHOLD} AS threshold FROM v_ue),
 q AS (SELECT *, CAST(NULL AS VARCHAR) AS target FROM q0
-      WHERE EXISTS (SELECT 1 FROM v_rides r WHERE r.dep_node = q0.start)
+      WHERE start IN (SELECT {fn} FROM v_rides UNION SELECT {fn} FROM v_walks)
         AND threshold BETWEEN 0 AND 1 AND bound BETWEEN 0 AND {Dd})"""
     else:
         t_col = "f_sow" if dep else "l_sow"
@@ -838,8 +906,10 @@ q AS (SELECT *, CAST(NULL AS VARCHAR) AS target FROM q0
         head = f"""q0 AS (SELECT user_id AS query_id, f_stop AS dep_node, l_stop AS arr_node, CAST({t_col} AS BIGINT) AS T,
                    {V.DEFAULT_THRESHOLD} AS threshold FROM v_ue),
 qv AS (SELECT q0.*, CASE
-         WHEN NOT EXISTS (SELECT 1 FROM v_rides r WHERE r.dep_node = q0.dep_node) THEN 'rejected: unknown departure stop'
-         WHEN NOT EXISTS (SELECT 1 FROM v_rides r WHERE r.arr_node = q0.arr_node) THEN 'rejected: unknown arrival stop'
+         WHEN dep_node NOT IN (SELECT dep_node FROM v_rides UNION SELECT dep_node FROM v_walks)
+           THEN 'rejected: unknown departure stop'
+         WHEN arr_node NOT IN (SELECT arr_node FROM v_rides UNION SELECT arr_node FROM v_walks)
+           THEN 'rejected: unknown arrival stop'
          WHEN threshold < 0 OR threshold > 1 THEN 'rejected: threshold outside [0, 1]'
          WHEN dep_node = arr_node THEN 'trivial' END AS pre FROM q0),
 q AS (SELECT query_id, T, threshold, {st} AS start, {tg} AS target, {Dd} AS bound FROM qv WHERE pre IS NULL)"""
@@ -913,7 +983,7 @@ lab(query_id, edge_id, prob, start_t, nrn, to_node, to_t, from_node, path, trip_
   SELECT query_id, to_node AS stop, to_t AS rt FROM lab WHERE NOT virtual
   UNION ALL SELECT l.query_id, w.b, l.to_t + w.walk_s FROM lab l JOIN sw w ON w.a = l.to_node WHERE NOT l.virtual
   UNION ALL SELECT q.query_id, w.b, w.walk_s FROM q JOIN sw w ON w.a = q.start WHERE q.threshold < 1)
-SELECT q.query_id, m.stop, CAST(q.T + m.rt AS BIGINT) AS arr_sow, round(CAST(q.bound - m.rt AS DOUBLE) * 1.0, 6) AS radius_m
+SELECT q.query_id, m.stop, CAST({"q.T + m.rt" if dep else "q.T - m.rt"} AS BIGINT) AS {"arr_sow" if dep else "dep_sow"}, round(CAST(q.bound - m.rt AS DOUBLE) * 1.0, 6) AS radius_m
 FROM (SELECT query_id, stop, min(rt) AS rt FROM (
         SELECT r.* FROM r JOIN q USING (query_id) WHERE r.rt <= q.bound
         UNION ALL SELECT query_id, start, 0 FROM q) u GROUP BY query_id, stop) m JOIN q USING (query_id)"""
@@ -940,6 +1010,7 @@ FROM qv LEFT JOIN b ON b.query_id = qv.query_id"""
 ORACLE["plan_depart"] = _search_sql("depart", iso=False)
 ORACLE["plan_arrive"] = _search_sql("arrive", iso=False)
 ORACLE["isochrone"] = _search_sql("depart", iso=True)
+ORACLE["isochrone_arrive"] = _search_sql("arrive", iso=True)
 
 ORACLE["isochrone_layer"] = (
     _search_sql("depart", iso=True).replace(
@@ -960,7 +1031,7 @@ def q_edge_distributions(spark, d):
         TT.consecutive_pairs(TT.delay_stats(obs))), MIN_SUPPORT))
     long = D.edge_delays(edges, obs)
     feats = C.features(D.delay_percentiles(long, "edge_id"))
-    labels = C.cluster_labels(feats, _k(feats)).select("edge_id", "cluster")
+    labels = C.cluster_labels(feats, C.K_CHOSEN).select("edge_id", "cluster")
     pooled = long.join(labels, "edge_id").select("cluster", "delay")
     fits = D.fit_gamma(D.gamma_stats(pooled, "cluster"))
     out = D.attach_distribution(edges.join(labels, "edge_id"), fits)

@@ -136,7 +136,8 @@ def solve_shape(s) -> np.ndarray:
 def cdf_grid(shape: float | None, loc: float, scale: float | None,
              max_slack: int) -> tuple[int, list[float]]:
     """CDF at every integer second from ``lo`` until it is exactly 1.0 in
-    float64 (or ``max_slack``). Below ``lo`` the CDF is 0, above the grid 1.
+    float64 (or ``max_slack``). Below ``lo`` the CDF is 0, above the grid it
+    keeps the last value.
 
     ``shape is None`` means a point mass at ``loc``.
     """

@@ -43,9 +43,13 @@ def isochrone_radius_m(t_end, t_arr, speed_mps: float = 1.0) -> Column:
     return (_c(t_end) - _c(t_arr)).cast("double") * F.lit(float(speed_mps))
 
 
-def min_cell_degrees(radius_m: float, max_abs_lat: float) -> tuple[float, float]:
-    """Grid cell size (lat, lon degrees) so any pair within ``radius_m`` lies in
-    the same or a neighbouring cell, valid up to latitude ``max_abs_lat``."""
+def grid_shape(radius_m: float, max_abs_lat: float) -> tuple[float, int]:
+    """Cell height in degrees and number of cells around a circle of latitude,
+    so that any pair within ``radius_m`` lies in the same or a neighbouring
+    cell (columns wrap at the antimeridian), valid up to ``max_abs_lat``.
+    Near a pole one column goes around."""
     lat_deg = math.degrees(radius_m / EARTH_RADIUS_M)
-    lon_deg = lat_deg / max(math.cos(math.radians(min(abs(max_abs_lat), 89.0))), 1e-6)
-    return lat_deg, lon_deg
+    edge = abs(max_abs_lat) + lat_deg
+    if edge >= 90.0:
+        return lat_deg, 1
+    return lat_deg, max(1, int(360.0 * math.cos(math.radians(edge)) / lat_deg))

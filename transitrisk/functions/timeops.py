@@ -33,16 +33,6 @@ def sow(day, sod) -> Column:
     return _c(day) * DAY_S + _c(sod)
 
 
-def rel_after(t_sow, origin_sow) -> Column:
-    """Seconds from ``origin`` forward to ``t`` on the weekly circle."""
-    return F.pmod(_c(t_sow) - _c(origin_sow), F.lit(WEEK_S))
-
-
-def rel_before(t_sow, origin_sow) -> Column:
-    """Seconds from ``t`` forward to ``origin`` on the weekly circle."""
-    return F.pmod(_c(origin_sow) - _c(t_sow), F.lit(WEEK_S))
-
-
 def duration_minutes(dep_sod, arr_sod, day_offset) -> Column:
     """Edge duration in minutes with a day offset (F8)."""
     return ((_c(arr_sod) - _c(dep_sod)) / 60.0 + F.lit(1440) * _c(day_offset))
@@ -51,8 +41,8 @@ def duration_minutes(dep_sod, arr_sod, day_offset) -> Column:
 def format_hms(seconds) -> Column:
     """Seconds (may exceed a day) → 'HH:MM:SS' of the day."""
     s = F.pmod(_c(seconds), F.lit(DAY_S))
-    return F.format_string("%02d:%02d:%02d", (s / 3600).cast("int"),
-                           (F.pmod(s, F.lit(3600)) / 60).cast("int"), F.pmod(s, F.lit(60)))
+    return F.when(s.isNotNull(), F.format_string("%02d:%02d:%02d", (s / 3600).cast("int"),
+                           (F.pmod(s, F.lit(3600)) / 60).cast("int"), F.pmod(s, F.lit(60))))
 
 
 def is_hms(text) -> Column:

@@ -35,14 +35,12 @@ def cluster_labels(feats: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 def kmeans_sweep(feats: DataFrame, ks=K_SWEEP, seed: int = 0) -> DataFrame:
     """(k, inertia) for each K (M2). Each fit is a distributed job; the input
-    is cached once. K larger than the number of rows is skipped."""
+    is cached once. A K above the number of distinct rows is fitted too: there
+    each distinct row is a centre."""
     spark = feats.sparkSession
     feats = feats.select("features").cache()
-    n = feats.count()
     rows = []
     for k in ks:
-        if k > n:
-            continue
         model = fit_kmeans(feats, k, seed)
         rows.append((int(k), float(model.summary.trainingCost)))
     feats.unpersist()

@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,13 @@ def edge_delays(edges: DataFrame, obs: DataFrame) -> DataFrame:
             .select("edge_id", F.col("arrival_delay").alias("delay")))
 
 
+def delay_counts(long: DataFrame, key: str, value: str = "delay") -> DataFrame:
+    """(key, value, cnt): how often each measured delay occurs. Delays are whole
+    seconds within ±1000, so a key has at most 1999 rows however often it is observed."""
+    return (long.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("value"))
+            .agg(F.count(F.lit(1)).alias("cnt")))
+
+
 def delay_percentiles(long: DataFrame, key: str | list[str], value: str = "delay",
                       approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Seven percentiles (20…80) per key with linear interpolation.
@@ -50,15 +57,17 @@ def delay_percentiles(long: DataFrame, key: str | list[str], value: str = "delay
 
 
 def delay_histogram(long: DataFrame, key: str, value: str = "delay", bins: int = HIST_BINS) -> DataFrame:
-    """Normalised ``bins``-bin histogram per key between its min and max."""
-    rng = long.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"),
-                                F.count(value).alias("n"))
-    x = F.col(value).cast("double")
+    """Normalised ``bins``-bin histogram per key between its min and max (A12), from
+    the counts per (key, delay): the observations are scanned once."""
+    per = Window.partitionBy(key)
+    counts = delay_counts(long, key, value).withColumns({
+        "lo": F.min("value").over(per), "hi": F.max("value").over(per), "n": F.sum("cnt").over(per)})
+    x = F.col("value").cast("double")
     width = (F.col("hi") - F.col("lo")).cast("double")
     b = F.when(width > 0, F.least(F.floor((x - F.col("lo")) / width * bins) + 1, F.lit(bins))) \
         .otherwise(F.lit(1))
-    h = (long.join(rng, on=key).withColumn("bin", b.cast("int"))
-         .groupBy(key, "bin", "lo", "hi", "n").agg(F.count(F.lit(1)).alias("cnt")))
+    h = (counts.withColumn("bin", b.cast("int"))
+         .groupBy(key, "bin", "lo", "hi", "n").agg(F.sum("cnt").alias("cnt")))
     bw = F.when(width > 0, width / bins).otherwise(F.lit(1.0))
     return h.select(key, "bin", "cnt", (F.col("cnt") / (F.col("n") * bw)).alias("density"))
 
@@ -66,15 +75,20 @@ def delay_histogram(long: DataFrame, key: str, value: str = "delay", bins: int =
 def gamma_stats(long: DataFrame, key: str, value: str = "delay",
                 loc_pad: float = DEFAULT_LOC_PAD) -> DataFrame:
     """Sufficient statistics of a location-fixed gamma fit per key (A9, A10):
-    n, min, loc = min − pad, mean and mean log of x − loc, sample variance."""
-    mins = long.groupBy(key).agg(F.min(value).alias("x_min"))
-    x = F.col(value).cast("double")
+    n, min, loc = min − pad, mean and mean log of x − loc, sample variance.
+    One scan: everything follows from the counts per (key, delay)."""
     loc = F.col("x_min").cast("double") - F.lit(float(loc_pad))
-    return (long.join(mins, on=key).withColumn("loc", loc)
-            .groupBy(key, "x_min", "loc")
-            .agg(F.count(x).alias("n"), F.avg(x - F.col("loc")).alias("mean_shift"),
-                 F.avg(F.ln(x - F.col("loc"))).alias("mean_log"),
-                 F.var_samp(x).alias("var")))
+    h = (delay_counts(long, key, value).groupBy(key)
+         .agg(F.min("value").alias("x_min"), F.sum("cnt").alias("n"),
+              F.array_sort(F.collect_list(F.struct(F.col("value").cast("double").alias("x"), "cnt"))).alias("h"))
+         .withColumn("loc", loc))
+
+    def mean(of):
+        return F.aggregate("h", F.lit(0.0), lambda s, r: s + r["cnt"] * of(r["x"])) / F.col("n")
+
+    h = h.withColumns({"mean_shift": mean(lambda x: x - F.col("loc")), "mean_log": mean(lambda x: F.ln(x - F.col("loc")))})
+    var = mean(lambda x: F.pow(x - F.col("loc") - F.col("mean_shift"), F.lit(2))) * F.col("n") / (F.col("n") - 1)
+    return h.withColumn("var", F.when(F.col("n") > 1, var)).drop("h")
 
 
 FIT_SCHEMA = T.StructType([
@@ -202,20 +216,21 @@ def with_cdf(df: DataFrame, grids: DataFrame, dist_col: str, slack_col: str, out
     Equi-join on (law, slack clamped to the law's grid) against one row per
     grid point. The point table is broadcast only when its size (checked
     with one aggregate) is below a fixed bound; beyond it the join shuffles.
-    The per-law bounds table has one row per law and is always broadcast.
+    The per-law bounds table has fewer rows than the grids have points and
+    follows the same check. Beyond its grid a law keeps its last value.
     Rows with a null law get probability 1.
     """
     if cells is None:
         cells = grid_cells(grids)
     bounds, pts = tables or cdf_tables(grids)
-    pts = F.broadcast(pts) if cells <= GRID_BROADCAST_CELLS else pts
+    if cells <= GRID_BROADCAST_CELLS:
+        bounds, pts = F.broadcast(bounds), F.broadcast(pts)
     d = df.withColumn("_did", F.col(dist_col).cast("string"))
-    j = (d.join(F.broadcast(bounds), on="_did", how="left")
+    j = (d.join(bounds, on="_did", how="left")
          .withColumn("_s", F.greatest(F.least(F.col(slack_col), F.col("_hi")), F.col("_lo")))
          .join(pts, on=["_did", "_s"], how="left"))
     p = (F.when(F.col("_did").isNull(), F.lit(1.0))
          .when(F.col(slack_col) < F.col("_lo"), F.lit(0.0))
-         .when(F.col(slack_col) > F.col("_hi"), F.lit(1.0))
          .otherwise(F.col("_p")))
     return j.withColumn(out_col, p).drop("_did", "_lo", "_hi", "_s", "_p")
 

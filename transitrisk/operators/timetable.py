@@ -116,7 +116,7 @@ def finalize_edges(edges: DataFrame) -> DataFrame:
     dep_sow = F.col("dep_day") * DAY_S + F.col("dep_sod")
     arr_sow = dep_sow + F.col("delta") * 60
     return edges.withColumns({
-        "edge_id": F.xxhash64(*RUN_KEY, "dep_day", "dep_sod", "dep_node", "arr_node"),
+        "edge_id": F.xxhash64(*RUN_KEY, "dep_day", "dep_sod", "arr_day", "arr_sod", "dep_node", "arr_node"),
         "dep_sow": dep_sow.cast("int"),
         "arr_sow": arr_sow.cast("int"),
     })

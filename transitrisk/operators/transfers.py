@@ -45,7 +45,6 @@ LEGS_TYPE = T.ArrayType(LEG_TYPE)
 class SearchParams:
     buffer_s: int = 120          # fixed transfer buffer (planner default: 2 minutes)
     cutoff: float = 0.99         # stop scanning a path once a connection is this likely
-    max_rounds: int = 64         # safety bound; reaching it is reported, never silent
 
 
 def orient_rides(rides: DataFrame, mode: str) -> DataFrame:

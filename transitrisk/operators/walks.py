@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitrisk.functions.geo import haversine_m, min_cell_degrees, walk_seconds
+from transitrisk.functions.geo import grid_shape, haversine_m, walk_seconds
 from transitrisk.session import cut_lineage
 
 WALK_MAX_M = 500.0
@@ -15,7 +15,7 @@ def walk_pairs(stops: DataFrame, max_m: float = WALK_MAX_M, speed_mps: float = 1
     """All ordered pairs of distinct stops within ``max_m`` metres.
 
     Cell-bucketed equi-join: stops are put on a grid whose cells are at
-    least ``max_m`` wide at the highest latitude present, one side is
+    least ``max_m`` wide at the highest latitude present and wrap at ±180°, one side is
     exploded to its 3×3 neighbourhood and joined on the cell id; the exact
     haversine test then filters. No cross product is planned.
     """
@@ -23,16 +23,16 @@ def walk_pairs(stops: DataFrame, max_m: float = WALK_MAX_M, speed_mps: float = 1
     if max_lat is None:
         return stops.sparkSession.createDataFrame(
             [], "dep_node string, arr_node string, metres double, walk_s int")
-    dlat, dlon = min_cell_degrees(max_m * 1.01, float(max_lat))
+    dlat, columns = grid_shape(max_m * 1.01, float(max_lat))
     cells = stops.select("stop", "lat", "lon",
                          F.floor(F.col("lat") / dlat).alias("cy"),
-                         F.floor(F.col("lon") / dlon).alias("cx"))
-    offs = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+                         F.pmod(F.floor((F.col("lon") + 180.0) / (360.0 / columns)), F.lit(columns)).alias("cx"))
+    near_y = F.array(*[F.col("cy") + i for i in (-1, 0, 1)])
+    near_x = F.array_distinct(F.array(*[F.pmod(F.col("cx") + i, F.lit(columns)) for i in (-1, 0, 1)]))
     probe = (cells
-             .withColumn("oy", F.explode(offs)).withColumn("ox", F.explode(offs))
+             .withColumn("ny", F.explode(near_y)).withColumn("nx", F.explode(near_x))
              .select(F.col("stop").alias("a_stop"), F.col("lat").alias("a_lat"),
-                     F.col("lon").alias("a_lon"),
-                     (F.col("cy") + F.col("oy")).alias("cy"), (F.col("cx") + F.col("ox")).alias("cx")))
+                     F.col("lon").alias("a_lon"), F.col("ny").alias("cy"), F.col("nx").alias("cx")))
     pairs = probe.join(cells, on=["cy", "cx"])
     metres = haversine_m("a_lat", "a_lon", "lat", "lon")
     return (pairs.where(F.col("a_stop") != F.col("stop"))
@@ -85,7 +85,7 @@ def timetable_stops(edges: DataFrame) -> DataFrame:
     """Distinct stops used by the timetable, sorted."""
     return (edges.select(F.col("dep_node").alias("stop"))
             .union(edges.select(F.col("arr_node").alias("stop")))
-            .distinct())
+            .distinct().orderBy("stop"))
 
 
 def stops_in_timetable(stops: DataFrame, edges: DataFrame) -> DataFrame:

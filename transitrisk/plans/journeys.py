@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from transitrisk.functions.timeops import DAY_S, WEEK_S, format_hms
+from transitrisk.functions.timeops import DAY_S, WEEK_S, format_hms, hhmm_to_sod, is_hms, sow, today_weekday
 from transitrisk.operators.delays import cdf_tables, grid_cells
 from transitrisk.operators.paths import chain_segments, run_paths
 from transitrisk.operators.transfers import (LABEL_COLS, LEGS_TYPE, SearchParams, expand,
@@ -107,13 +107,13 @@ def _target_arrivals(labels: DataFrame, q: DataFrame, sw: DataFrame) -> DataFram
 
 
 def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = SearchParams(),
-           to_target: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+           to_target: bool = True) -> tuple[DataFrame, DataFrame]:
     """Runs the rounds for queries q(query_id, T, start, target, threshold, bound).
 
-    Returns (labels, q, status per query: rounds used and whether the round
-    limit cut the search). Each round is one reliable checkpoint of the
-    improved labels; the per-query bound (best target arrival so far) rides
-    along in the label rows, so no other table is rewritten per round.
+    Returns (labels, q). Only strict improvements go on, so the rounds end by
+    themselves. Each round is one reliable checkpoint of the improved labels;
+    the per-query bound (best target arrival so far) rides along in the label
+    rows, so no other table is rewritten per round.
     """
     sr = orient_rides(tt.rides, mode).cache()
     sw = orient_walks(tt.walks, mode).cache()
@@ -123,13 +123,7 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
     q, n_queries = cut_lineage_counted(q)
     frontier = _virtual_labels(q)
     pieces: list[DataFrame] = []
-    rounds = 0
-    truncated = False
     while True:
-        if rounds >= params.max_rounds:
-            truncated = True
-            break
-        rounds += 1
         boardings = expand(frontier, sr, sw, tt.grids, mode, params, cells, tables)
         cand = stay_aboard(boardings, sr, mode).select(*LABEL_COLS)
         if pieces:
@@ -155,6 +149,8 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
             frontier = (frontier.join(nb, "query_id", "left")
                         .withColumn("bound", F.least("bound", F.coalesce("_nb", "bound")))
                         .where(F.col("to_t") <= F.col("bound")).select(*LABEL_COLS))
+    for used in (sr, *tables):  # every round's labels are checkpoints by now
+        used.unpersist()
     if pieces:
         labels = (_union(pieces).groupBy("query_id", "edge_id")
                   .agg(F.max(F.struct("best", *[c for c in LABEL_COLS if c not in ("query_id", "edge_id", "best")]))
@@ -162,8 +158,7 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
                   .select("query_id", "edge_id", "r.*").select(*LABEL_COLS))
     else:
         labels = _virtual_labels(q).limit(0)
-    status = q.select("query_id", F.lit(rounds).alias("rounds"), F.lit(truncated).alias("truncated"))
-    return labels, q, status
+    return labels, q
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:
@@ -173,15 +168,27 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _validate(queries: DataFrame, rides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Splits queries into searchable ones and rejects with a reason."""
-    deps = rides.select(F.col("dep_node").alias("dep_node")).distinct().withColumn("_d", F.lit(True))
-    arrs = rides.select(F.col("arr_node").alias("arr_node")).distinct().withColumn("_a", F.lit(True))
-    v = queries.join(deps, "dep_node", "left").join(arrs, "arr_node", "left")
-    reason = (F.when(F.col("_d").isNull(), F.lit("unknown departure stop"))
+def known_stops(rides: DataFrame, walks: DataFrame | None, side: str) -> DataFrame:
+    """Stops that a ride or a walking link leaves (``dep_node``) or reaches (``arr_node``)."""
+    out = rides.select(side)
+    return (out if walks is None else out.unionByName(walks.select(side))).distinct()
+
+
+def _validate(queries: DataFrame, rides: DataFrame, walks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Splits queries into searchable ones and rejects with a reason.
+    Every input row is in exactly one of the two."""
+    deps = known_stops(rides, walks, "dep_node").withColumn("_d", F.lit(True))
+    arrs = known_stops(rides, walks, "arr_node").withColumn("_a", F.lit(True))
+    ids = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    v = queries.join(deps, "dep_node", "left").join(arrs, "arr_node", "left").join(ids, "query_id", "left")
+    reason = (F.when(F.col("query_id").isNull(), F.lit("query_id missing"))
+              .when(F.col("_n") > 1, F.lit("duplicate query_id"))
+              .when(~F.coalesce(F.col("mode").isin("depart", "arrive"), F.lit(False)), F.lit("unknown mode"))
+              .when(F.col("t_sow").isNull(), F.lit("time missing or malformed"))
+              .when(F.col("_d").isNull(), F.lit("unknown departure stop"))
               .when(F.col("_a").isNull(), F.lit("unknown arrival stop"))
-              .when(~F.col("threshold").between(0.0, 1.0), F.lit("threshold outside [0, 1]")))
-    v = v.withColumn("reason", reason).drop("_d", "_a")
+              .when(~F.coalesce(F.col("threshold").between(0.0, 1.0), F.lit(False)), F.lit("threshold outside [0, 1]")))
+    v = v.withColumn("reason", reason).drop("_d", "_a", "_n")
     return v.where(F.col("reason").isNull()).drop("reason"), v.where(F.col("reason").isNotNull())
 
 
@@ -198,7 +205,7 @@ def _real_times(mode: str, t: F.Column, dep_sow: F.Column, arr_sow: F.Column):
 BROADCAST_QUERIES = 2_000_000
 
 ITINERARY_SCHEMA = ("query_id long, leg int, kind string, trip_id long, dep_node string, arr_node string, "
-                    "dep_sow int, arr_sow int, prob double")
+                    "dep_sow int, arr_sow int, prob double, board_edge long, alight_edge long")
 
 # Time bounds of the successive search passes (seconds after/before the query).
 DEEPENING_S = (4 * 3600, DAY_S)
@@ -215,7 +222,8 @@ def _answers(labels: DataFrame, qf: DataFrame, sw: DataFrame) -> DataFrame:
             .agg(F.min_by(F.struct("arr_t", "best", "edge_id", "wa", "wb", "walk_s"), order).alias("r"))
             .select("query_id", "r.*"))
     legs = F.col("best.hist")
-    legs = F.when(F.col("edge_id") >= 0, F.concat(legs, F.array(ride_leg(F.col("best.board"), F.col("edge_id"))))) \
+    # the virtual start label has boarded nothing; edge ids are hashes of either sign
+    legs = F.when(F.col("best.board").isNotNull(), F.concat(legs, F.array(ride_leg(F.col("best.board"), F.col("edge_id"))))) \
         .otherwise(legs)
     legs = F.when(F.col("walk_s").isNotNull(),
                   F.concat(legs, F.array(walk_leg(F.col("wa"), F.col("wb"), F.col("walk_s"))))).otherwise(legs)
@@ -233,12 +241,13 @@ def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(
     Times are seconds of week in the query's frame (may pass the week's end
     or be negative around Monday 00:00).
 
-    The search runs in passes with growing time bounds (``deepening``). A
-    query answered within a pass's bound is final: every label on an
+    The search runs in passes with growing time bounds (``deepening``). An
+    answer that arrives within a pass's bound is final: every label on an
     optimal path arrives no later than the answer, and labels within the
-    bound are computed exactly. Only unanswered queries go to the next pass.
+    bound are computed exactly. An answer past the bound (its last stretch is
+    a walk) is not: it goes to the next pass with the unanswered queries.
     """
-    ok, rejected = _validate(queries, tt.rides)
+    ok, rejected = _validate(queries, tt.rides, tt.walks)
     summaries, itins = [], []
     for mode in ("depart", "arrive"):
         qm = ok.where(F.col("mode") == mode)
@@ -248,7 +257,7 @@ def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(
             "query_id", F.col("t_sow").cast("int").alias("T"), F.col(start).alias("start"),
             F.col(target).alias("target"), F.col("threshold").cast("double")))
         sw = orient_walks(tt.walks, mode)
-        found, statuses = [], []
+        found = []
         summaries.append(trivial.select("query_id", F.lit(mode).alias("mode"), F.lit("trivial").alias("status"),
                                         F.col("t_sow").cast("int").alias("dep_sow"),
                                         F.col("t_sow").cast("int").alias("arr_sow"),
@@ -259,21 +268,16 @@ def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(
             if level > 0 and pending.limit(1).count() == 0:
                 break
             qs = pending.withColumn("bound", F.lit(int(bound)))
-            labels, qf, status = search(qs, tt, mode, params, to_target=True)
-            best = cut_lineage(_answers(labels, qf, sw))
+            labels, qf = search(qs, tt, mode, params, to_target=True)
+            answers = _answers(labels, qf, sw)
+            if level < len(deepening) - 1:
+                answers = answers.where(F.col("arr_t") <= bound)
+            best = cut_lineage(answers)
             found.append(best)
-            last = level == len(deepening) - 1
-            if last:
-                statuses.append(status)
-            else:
-                statuses.append(status.join(best.select("query_id"), "query_id", "left_semi"))
             pending = cut_lineage(pending.join(best.select("query_id"), "query_id", "left_anti"))
         best = found[0]
         for b in found[1:]:
             best = best.unionByName(b)
-        status = statuses[0]
-        for st_ in statuses[1:]:
-            status = status.unionByName(st_)
         itin = _itinerary(best, tt.rides, mode)
         itins.append(itin)
         agg = (itin.groupBy("query_id")
@@ -281,9 +285,8 @@ def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(
                     F.first("prob").alias("prob"),
                     F.sum((F.col("kind") == "ride").cast("int")).alias("n_rides")))
         searched = qm.where(F.col("dep_node") != F.col("arr_node")).select("query_id")
-        found_df = searched.join(agg, "query_id", "left").join(status, "query_id", "left")
-        st = (F.when(F.col("prob").isNotNull(), F.lit("ok"))
-              .when(F.col("truncated"), F.lit("truncated")).otherwise(F.lit("no_path")))
+        found_df = searched.join(agg, "query_id", "left")
+        st = F.when(F.col("prob").isNotNull(), F.lit("ok")).otherwise(F.lit("no_path"))
         summaries.append(found_df.select("query_id", F.lit(mode).alias("mode"), st.alias("status"),
                                          F.col("dep_sow").cast("int"), F.col("arr_sow").cast("int"),
                                          "prob", F.col("n_rides").cast("int")))
@@ -341,7 +344,55 @@ def _itinerary(best: DataFrame, rides: DataFrame, mode: str) -> DataFrame:
                     F.when(~is_walk, F.col("trip_id")).alias("trip_id"),
                     F.when(is_walk, F.col("l.wa")).otherwise(F.col("_dn")).alias("dep_node"),
                     F.when(is_walk, F.col("l.wb")).otherwise(F.col("_an")).alias("arr_node"),
-                    F.col("dep_sow").cast("int"), F.col("arr_sow").cast("int"), "prob")
+                    F.col("dep_sow").cast("int"), F.col("arr_sow").cast("int"), "prob",
+                    F.col("l.e1").alias("board_edge"), F.col("l.e2").alias("alight_edge"))
+
+
+def itinerary_edges(itin: DataFrame, rides: DataFrame) -> DataFrame:
+    """One row per edge of the path (G8): a ride leg becomes the edges of its
+    run between boarding and alighting, a walk stays one row.
+    (query_id, step, leg, kind, trip_id, dep_node, arr_node, dep_sow, arr_sow, prob)"""
+    at = rides.select("edge_id", "trip_id", "day_start", "seg", "seq", "dep_sow")
+    first = at.select(F.col("edge_id").alias("board_edge"), F.col("day_start").alias("_day"), F.col("seg").alias("_seg"),
+                      F.col("seq").alias("_from"), F.col("dep_sow").alias("_b_dep"))
+    last = at.select(F.col("edge_id").alias("alight_edge"), F.col("seq").alias("_to"))
+    run = rides.select(F.col("trip_id").alias("_trip"), "day_start", "seg", "seq", F.col("dep_node").alias("_dn"),
+                       F.col("arr_node").alias("_an"), F.col("dep_sow").alias("_dep"), F.col("arr_sow").alias("_arr"))
+    legs = itin.where("kind = 'ride'").join(first, "board_edge").join(last, "alight_edge")
+    ridden = legs.join(run, (F.col("trip_id") == F.col("_trip")) & (F.col("_day") == F.col("day_start"))
+                       & (F.col("_seg") == F.col("seg")) & F.col("seq").between(F.col("_from"), F.col("_to")))
+    ridden = ridden.select("query_id", "leg", "kind", "trip_id", F.col("_dn").alias("dep_node"), F.col("_an").alias("arr_node"),
+                           (F.col("dep_sow") + F.col("_dep") - F.col("_b_dep")).cast("int").alias("dep_sow"),
+                           (F.col("dep_sow") + F.col("_arr") - F.col("_b_dep")).cast("int").alias("arr_sow"), "prob", "seq")
+    walked = itin.where("kind = 'walk'").select(
+        "query_id", "leg", "kind", "trip_id", "dep_node", "arr_node", "dep_sow", "arr_sow", "prob", F.lit(0).alias("seq"))
+    step = F.row_number().over(Window.partitionBy("query_id").orderBy("leg", "seq"))
+    return ridden.unionByName(walked).withColumn("step", step).select(
+        "query_id", "step", "leg", "kind", "trip_id", "dep_node", "arr_node", "dep_sow", "arr_sow", "prob")
+
+
+def itinerary_stops(edges: DataFrame, stops: DataFrame) -> DataFrame:
+    """Stop-wise table (W7, J9): every stop of the path with its arrival and
+    departure, the first without arrival and the last without departure, and
+    coordinates. (query_id, pos, stop, arr_sow, dep_sow, arr_clock, dep_clock, lon, lat)"""
+    w = Window.partitionBy("query_id").orderBy("step")
+    left = edges.select("query_id", F.col("step").alias("pos"), F.col("dep_node").alias("stop"),
+                        F.lag("arr_sow").over(w).alias("arr_sow"), "dep_sow")
+    ends = (edges.groupBy("query_id").agg(F.max(F.struct("step", "arr_node", "arr_sow")).alias("e"))
+            .select("query_id", (F.col("e.step") + 1).alias("pos"), F.col("e.arr_node").alias("stop"),
+                    F.col("e.arr_sow").alias("arr_sow"), F.lit(None).cast("int").alias("dep_sow")))
+    return (left.unionByName(ends).join(stops.select("stop", "lon", "lat"), "stop", "left")
+            .withColumns({"arr_clock": format_hms("arr_sow"), "dep_clock": format_hms("dep_sow")})
+            .select("query_id", "pos", "stop", "arr_sow", "dep_sow", "arr_clock", "dep_clock", "lon", "lat"))
+
+
+def clock_queries(q: DataFrame) -> DataFrame:
+    """Queries with a clock time 'HH:MM:SS' and an optional weekday (Monday = 0,
+    null: today) get ``t_sow`` (F19, F20); a malformed time gives null, which
+    the search rejects."""
+    day = F.coalesce(F.col("day"), today_weekday())
+    return (q.withColumn("t_sow", F.when(is_hms("clock") & day.between(0, 6), sow(day, hhmm_to_sod("clock"))).cast("int"))
+            .drop("clock", "day"))
 
 
 def itinerary_display(itin: DataFrame, stops: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from transitrisk.functions.timeops import sod_of
 
@@ -39,9 +40,13 @@ def read_actuals(spark: SparkSession, path: str) -> DataFrame:
     """Reads the daily files (glob allowed) as strings and projects/renames.
 
     No schema inference pass: every column is text, as in the source.
-    Missing optional columns are filled with nulls.
+    Missing optional columns are filled with nulls. A file whose header does
+    not match the others' is an error, never read by position.
     """
-    raw = spark.read.csv(path, sep=";", header=True, inferSchema=False)
+    reader = spark.read.option("sep", ";").option("header", True)
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    raw = reader.option("enforceSchema", False).schema(schema).csv(path)
     present = set(raw.columns)
     return raw.select(*[
         (F.col(src) if src in present else F.lit(None).cast("string")).alias(dst)

@@ -168,10 +168,12 @@ def plan_queries(events: DataFrame, mode: str, threshold: float = DEFAULT_THRESH
 
 
 def iso_queries(events: DataFrame, range_s: int = ISO_RANGE_S,
-                threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+                threshold: float = DEFAULT_THRESHOLD, mode: str = "depart") -> DataFrame:
+    """One query per user: around the first event, or backward from the last one ('arrive')."""
     u = _user_ends(events)
-    return u.select(F.col("user_id").alias("query_id"), F.col("f.stop").alias("start_node"),
-                    F.col("f.sow").cast("int").alias("t_sow"), F.lit(int(range_s)).alias("range_s"),
+    end = "f" if mode == "depart" else "l"
+    return u.select(F.col("user_id").alias("query_id"), F.col(f"{end}.stop").alias("start_node"),
+                    F.col(f"{end}.sow").cast("int").alias("t_sow"), F.lit(int(range_s)).alias("range_s"),
                     F.lit(float(threshold)).alias("threshold"))
 
 
