@@ -495,6 +495,31 @@ def q_gamma_stats(spark, d):
                     r6("mean_shift").alias("mean_shift"), r6("mean_log").alias("mean_log"), r6("var").alias("var"))
 
 
+# The maximum-likelihood shape in SQL: bisection on ln(a) - digamma(a) = ln(mean) - mean(ln), the
+# digamma by its recurrence up to a + 8 and its asymptotic series there.
+def _digamma_sql(a: str) -> str:
+    y = f"({a} + 8)"
+    steps = " - ".join(f"1 / ({a} + {i})" for i in range(8))
+    return (f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6))"
+            f" + 1 / (240 * pow({y}, 8)) - {steps})")
+
+
+SQL_STOP_FITS = V.with_views(V.SQL_OBS).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+m AS (SELECT stop, min(arrival_delay) AS x_min, max(arrival_delay) AS x_max FROM v_obs GROUP BY stop),
+st AS (SELECT stop, x_min, x_max, x_min - CAST(1e-10 AS DOUBLE) AS loc, count(*) AS n,
+              avg(arrival_delay - (x_min - CAST(1e-10 AS DOUBLE))) AS mean_shift,
+              avg(ln(arrival_delay - (x_min - CAST(1e-10 AS DOUBLE)))) AS mean_log
+       FROM v_obs JOIN m USING (stop) GROUP BY stop, x_min, x_max),
+it AS (
+  SELECT stop, ln(mean_shift) - mean_log AS s, CAST(-20 AS DOUBLE) AS lo, CAST(20 AS DOUBLE) AS hi, 0 AS k FROM st
+  UNION ALL
+  SELECT stop, s, CASE WHEN g > s THEN (lo + hi) / 2 ELSE lo END, CASE WHEN g > s THEN hi ELSE (lo + hi) / 2 END, k + 1
+  FROM (SELECT *, (lo + hi) / 2 - {_digamma_sql('exp((lo + hi) / 2)')} AS g FROM it) WHERE k < 70),
+fit AS (SELECT st.*, exp((lo + hi) / 2) AS shape, mean_shift / exp((lo + hi) / 2) AS scale
+        FROM st JOIN it USING (stop) WHERE k = 70)
+"""
+
+
 def _stop_fits(spark, d):
     long = _obs(spark, d).select("stop", F.col("arrival_delay").alias("delay"))
     st = D.gamma_stats(long, "stop")
@@ -502,14 +527,18 @@ def _stop_fits(spark, d):
     return D.fit_gamma(st).join(mx, "stop")
 
 
-@register("gamma_fit")
+@register("gamma_fit", SQL_STOP_FITS + """
+SELECT stop, 'mle' AS method, round(shape, 6) AS shape, round(loc, 6) AS loc, round(scale, 6) AS scale, n FROM fit""")
 def q_gamma_fit(spark, d):
     f = _stop_fits(spark, d)
     return f.select("stop", "method", r6("shape").alias("shape"), r6("loc").alias("loc"),
                     r6("scale").alias("scale"), bi("n").alias("n"))
 
 
-@register("gamma_pdf_curve")
+@register("gamma_pdf_curve", SQL_STOP_FITS.rstrip() + f""",
+p AS (SELECT *, x_min + (x_max - x_min) * i / ({D.PDF_POINTS} - 1.0) AS x FROM fit, range({D.PDF_POINTS}) AS r(i))
+SELECT stop, i, round(x, 6) AS x, round(CASE WHEN x > loc THEN
+         exp((shape - 1) * ln((x - loc) / scale) - (x - loc) / scale - lgamma(shape)) / scale ELSE 0 END, 6) AS pdf FROM p""")
 def q_gamma_pdf_curve(spark, d):
     c = D.gamma_pdf_curve(_stop_fits(spark, d), "stop")
     return c.select("stop", bi("i").alias("i"), r6("x").alias("x"), r6("pdf").alias("pdf"))
