@@ -106,14 +106,94 @@ def walk_leg(a: Column, b: Column, walk_s: Column) -> Column:
                     walk_s.cast("int").alias("walk_s"))
 
 
+def safe_slacks(grids: DataFrame, cutoff: float) -> DataFrame:
+    """(dist_id, safe_s): the least slack at which a law's CDF exceeds the
+    cut-off; null if it never does within its grid."""
+    at = F.array_position(F.transform("grid", lambda p: p > F.lit(cutoff)), F.lit(True))
+    return grids.select("dist_id", F.when(at > 0, F.col("lo") + at - 1).cast("int").alias("safe_s"))
+
+
+def first_beyond(sr: DataFrame, mode: str, safe: DataFrame, buffer_s: int) -> DataFrame:
+    """W5 ends at the first-arriving ride of (stop, next stop, path) that is
+    likely enough. Per group and hour bin this is that ride among those
+    departing (depart mode) or safe (arrive mode) beyond the bin's edge within
+    a day, so a search looks it up instead of joining a day of rides.
+
+    depart: rides leaving at or after the bin's start.
+    arrive: rides whose arrival plus safe slack lies before the bin's start;
+    the law is the ride's own, rides without a safe slack never qualify.
+    Columns as ``sr``, with ``bin`` the bin to look up.
+    """
+    if mode == "depart":
+        r = sr.withColumn("key", F.col("from_abs").cast("long"))
+        edges = F.sequence(F.floor((F.col("key") - DAY_S) / HOUR_S) + 1, F.floor(F.col("key") / HOUR_S))
+        delta = F.col("from_abs") - F.col("edge")
+    else:
+        r = (sr.join(safe.withColumnRenamed("dist_id", "_did"), F.col("dist_id") == F.col("_did")).drop("_did")
+             .where(F.col("safe_s").isNotNull())
+             .withColumn("key", (F.col("from_abs") + F.greatest(F.col("safe_s"), F.lit(-buffer_s))).cast("long")).drop("safe_s"))
+        edges = F.sequence(F.floor(F.col("key") / HOUR_S) + 1, F.floor((F.col("key") + DAY_S) / HOUR_S))
+        delta = F.col("edge") - F.col("from_abs")
+    r = r.withColumn("edge_bin", F.explode(edges)).withColumn("edge", F.col("edge_bin") * HOUR_S)
+    order = F.struct(delta + F.col("dur"), delta, F.col("edge_id"))
+    cols = [c for c in sr.columns if c not in ("bin", "from_node", "to_node", "path_id")]
+    return (r.groupBy("from_node", "to_node", "path_id", F.pmod("edge_bin", F.lit(BINS)).cast("int").alias("bin"))
+            .agg(F.min_by(F.struct(*cols), order).alias("r"))
+            .select("from_node", "to_node", "path_id", "bin", "r.*").select(*sr.columns))
+
+
 LABEL_COLS = ["query_id", "T", "target", "threshold", "bound", "edge_id", "virtual",
               "to_node", "to_t", "from_node", "path_id", "trip_id", "day_start", "dist_id", "best"]
 
 
+@dataclass
+class Lookups:
+    """Per search: safe slacks of the laws, their maximum (None if a law has
+    none), and the rides to look up beyond a bin."""
+    safe: DataFrame
+    most: int | None
+    beyond: DataFrame
+
+
+def lookups(sr: DataFrame, grids: DataFrame, mode: str, params: SearchParams) -> Lookups:
+    safe = safe_slacks(grids, params.cutoff).cache()
+    r = safe.agg(F.max("safe_s").alias("m"), F.count_if(F.col("safe_s").isNull()).alias("n")).first()
+    return Lookups(safe, r["m"] if r["n"] == 0 else None, first_beyond(sr, mode, safe, params.buffer_s).cache())
+
+
+def _via_keys(vias: DataFrame, mode: str, params: SearchParams, look: Lookups) -> DataFrame:
+    """Explodes (label, via) into the bins to join: those up to the first safe
+    time (``far`` false) and one bin to look up beyond it (``far`` true)."""
+    lo, hi = F.col("lo"), F.col("hi")
+    ready = F.col("to_t") + F.col("walk_s") + F.lit(params.buffer_s)
+    if mode == "depart":
+        safe = look.safe.select(F.col("dist_id").alias("_did"), F.col("safe_s").alias("_safe"))
+        vias = vias.join(safe, F.col("dist_id") == F.col("_did"), "left")
+        end = (F.when(F.col("dist_id").isNull(), lo).when(F.col("_safe").isNull(), hi)
+               .otherwise(F.greatest(lo, ready + F.col("_safe"))))
+        edge_bin = F.floor((F.col("T") + F.col("_end")) / HOUR_S) + 1
+        vias = vias.withColumn("_end", end).drop("_did", "_safe")
+        near_end, far = F.least(hi, F.col("_end") + 1), F.col("_end") < hi
+    else:
+        # p is 1 for a direct ride into the destination: those labels join all their bins
+        plain = F.col("virtual") & ~F.col("is_walk")
+        end = hi if look.most is None else F.least(hi, ready + F.lit(max(look.most, -params.buffer_s) + HOUR_S + 1))
+        vias = vias.withColumn("_end", F.when(plain, hi).otherwise(end))
+        edge_bin = F.floor((F.col("T") - ready) / HOUR_S)
+        near_end, far = F.greatest(lo + 1, F.col("_end")), ~plain
+    near = F.transform(window_bins(mode, lo, near_end), lambda x: F.struct(x.alias("bin"), F.lit(False).alias("far")))
+    beyond = F.array(F.struct(F.pmod(edge_bin, F.lit(BINS)).cast("int").alias("bin"), F.lit(True).alias("far")))
+    keys = F.concat(near, F.when(far, beyond).otherwise(F.filter(beyond, lambda x: F.lit(False))))
+    return vias.withColumn("k", F.explode(keys)).select("*", "k.bin", "k.far").drop("k", "_end", "lo", "hi")
+
+
 def expand(frontier: DataFrame, sr: DataFrame, sw: DataFrame, grids: DataFrame, mode: str,
-           params: SearchParams, cells: int | None = None, tables=None) -> DataFrame:
+           params: SearchParams, cells: int | None = None, tables=None, look: Lookups | None = None) -> DataFrame:
     """One expansion step: frontier labels → best boarding per (query, ride).
 
+    Rides are joined only up to the time a connection is safe (W5's cut-off by
+    the monotone CDF); the one ride beyond that may end a group is looked up.
+
     frontier: LABEL_COLS (``best`` = struct(prob, start_t, pkey, hist, board)).
     Returns (query_id, edge_id, trip_id, day_start, seg, seq, best) for rides
     boarded by a transfer, with W5 (cut-off after the first connection more
@@ -131,13 +211,14 @@ def expand(frontier: DataFrame, sr: DataFrame, sw: DataFrame, grids: DataFrame,
     vias = direct.unionByName(walked)
     lo = F.col("to_t") + F.col("walk_s")
     hi = F.least(F.lit(DAY_S), F.col("bound") + 1)
-    vias = (vias.where(lo < hi)
-            .withColumn("bin", F.explode(window_bins(mode, lo, hi))))
-    cands = sr.withColumnsRenamed({
+    look = look or lookups(sr, grids, mode, params)
+    vias = _via_keys(vias.where(lo < hi).withColumns({"lo": lo, "hi": hi}), mode, params, look)
+    both = sr.withColumn("c_far", F.lit(False)).unionByName(look.beyond.withColumn("c_far", F.lit(True)))
+    cands = both.withColumnsRenamed({
         "edge_id": "c_edge", "trip_id": "c_trip", "day_start": "c_day", "path_id": "c_path",
         "dist_id": "c_dist", "from_node": "c_from", "to_node": "c_to", "seg": "c_seg",
         "seq": "c_seq", "bin": "c_bin"})
-    c = vias.join(cands, on=[F.col("b") == F.col("c_from"), F.col("bin") == F.col("c_bin")])
+    c = vias.join(cands, on=[F.col("b") == F.col("c_from"), F.col("bin") == F.col("c_bin"), F.col("far") == F.col("c_far")])
     rt = rel_times(mode)
     c = c.withColumns({"c_from_t": rt["from_t"], "c_to_t": rt["to_t"]})
     tsod = F.pmod(F.col("T"), F.lit(DAY_S))
@@ -241,7 +322,9 @@ def transfer_table(rides: DataFrame, walks: DataFrame | None, grids: DataFrame,
     of the same path, no immediate return. The join key is (stop, hour of
     week), so a hub stop is spread over 168 keys. ``cutoff`` keeps, per
     (x, via stop, next stop, path), the candidates up to and including the
-    first with probability above ``params.cutoff`` (forward order).
+    first with probability above ``params.cutoff`` (forward order); then only
+    rides up to the safe time are joined, the first-arriving one beyond is
+    looked up, and so are the last hours of the day, where it may be out of reach.
     """
     x = rides.select(F.col("edge_id").alias("x_edge"), F.col("trip_id").alias("x_trip"),
                      F.col("day_start").alias("x_day"), F.col("path_id").alias("x_path"),
@@ -260,16 +343,40 @@ def transfer_table(rides: DataFrame, walks: DataFrame | None, grids: DataFrame,
         v = v.unionByName(p)
     lo = F.col("xa") + F.col("walk_s")
     hi = F.col("xa") + F.lit(DAY_S)
-    v = v.where(F.col("walk_s") <= DAY_S).withColumn(
-        "bin", F.explode(F.transform(F.sequence(F.floor(lo / HOUR_S), F.floor(hi / HOUR_S)),
-                                     lambda b: F.pmod(b, F.lit(BINS)).cast("int"))))
+    v = v.where(F.col("walk_s") <= DAY_S)
+
+    def bins(a, b):
+        return F.sequence(F.floor(a / HOUR_S), F.floor(b / HOUR_S))
+
+    far = F.array().cast("array<bigint>")
+    near = bins(lo, hi)
+    if cutoff:
+        safe = safe_slacks(grids, params.cutoff).withColumnsRenamed({"dist_id": "_did", "safe_s": "_safe"})
+        v = v.join(safe, F.col("x_dist") == F.col("_did"), "left").drop("_did")
+        longest = rides.agg(F.max(F.col("arr_sow") - F.col("dep_sow"))).first()[0] or 0
+        end = (F.when(F.col("x_dist").isNull(), lo).when(F.col("_safe").isNull(), hi)
+               .otherwise(F.least(hi, F.greatest(lo, lo + F.lit(params.buffer_s) + F.col("_safe")))))
+        v = v.withColumn("_end", end)
+        near = F.array_union(bins(lo, F.col("_end")), bins(F.greatest(lo, hi - F.lit(longest)), hi))
+        far = F.array(F.floor(F.col("_end") / HOUR_S) + 1)
+    key = lambda bs, is_far: F.transform(bs, lambda b: F.struct(F.pmod(b, F.lit(BINS)).cast("int").alias("bin"),
+                                                               F.lit(is_far).alias("far")))
+    v = v.withColumn("k", F.explode(F.array_distinct(F.concat(key(near, False), key(far, True))))).select("*", "k.bin", "k.far").drop("k")
     e = rides.select(F.col("edge_id").alias("e_edge"), F.col("trip_id").alias("e_trip"),
                      F.col("day_start").alias("e_day"), F.col("path_id").alias("e_path"),
                      F.col("dep_node").alias("e_dep"), F.col("arr_node").alias("e_arr"),
                      F.pmod("dep_sow", F.lit(WEEK_S)).alias("ed"),
                      (F.col("arr_sow") - F.col("dep_sow")).alias("e_dur"),
-                     F.floor(F.pmod("dep_sow", F.lit(WEEK_S)) / HOUR_S).cast("int").alias("e_bin"))
-    j = v.join(e, (v.via == e.e_dep) & (v.bin == e.e_bin))
+                     F.floor(F.pmod("dep_sow", F.lit(WEEK_S)) / HOUR_S).cast("int").alias("e_bin"),
+                     F.lit(False).alias("e_far"))
+    if cutoff:
+        with_runs = rides if "seg" in rides.columns else rides.withColumns({"seg": F.lit(0), "seq": F.lit(0)})
+        beyond = first_beyond(orient_rides(with_runs, "depart"), "depart", safe, params.buffer_s)
+        e = e.unionByName(beyond.select(
+            F.col("edge_id").alias("e_edge"), F.col("trip_id").alias("e_trip"), F.col("day_start").alias("e_day"),
+            F.col("path_id").alias("e_path"), F.col("from_node").alias("e_dep"), F.col("to_node").alias("e_arr"),
+            F.col("from_abs").alias("ed"), F.col("dur").alias("e_dur"), F.col("bin").alias("e_bin"), F.lit(True).alias("e_far")))
+    j = v.join(e, (v.via == e.e_dep) & (v.bin == e.e_bin) & (v.far == e.e_far))
     gap = F.pmod(F.col("ed") - F.col("xa"), F.lit(WEEK_S))
     j = j.withColumn("gap", gap.cast("int"))
     is_walk = F.col("prev_node").isNotNull()
@@ -285,6 +392,8 @@ def transfer_table(rides: DataFrame, walks: DataFrame | None, grids: DataFrame,
               .rowsBetween(Window.unboundedPreceding, -1))
         j = j.withColumn("_seen", F.max((F.col("p") > params.cutoff).cast("int")).over(w5)) \
              .where(F.coalesce(F.col("_seen"), F.lit(0)) == 0).drop("_seen")
+        # the looked-up ride may also stand in a joined bin
+        j = j.dropDuplicates(["x_edge", "e_edge", "via", "walk_s"])
     return j.select("x_edge", "e_edge", "via", "walk_s", "gap", "slack", "p")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from transitrisk.functions.timeops import DAY_S, WEEK_S, format_hms, hhmm_to_sod, is_hms, sow, today_weekday
 from transitrisk.operators.delays import cdf_tables, grid_cells
 from transitrisk.operators.paths import chain_segments, run_paths
-from transitrisk.operators.transfers import (LABEL_COLS, LEGS_TYPE, SearchParams, expand,
+from transitrisk.operators.transfers import (LABEL_COLS, LEGS_TYPE, SearchParams, expand, lookups,
                                               orient_rides, orient_walks, ride_leg, stay_aboard,
                                               walk_leg)
 from transitrisk.session import cut_lineage, cut_lineage_counted
@@ -120,11 +120,12 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
     cells = grid_cells(tt.grids)
     bounds, pts = cdf_tables(tt.grids)
     tables = (bounds.cache(), pts.cache())
+    look = lookups(sr, tt.grids, mode, params)
     q, n_queries = cut_lineage_counted(q)
     frontier = _virtual_labels(q)
     pieces: list[DataFrame] = []
     while True:
-        boardings = expand(frontier, sr, sw, tt.grids, mode, params, cells, tables)
+        boardings = expand(frontier, sr, sw, tt.grids, mode, params, cells, tables, look)
         cand = stay_aboard(boardings, sr, mode).select(*LABEL_COLS)
         if pieces:
             # strict improvement over every earlier label of the same (query, edge):
@@ -149,7 +150,7 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
             frontier = (frontier.join(nb, "query_id", "left")
                         .withColumn("bound", F.least("bound", F.coalesce("_nb", "bound")))
                         .where(F.col("to_t") <= F.col("bound")).select(*LABEL_COLS))
-    for used in (sr, *tables):  # every round's labels are checkpoints by now
+    for used in (sr, *tables, look.safe, look.beyond):  # every round's labels are checkpoints by now
         used.unpersist()
     if pieces:
         labels = (_union(pieces).groupBy("query_id", "edge_id")
