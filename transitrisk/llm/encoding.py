@@ -16,7 +16,8 @@ from functools import lru_cache
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces a task remembers; beyond it the memory starts anew (results do not change).
+#: Pieces a worker remembers in each of two generations: when the younger is full it
+#: becomes the older, and what is not used again goes (results do not change).
 MEMORY_PIECES = 400_000
 LONGEST_PIECE = 64
 
@@ -43,65 +44,75 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
+def encoder(path: str) -> "Encoder":
+    """One encoder per worker process: tasks that follow each other share its memory."""
+    return Encoder(path)
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
 
 
+class _Memory(dict):
+    """Encodings of pieces; an unknown one is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.encode(piece)
+        if len(piece) <= LONGEST_PIECE:
+            if len(self) >= MEMORY_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Encoder:
-    """Encodes lists of texts; a piece of text is given to the library once.
-    An encoder serves ids or spans, not both."""
+    """Encodes texts; a piece of text is given to the library once."""
 
     def __init__(self, path: str):
         self.tokenizer = _load(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known_ids, self.known_spans = _Memory(self._ids_of), _Memory(self._spans_of)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of every text."""
-        return [np.frombuffer(b"".join(got), np.uint32) for _, got in self._encoded(texts, self._ids_of)]
+        known = self.known_ids.__getitem__
+        return [np.frombuffer(b"".join(map(known, self._pieces(t))), np.uint32) for t in texts]
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
         """(n, 2) character offsets of every text's tokens, in order."""
         out = []
-        for pieces, got in self._encoded(texts, self._spans_of):
+        for text in texts:
+            pieces = self._pieces(text)
+            got = list(map(self.known_spans.__getitem__, pieces))
             flat = np.frombuffer(b"".join(got), np.int32).reshape(-1, 2).astype(np.int64)
             at = np.cumsum([0, *map(len, pieces[:-1])])
             out.append(flat + np.repeat(at, [len(g) // 8 for g in got])[:, None] if got else flat)
         return out
 
-    def _ids_of(self, pieces):
+    def _ids_of(self, piece: str) -> bytes:
+        if not _WORD.match(piece):
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         # a plain word is one pre-token: the library's model takes it directly
-        model, word, rest, out = self.tokenizer.model, _WORD.match, [], {}
-        for p in pieces:
-            if word(p):
-                letters = p.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                out[p] = array("I", [t.id for t in model.tokenize(letters)]).tobytes()
-            else:
-                rest.append(p)
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            out[p] = array("I", e.ids).tobytes()
-        return out
+        if piece.isascii():
+            letters = _BYTE_LETTERS[0x20] + piece[1:] if piece[0] == " " else piece
+        else:
+            letters = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
-    def _spans_of(self, pieces):
-        return {p: np.array(e.offsets, np.int32).tobytes()
-                for p, e in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False))}
+    def _spans_of(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).offsets, np.int32).tobytes()
 
     def _pieces(self, text: str) -> list[str]:
         if _OTHER_SPACE.search(text) or any(s in text for s in self.special):
             return [text]
         return _PIECES.findall(text)
-
-    def _encoded(self, texts, encode):
-        """Pieces and their encodings, per text."""
-        pieces = list(map(self._pieces, texts))
-        used = set().union(*pieces)
-        fresh = used.difference(self.known)
-        if len(self.known) + len(fresh) > MEMORY_PIECES:
-            self.known.clear()
-            fresh = used
-        found = encode(list(fresh)) if fresh else {}
-        self.known.update((p, found.pop(p)) for p in fresh if len(p) <= LONGEST_PIECE)
-        get = self.known.__getitem__ if not found else lambda p: found[p] if p in found else self.known[p]
-        for p in pieces:
-            yield p, list(map(get, p))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitrisk.llm.common import small_batches
-from transitrisk.llm.encoding import Encoder, vocabulary_path
+from transitrisk.llm.encoding import encoder, vocabulary_path
 
 RULES = ("most", "first", "split")
 
@@ -74,12 +74,12 @@ def attribute_tokens(docs: DataFrame, id_col="doc_id", text_col="text", sections
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        spans_of = encoder(path).spans
         for part in small_batches(batches, "__text", 1 << 21):
             texts = [t or "" for t in part["__text"].to_pylist()]
             given = part["__sections"].to_pylist() if sections_col else [None] * len(texts)
             rows, cols = [], [[] for _ in range(6)]
-            for i, (text, spans, sections) in enumerate(zip(texts, encoder.spans(texts), given)):
+            for i, (text, spans, sections) in enumerate(zip(texts, spans_of(texts), given)):
                 if sections_col:
                     sections = sorted((s for s in sections or [] if s), key=lambda s: s["start"])
                     starts = np.array([s["start"] for s in sections], np.int64)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitrisk.llm.common import doc_fingerprint, small_batches, stored
-from transitrisk.llm.encoding import Encoder, vocabulary_path
+from transitrisk.llm.encoding import encoder, vocabulary_path
 
 MAGIC = b"PFR1"
 BLOCK_IDS = 256
@@ -107,7 +107,7 @@ def write_tokens(docs: DataFrame, id_col="doc_id", text_col="text", vocabulary:
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, size, segment, shard = Encoder(path), [], 0, 0, 0
+        encode, held, size, segment, shard = encoder(path).ids, [], 0, 0, 0
 
         def flush():
             doc_ids, keys, ids = (list(x) for x in zip(*held))
@@ -120,7 +120,7 @@ def write_tokens(docs: DataFrame, id_col="doc_id", text_col="text", vocabulary:
         for part in small_batches(batches, "__text"):
             texts = [t or "" for t in part["__text"].to_pylist()]
             shard = part["shard"][0].as_py()
-            for doc_id, key, ids in zip(part["doc_id"].to_pylist(), part["text_key"].to_pylist(), encoder.ids(texts)):
+            for doc_id, key, ids in zip(part["doc_id"].to_pylist(), part["text_key"].to_pylist(), encode(texts)):
                 held.append((doc_id, key, np.append(ids, np.uint32(END_ID))))
                 size += len(ids) + 1
                 if size >= segment_ids:
