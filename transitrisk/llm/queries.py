@@ -103,6 +103,40 @@ def _op1_sql() -> str:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _op4_sql() -> str:
+    templates = [(t, x, True) for t, x in licenses.PHRASES] + [(t, x, False) for t, x in licenses.NOTICES]
+    rows = ", ".join(f"({i}, '{x}', {str(b).lower()}, string_split('{t}', ' '))" for i, (t, x, b) in enumerate(templates))
+    k = licenses.K
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{ALNUM_WORD_RE}') AS words FROM documents),
+    t(tid, label, base, words) AS (VALUES {rows}),
+    tg AS (SELECT tid, label, base, len(words) AS len, p - 1 AS tpos, array_to_string(words[p:p + {k - 1}], ' ') AS g
+           FROM (SELECT *, unnest(range(1, len(words) - {k - 2})) AS p FROM t)),
+    dg AS (SELECT * FROM (SELECT rid, i - 1 AS pos, array_to_string(words[i:i + {k - 1}], ' ') AS g
+             FROM (SELECT rid, words, unnest(range(1, len(words) - {k - 2})) AS i FROM d WHERE len(words) >= {k}))
+           WHERE g IN (SELECT g FROM tg)),
+    v AS (SELECT rid, tid, label, base, len, pos, tpos, pos - tpos AS diagonal FROM dg JOIN tg USING (g)),
+    dia AS (SELECT rid, tid, label, base, len, diagonal, count(DISTINCT tpos) AS votes, min(pos) AS lo, max(pos) AS hi
+            FROM v GROUP BY ALL),
+    runs AS (SELECT rid, tid, diagonal, lo, hi, sum(fresh) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS copy
+             FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, tid ORDER BY diagonal) <= {licenses.GAP}
+                              THEN 0 ELSE 1 END AS fresh FROM dia WHERE NOT base)),
+    spans AS (SELECT rid, tid, copy, min(lo) AS first, max(hi) + {k} AS stop FROM runs GROUP BY ALL),
+    cover AS (SELECT rid, tid, copy, label, len, count(DISTINCT tpos + j) AS covered
+              FROM v JOIN runs USING (rid, tid, diagonal), range({k}) AS r(j) GROUP BY ALL),
+    found AS (
+      SELECT rid, label, true AS base, diagonal AS first, 1.0 AS coverage FROM dia WHERE base AND votes = len - {k - 1}
+      UNION ALL
+      SELECT rid, label, false, first, covered / len FROM cover JOIN spans USING (rid, tid, copy)
+      WHERE covered / len >= {licenses.MIN_COVERAGE} AND stop - first <= {licenses.MAX_STRETCH} * len),
+    r AS (SELECT rid, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+            string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM found GROUP BY rid)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+      last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+      coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN r USING (rid)"""
+
+
 def _op6_sql() -> str:
     def chars(column, letters):
         return " + ".join(f"(length({column}) - length(replace({column}, '{c}', '')))" for c in letters)
@@ -176,4 +210,4 @@ def _op7_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefixes": _op1_sql(), "op6_line_cleaning": _op6_sql(), "op7_positional_index": _op7_sql()}
+    return {"op1_chat_prefixes": _op1_sql(), "op4_license_diagonals": _op4_sql(), "op6_line_cleaning": _op6_sql(), "op7_positional_index": _op7_sql()}
