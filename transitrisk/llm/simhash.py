@@ -233,7 +233,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
               .select("fp", "least", F.coalesce("component", "fp").alias("root")))
     linked = rooted.join(comp.select("component").distinct(), F.col("root") == F.col("component"), "left_semi")
     best = linked.groupBy("root").agg(F.min("least").alias("best"))
-    named = (rooted.join(best, "root", "left")
-             .select(F.col("fp").alias("__fp"), "root", F.coalesce("best", "least").alias("component_id")))
+    # stored, so that the last join reads two plain shuffles: one hot fingerprint is then split by AQE
+    named = stored(rooted.join(best, "root", "left")
+                   .select(F.col("fp").alias("__fp"), "root", F.coalesce("best", "least").alias("component_id")),
+                   "simhash-named")
     return (fps.join(named, F.col("fp") == F.col("__fp"))
             .select("id", *keep, "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
