@@ -62,3 +62,23 @@ def test_empty(spark):
 def test_main_path_is_native(spark):
     plan = chat.conversation_digest(chat.format_turns(conversations(spark, ROWS)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_example_is_written(spark, monkeypatch):
+    rows = ROWS + [(9, i, "assistant" if i % 3 else "user", f"turn {i} [INST]") for i in range(70)]
+    written = {}
+    stored = chat.stored
+    monkeypatch.setattr(chat, "stored", lambda df, name, *a: written.setdefault(name, stored(df, name, *a)))
+    back = chat.write_examples(conversations(spark, rows), example_turns=8, block_turns=16)
+    turns = chat.format_turns(conversations(spark, rows))
+    full = {(r["conv_id"], r["example"]): r for r in chat.expand(turns).collect()}
+    got, spans = {}, {}
+    for r in sorted((r for r in written["chat-examples"].collect() if r["example"] is not None), key=lambda r: r["block"]):
+        key = r["conv_id"], r["example"]
+        assert r["char_start"] == len(got.get(key, "")) and r["n_turns"] <= 8
+        got[key] = got.get(key, "") + r["text"]
+        if r["loss_start"] is not None:
+            assert spans.setdefault(key, (r["loss_start"], r["loss_end"])) == (r["loss_start"], r["loss_end"])
+    assert got == {k: r["text"] for k, r in full.items()} and (9, 46) in got
+    assert spans == {k: (r["loss_start"], r["loss_end"]) for k, r in full.items()}
+    assert sorted(map(str, back.collect())) == sorted(map(str, turns.select(back.columns).collect()))

@@ -1,12 +1,13 @@
 """Chat formatting by prefix-target expansion, in DataFrame functions only.
 
 Every assistant turn is an example of its own: all turns before it are its
-context and only its text is trainable. The examples of a conversation share
-their prefixes, so a turn is formatted and stored once, with its place in the
-conversation's character stream; an example is the prefix of that stream that
-ends with its reply, and its loss mask is the span of the reply's text.
-``expand`` writes examples out in full (their size grows with the square of a
-conversation's length, whatever the engine).
+context and only its text is trainable. A turn is formatted once, with its
+place in the conversation's character stream; an example is the prefix of that
+stream that ends with its reply, and its loss mask is the span of the reply's
+text. ``write_examples`` writes every example in full, in rows of a block of
+turns each, so that neither a long conversation nor a long example is one row
+or one task, and reads the turns back from them. ``expand`` joins an example's
+text into one row.
 
 Template:  <|turn|>ROLE<|text|>TEXT<|end|>
 Control strings inside roles and texts get a backslash after their first
@@ -32,6 +33,8 @@ REPLY_ROLE = "assistant"
 CONTROLS = ("<|", "|>", "<<SYS>>", "<</SYS>>", "<s>", "</s>", "[INST]", "[/INST]")
 #: Turn numbers that share a window; a longer conversation is dealt over several.
 BLOCK_TURNS = 256
+#: Turns of an example that share a row of the written examples.
+EXAMPLE_TURNS = 32
 
 
 def escape(c: F.Column) -> F.Column:
@@ -124,5 +127,60 @@ def conversation_digest(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> Dat
                         "formatted_chars", "n_examples")
 
 
-def write_examples(conversations: DataFrame, **kw) -> DataFrame:
-    return stored(format_turns(conversations, **kw), "chat-turns")
+def example_blocks(turns: DataFrame, example_turns: int = EXAMPLE_TURNS) -> DataFrame:
+    """Every example in full, a row per block of its turns: conv_id, example, block,
+    first_turn, n_turns, char_start, text, and in the block of the reply loss_start and
+    loss_end. Turns that no example holds (after the last reply) have a null example."""
+    def block(turn_no):
+        return F.floor((turn_no - 1) / example_turns)
+
+    blocks = (turns.groupBy("conv_id", block(F.col("turn_no")).alias("block"))
+              .agg(F.array_sort(F.collect_list(F.struct("turn_no", "char_start", "formatted"))).alias("t")))
+    one, last = F.lit(1).cast("long"), F.col("turn_no")
+    replies = turns.where("example is not null").select(
+        F.col("conv_id").alias("e_conv"), "example", one.alias("from_turn"), last.alias("to_turn"), "loss_start", "loss_end")
+    unheld = (turns.groupBy("conv_id").agg(F.max("turn_no").alias("to_turn"),
+                                           F.max(F.when(F.col("example").isNotNull(), last)).alias("held"))
+              .select(F.col("conv_id").alias("e_conv"), F.lit(None).cast("long").alias("example"),
+                      (F.coalesce("held", F.lit(0)) + one).alias("from_turn"), "to_turn",
+                      F.lit(None).cast("long").alias("loss_start"), F.lit(None).cast("long").alias("loss_end"))
+              .where("from_turn <= to_turn"))
+    wanted = replies.unionByName(unheld).withColumn(
+        "e_block", F.explode(F.sequence(block(F.col("from_turn")), block(F.col("to_turn")))))
+    held = F.filter("t", lambda x: (x["turn_no"] >= F.col("from_turn")) & (x["turn_no"] <= F.col("to_turn")))
+    ends_here = F.col("e_block") == block(F.col("to_turn"))
+    return (blocks.join(wanted, F.col("conv_id").eqNullSafe(F.col("e_conv")) & (F.col("block") == F.col("e_block")))
+            .withColumn("t", held)
+            .select("conv_id", "example", "block", F.col("t")[0]["turn_no"].alias("first_turn"),
+                    F.size("t").alias("n_turns"), F.col("t")[0]["char_start"].alias("char_start"),
+                    F.array_join("t.formatted", "").alias("text"),
+                    F.when(ends_here, F.col("loss_start")).alias("loss_start"),
+                    F.when(ends_here, F.col("loss_end")).alias("loss_end")))
+
+
+def turns_of(examples: DataFrame) -> DataFrame:
+    """The rows of ``format_turns``, cut out of written examples: a reply from the example
+    that trains it, any other turn from the last example or the rows without one."""
+    parts = examples.withColumn("t", F.split("text", r"(?=<\|turn\|>)"))
+    reply = F.element_at("t", -1)
+    turn_no = F.col("first_turn") + F.size("t") - 1
+    replies = parts.where("loss_start is not null").select(
+        "conv_id", turn_no.alias("turn_no"), (F.col("char_start") + F.length("text") - F.length(reply)).alias("char_start"),
+        reply.alias("formatted"), "example", (turn_no - 1).alias("n_context_turns"), "loss_start", "loss_end")
+    last = examples.groupBy("conv_id").agg(F.max("example").alias("l_example")).withColumnRenamed("conv_id", "l_conv")
+    before = F.aggregate(F.slice("t", 1, F.col("i")), F.lit(0), lambda n, x: n + F.length(x))
+    none = F.lit(None).cast("long")
+    others = (parts.join(last, F.col("conv_id").eqNullSafe(F.col("l_conv")))
+              .where("example is null or example = l_example")
+              .select("conv_id", "first_turn", "char_start", "t", F.posexplode("t").alias("i", "formatted"))
+              .where(~F.startswith("formatted", F.lit(TURN + REPLY_ROLE + TEXT)))
+              .select("conv_id", (F.col("first_turn") + F.col("i")).alias("turn_no"),
+                      (F.col("char_start") + before).alias("char_start"), "formatted", none.alias("example"),
+                      none.alias("n_context_turns"), none.alias("loss_start"), none.alias("loss_end")))
+    return replies.unionByName(others)
+
+
+def write_examples(conversations: DataFrame, example_turns: int = EXAMPLE_TURNS, **kw) -> DataFrame:
+    """Writes every example in full and returns the turns as read back from them."""
+    turns = stored(format_turns(conversations, **kw), "chat-turns")
+    return turns_of(stored(example_blocks(turns, example_turns), "chat-examples"))
