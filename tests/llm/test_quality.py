@@ -54,3 +54,21 @@ def test_cleaning_and_verdict(spark, docs):
     assert got[1]["n_bad_lines"] == 2
     assert not got[2]["kept"] and not got[2]["base_failed"] and got[2]["clean_text"] == "One good line."
     assert quality.clean_documents(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("line, why", [
+    ("Copyright 2024 Example Inc. All rights reserved.", "boilerplate"), ("Please log in or sign in.", "boilerplate"),
+    ("Privacy Policy, Terms of Use, Cookie Policy", "boilerplate"), ("Log in", "boilerplate"),
+    ("A new design in oak.", None), ("The catalog in print.", None), ("They assign in turn.", None), ("A blog in French.", None),
+    ("Readers who subscribe to the weekly letter find the terms of use of the archive on its last page.", None),
+    *[(" ".join(["word"] * 12) + m, None) for m in "।॥。！？؟۔։።၊។།᠃：；𑅁"], (" ".join(["คำ"] * 12), None),
+    (" ".join(["शब्द"] * 12), "punctuation"), (" ".join(["слово"] * 12), "punctuation")])
+def test_phrases_are_words_and_marks_of_all_scripts(line, why):
+    assert quality.line_fails(line) == why
+
+
+def test_one_phrase_does_not_drop_a_long_line(spark, docs):
+    text = " ".join(f"word{i}" for i in range(200)) + ". Some click here to subscribe to it; see the terms of use."
+    hindi = " ".join(f"शब्द{i}" for i in range(30)) + "।"
+    got = {r["doc_id"]: r for r in quality.clean_documents(docs([(1, text), (2, hindi)]), keep=("doc_id",)).collect()}
+    assert got[1]["kept"] and got[1]["clean_text"] == text and got[2]["kept"] and got[2]["clean_text"] == hindi

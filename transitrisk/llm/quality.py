@@ -4,8 +4,10 @@ that loses too much of its text is rejected.
 Line rules (a line without words is kept as it is and never judged):
     navigation   at least 3 separators (| » › • ·), one for every 4 words or more
     punctuation  as many symbols as words, or as many exclamation marks, of 3 words or more;
-                 or 10 words and more without any sentence mark
-    boilerplate  a fixed phrase of page furniture
+                 or 10 words and more without any sentence mark of any script
+                 (Thai and Lao set spaces for marks, so their lines pass)
+    boilerplate  fixed phrases of page furniture, as whole words, that hold a third
+                 of the line's words or more
 
 Document rules: fewer than 20 words; over 30 % of the words in repeated 8-word
 windows; less than half of the words left after cleaning.
@@ -38,7 +40,25 @@ SENTENCE_MARKS = ".!?:;…"
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service",
                "sign in", "log in", "subscribe to", "click here", "enable javascript", "lorem ipsum", "skip to content")
 
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
+# Sentence marks of other scripts (Unicode Sentence_Terminal), full-width, Arabic,
+# Ethiopic and Tibetan marks, and the letters of Thai and Lao.
+OTHER_SENTENCE_MARKS = (
+    r"\u037E\u0589\u061B\u061D-\u061F\u06D4\u0700-\u0702\u07F9\u0837\u0839\u083D\u083E\u0964\u0965\u0E01-\u0EFF"
+    r"\u0F08\u0F0D-\u0F12\u104A\u104B\u1362-\u1368\u166E\u1735\u1736\u17D4\u17D5\u1803\u1809\u1944\u1945"
+    r"\u1AA8-\u1AAB\u1B5A\u1B5B\u1B5E\u1B5F\u1B7D-\u1B7F\u1C3B\u1C3C\u1C7E\u1C7F\u2024\u203C\u203D\u2047-\u2049"
+    r"\u2CF9-\u2CFB\u2E2E\u2E3C\u2E53\u2E54\u3002\uA4FF\uA60E\uA60F\uA6F3\uA6F7\uA876\uA877\uA8CE\uA8CF\uA92F"
+    r"\uA9C8\uA9C9\uAA5D-\uAA5F\uAAF0\uAAF1\uABEB\uFE12\uFE13-\uFE16\uFE19\uFE52\uFE54-\uFE57\uFF01\uFF0E\uFF1A"
+    r"\uFF1B\uFF1F\uFF61\U00010A56\U00010A57\U00010F55-\U00010F59\U00010F86-\U00010F89\U00011047\U00011048"
+    r"\U000110BE-\U000110C1\U00011141-\U00011143\U000111C5\U000111C6\U000111CD\U000111DE\U000111DF"
+    r"\U00011238\U00011239\U0001123B\U0001123C\U000112A9\U0001144B\U0001144C\U000115C2\U000115C3"
+    r"\U000115C9-\U000115D7\U00011641\U00011642\U0001173C-\U0001173E\U00011944\U00011946\U00011A42\U00011A43"
+    r"\U00011A9B\U00011A9C\U00011C41\U00011C42\U00011EF7\U00011EF8\U00011F43\U00011F44\U00016A6E\U00016A6F"
+    r"\U00016AF5\U00016B37\U00016B38\U00016B44\U00016E98\U0001BC9F\U0001DA88")
+#: Boilerplate phrases fail a line when one word in so many, or more, is theirs.
+LINE_WORDS_A_PHRASE_WORD = 3
+
+_BOILERPLATE = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, BOILERPLATE)) + r")(?!\w)")
+_SENTENCE_MARK = re.compile(f"[{re.escape(SENTENCE_MARKS)}{OTHER_SENTENCE_MARKS}]")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _ASCII_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
@@ -53,9 +73,10 @@ def line_fails(line: str) -> str | None:
         return "navigation"
     if n >= 3 and (sum(map(line.count, SYMBOLS)) >= n or line.count("!") >= n):
         return "punctuation"
-    if n >= 10 and not any(m in line for m in SENTENCE_MARKS):
+    if n >= 10 and not _SENTENCE_MARK.search(line):
         return "punctuation"
-    if _BOILERPLATE.search(line.translate(_ASCII_LOWER)):
+    phrases = _BOILERPLATE.findall(line.translate(_ASCII_LOWER))
+    if phrases and LINE_WORDS_A_PHRASE_WORD * sum(len(p.split(" ")) for p in phrases) >= n:
         return "boilerplate"
     return None
 
