@@ -48,3 +48,20 @@ def test_labels_include_base(spark, docs):
     got = {r["doc_id"]: (r["base_labels"], r["labels"]) for r in licenses.license_report(docs(rows)).collect()}
     assert got == {1: ("cc-by-nc", "all-rights-reserved,cc-by-nc"), 2: ("cc-by-nc", "cc-by-nc")}
     assert licenses.license_report(docs([])).count() == 0
+
+
+def test_copies_close_together(spark, docs):
+    bsd = next(t for t, label in licenses.NOTICES if label == "bsd")
+    w = bsd.split()
+    edited = " ".join(w[:5] + ["extra"] + w[5:])
+    rows = [(1, "A. All rights reserved. B. All rights reserved."), (2, "all rights reserved " * 50),
+            (3, "Released under the MIT license. Released under the MIT license."), (4, f"{edited} x {edited}"),
+            (5, f"{bsd} {edited} {bsd}"), (6, "all rights reserved"), (7, "all rights x rights reserved all")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_report(docs(rows)).collect()}
+    assert got == {1: ("all-rights-reserved", 1.0), 2: ("all-rights-reserved", 1.0), 3: ("mit", 1.0), 4: ("bsd", 1.0),
+                   5: ("bsd", 1.0), 6: ("all-rights-reserved", 1.0), 7: ("", 0.0)}
+    spans = licenses.scan_licenses(docs(rows))[1].where("not base").collect()
+    places = {i: sorted((r["first"], r["last"]) for r in spans if r["doc_id"] == i) for i, _ in rows}
+    n = len(w)
+    assert places[1] == [(1, 3), (5, 7)] and places[2] == [(3 * i, 3 * i + 2) for i in range(50)]
+    assert places[3] == [(0, 4), (5, 9)] and places[4] == [(0, n), (n + 2, 2 * n + 2)] and len(places[5]) == 3

@@ -5,7 +5,10 @@ same k-grams in license templates. A hit at document word p and template word
 t votes for the diagonal p - t, i.e. for a copy that starts at word p - t.
 Neighbouring diagonals (small insertions or deletions) are merged, and a
 merged span is verified: the hits' words must equal the template's, in a span
-not much longer than the template, covering enough of it.
+not much longer than the template, covering enough of it. Copies close
+together make one longer span: every diagonal in it then opens a copy of its
+own, taking in later diagonals that go on in the template within the allowed
+length; where copies overlap the best one stands.
 
 Base phrases are templates too: all their k-grams voting for one diagonal is a
 place where the phrase's words stand consecutively.
@@ -114,6 +117,41 @@ def kgram_hits(docs: DataFrame, id_col: str, text_col: str, grams: np.ndarray, k
                                "gram long, pos long, words string")
 
 
+def _words(tpos: F.Column, k: int) -> F.Column:
+    """The template words under k-grams."""
+    return F.array_distinct(F.flatten(F.transform(tpos, lambda t: F.sequence(t, t + (k - 1)))))
+
+
+def split_runs(runs: DataFrame, k: int, max_stretch: float, reach: int, min_coverage: float) -> DataFrame:
+    """Copies in runs of diagonals longer than a copy may be: (*runs, first, last, coverage).
+    ``reach``: the most words of a copy of any template."""
+    here = Window.partitionBy("row", "tid", "copy")
+    ahead = here.orderBy("lo").rangeBetween(0, reach)
+    part = F.struct("lo", "hi", F.array_min("tpos").alias("from"), _words(F.col("tpos"), k).alias("covered"))
+    own = F.struct("hi", _words(F.col("tpos"), k).alias("covered"))
+
+    def goes_on(x):
+        return ((x["hi"] + k - F.col("lo") <= max_stretch * F.col("len")) & (x["from"] > F.array_min("tpos")))
+
+    def taken(copy, x):
+        adds = F.size(F.array_except(x["covered"], copy["covered"])) > 0
+        return F.when(adds, F.struct(F.greatest(copy["hi"], x["hi"]).alias("hi"),
+                                     F.array_union(copy["covered"], x["covered"]).alias("covered"))).otherwise(copy)
+
+    found = (runs.withColumn("near", F.array_sort(F.collect_list(part).over(ahead)))
+             .withColumn("made", F.aggregate(F.filter("near", goes_on), own, taken))
+             .withColumns({"first": F.col("lo"), "last": F.col("made.hi") + (k - 1),
+                           "coverage": F.size("made.covered") / F.col("len")})
+             .where(F.col("coverage") >= min_coverage))
+    # of copies that overlap: the highest coverage, then the shortest, then the first
+    rank = F.struct("coverage", (F.col("first") - F.col("last")).alias("short"), (-F.col("first")).alias("early"),
+                    (-F.col("diagonal")).alias("low"))
+    around = here.orderBy("first").rangeBetween(-reach, reach)
+    rivals = F.collect_list(F.struct("first", "last", rank.alias("rank"))).over(around)
+    return found.withColumns({"rank": rank, "rivals": rivals}).where(~F.exists("rivals", lambda x: (
+        (x["first"] <= F.col("last")) & (x["last"] >= F.col("first")) & (x["rank"] > F.col("rank")))))
+
+
 def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text", templates=None, k: int = K, gap: int = GAP,
                   min_coverage: float = MIN_COVERAGE, max_stretch: float = MAX_STRETCH) -> tuple[DataFrame, DataFrame]:
     """(documents, spans). documents: row, doc_id, n_words. spans: row, doc_id, n_words, tid, label,
@@ -133,15 +171,17 @@ def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text", templates=N
                                F.count(F.lit(1)).alias("n_places"), F.lit(1.0).alias("coverage")))
     run = Window.partitionBy("row", "tid").orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(run) > gap).cast("int"), F.lit(1))
-    merged = (diagonals.where(~F.col("base")).withColumn("fresh", fresh)
-              .withColumn("copy", F.sum("fresh").over(run))
-              .groupBy(*key, "copy").agg(F.array_distinct(F.flatten(F.collect_list("tpos"))).alias("tpos"),
-                                         F.min("lo").alias("first"), (F.max("hi") + k).alias("end")))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(
-        "tpos", lambda t: F.sequence(t, t + (k - 1))))))
-    copies = (merged.withColumn("coverage", covered / F.col("len"))
-              .where((F.col("coverage") >= min_coverage) & (F.col("end") - F.col("first") <= max_stretch * F.col("len")))
-              .select(*key, "first", (F.col("end") - 1).alias("last"), F.lit(1).cast("long").alias("n_places"), "coverage"))
+    span = Window.partitionBy("row", "tid", "copy")
+    runs = (diagonals.where(~F.col("base")).withColumn("fresh", fresh).withColumn("copy", F.sum("fresh").over(run))
+            .withColumn("whole", F.max("hi").over(span) + k - F.min("lo").over(span) <= max_stretch * F.col("len")))
+    merged = (runs.where("whole")
+              .groupBy(*key, "copy").agg(_words(F.flatten(F.collect_list("tpos")), k).alias("covered"),
+                                         F.min("lo").alias("first"), F.max("hi").alias("hi")))
+    longest = grid.agg(F.max("len")).first()[0]
+    opened = split_runs(runs.where(~F.col("whole")), k, max_stretch, int(max_stretch * longest), min_coverage)
+    copies = (merged.select(*key, "first", (F.col("hi") + (k - 1)).alias("last"), (F.size("covered") / F.col("len")).alias("coverage"))
+              .where(F.col("coverage") >= min_coverage).unionByName(opened.select(*key, "first", "last", "coverage"))
+              .withColumn("n_places", F.lit(1).cast("long")))
     return documents, base.unionByName(copies)
 
 
