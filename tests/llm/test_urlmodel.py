@@ -119,3 +119,9 @@ def test_calibrate_picks_the_gap(spark):
 def test_main_path_is_native(spark):
     df = urlmodel.judge_urls(pages(spark, URLS))
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_calibrate_beyond_two_nats(spark):
+    rows = [(-5e9 + i * 1e7, "block", 1) for i in range(10)] + [(-3e9 + i * 1e7, "allow", 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "score double, label string, copies long")
+    assert -4.91e9 < urlmodel.calibrate(df).first()["cut"] <= -3e9

@@ -122,13 +122,14 @@ def score_urls(urls: DataFrame, order: int = ORDER, folds: int = FOLDS) -> DataF
             .groupBy("key1", "key2").agg((F.sum(F.col("ratio")[F.col("variant")]) / F.count(F.lit(1))).alias("score")))
 
 
-def calibrate(labelled: DataFrame, bins: int = 2000, width: float = 0.002) -> DataFrame:
+def calibrate(labelled: DataFrame, bins: int = 2000) -> DataFrame:
     """One row ``cut``: the score that best separates the classes (highest sum
-    of both classes' shares on the right side), from a histogram of fixed size.
-    The cut lies in the middle of the best run of bins."""
-    half = bins // 2
-    at = F.greatest(F.lit(-half), F.least(F.lit(half), F.floor(F.col("score") / NANO / width)))
-    counts = (labelled.groupBy(at.alias("bin"))
+    of both classes' shares on the right side), from a histogram of a fixed number of
+    bins between the least and the greatest score. The cut lies in the middle of the best run of bins."""
+    low, high = F.min("score").alias("low"), F.max("score").alias("high")
+    ends = labelled.agg(low, high).select("low", F.greatest((F.col("high") - F.col("low")) / bins, F.lit(1.0)).alias("step"))
+    at = F.least(F.lit(bins - 1).cast("long"), F.floor((F.col("score") - F.col("low")) / F.col("step")))
+    counts = (labelled.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin"))
               .agg(F.sum(F.when(F.col("label") == "allow", F.col("copies")).otherwise(0)).alias("a"),
                    F.sum(F.when(F.col("label") == "block", F.col("copies")).otherwise(0)).alias("b")))
     rows = counts.agg(F.array_sort(F.collect_list(F.struct("bin", "a", "b"))).alias("h"))
@@ -144,7 +145,8 @@ def calibrate(labelled: DataFrame, bins: int = 2000, width: float = 0.002) -> Da
             'hi', if((s.below_b + x.b) / nb + (na - s.below_a - x.a) / na > s.best, x.bin + 1,
                      if(s.open, x.bin, s.hi)),
             'open', (s.below_b + x.b) / nb + (na - s.below_a - x.a) / na > s.best))""")
-    return rows.select(best.alias("s")).select(((F.col("s.lo") + F.col("s.hi")) / 2 * width * NANO).alias("cut"))
+    return (rows.select(best.alias("s")).crossJoin(F.broadcast(ends))
+            .select((F.col("low") + (F.col("s.lo") + F.col("s.hi")) / 2 * F.col("step")).alias("cut")))
 
 
 def judge_urls(pages: DataFrame, id_col="page_id", url_col="url", rules=RULES, order: int = ORDER,
