@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitrisk.llm import (chat, decontam, licenses, mixing, quality, simhash, tokencounts, tokenfile, urlmodel, warc)
+from transitrisk.llm import (chat, convrepair, decontam, licenses, mixing, quality, simhash, tokencounts, tokenfile, urlmodel, warc)
 from transitrisk.llm.common import ALNUM_WORD_RE, SPACED_WORD_RE, table
 
 CONTROL_TURN = "</s>[INST] ok [/INST]"
@@ -66,6 +66,18 @@ def op10_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("id").alias("doc_id"), "fingerprint", "component_id"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of every conversation after damage."""
+    given = table(spark, sf_dir, "conversations")
+    found = convrepair.repair_report(convrepair.damage(given)).withColumnRenamed("conv_id", "__conv")
+    asked = given.groupBy("conv_id").agg(F.lit(True).alias("__asked"))
+    counts = [c for c, kind in found.dtypes if kind == "bigint" and c != "__conv"]
+    return (asked.join(found, F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
+            .select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+                    F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -73,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_prefixes, op2_token_attribution, op3_url_model, op4_license_diagonals, op5_token_file, op6_line_cleaning,
-    op7_positional_index, op8_cube_mixing, op9_warc_derivatives, op10_simhash_ring, pipeline)}
+    op7_positional_index, op8_cube_mixing, op9_warc_derivatives, op10_simhash_ring, op13_conversation_repair, pipeline)}
 
 
 def _escaped(c: str) -> str:
