@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitrisk.llm import (chat, convrepair, decontam, licenses, mixing, quality, simhash, tokencounts, tokenfile, urlmodel, warc)
+from transitrisk.llm import (chat, convrepair, decontam, hardnegatives, licenses, mixing, quality, simhash, tokencounts, tokenfile, urlmodel, warc)
 from transitrisk.llm.common import ALNUM_WORD_RE, SPACED_WORD_RE, table
 
 CONTROL_TURN = "</s>[INST] ok [/INST]"
@@ -66,6 +66,14 @@ def op10_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("id").alias("doc_id"), "fingerprint", "component_id"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector, labels of every 7th moved on by one."""
+    given = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("long")
+    found = hardnegatives.mine(given.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and digest of every conversation after damage."""
     given = table(spark, sf_dir, "conversations")
@@ -85,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_prefixes, op2_token_attribution, op3_url_model, op4_license_diagonals, op5_token_file, op6_line_cleaning,
-    op7_positional_index, op8_cube_mixing, op9_warc_derivatives, op10_simhash_ring, op13_conversation_repair, pipeline)}
+    op7_positional_index, op8_cube_mixing, op9_warc_derivatives, op10_simhash_ring, op11_hard_negatives, op13_conversation_repair, pipeline)}
 
 
 def _escaped(c: str) -> str:
@@ -221,5 +229,28 @@ def _op7_sql() -> str:
     FROM d LEFT JOIN marked USING (rid) LEFT JOIN items USING (rid) LEFT JOIN near USING (rid)"""
 
 
+def _op11_sql() -> str:
+    h = hardnegatives
+    return f"""
+    WITH v AS (
+      SELECT row_number() OVER () AS no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, x -> floor({h.SCALE} * x::DOUBLE)) AS q
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false)))),
+    s AS (
+      SELECT a.no AS a_no, a.vec_id AS anchor_id, a.label AS a_label, b.no AS b_no, b.vec_id AS b_id, b.label AS b_label,
+        list_dot_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.no <> b.no WHERE a.vec_id % 50 = 0),
+    p AS (SELECT a_no, anchor_id, b_no, b_id AS positive_id, score AS positive_score FROM s WHERE a_label = b_label
+          QUALIFY row_number() OVER (PARTITION BY a_no ORDER BY score DESC, b_id NULLS LAST, b_no) <= {h.POSITIVES})
+    SELECT p.anchor_id, positive_id,
+      (row_number() OVER (PARTITION BY p.a_no, p.b_no ORDER BY score DESC, s.b_id NULLS LAST, s.b_no))::INTEGER AS rank,
+      s.b_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.a_no = p.a_no AND s.a_label <> s.b_label
+      AND {h.LOW_PERCENT} * positive_score <= 100 * score AND 100 * score <= {h.HIGH_PERCENT} * positive_score
+    QUALIFY row_number() OVER (PARTITION BY p.a_no, p.b_no ORDER BY score DESC, s.b_id NULLS LAST, s.b_no) <= {h.NEGATIVES}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefixes": _op1_sql(), "op4_license_diagonals": _op4_sql(), "op6_line_cleaning": _op6_sql(), "op7_positional_index": _op7_sql()}
+    return {"op1_chat_prefixes": _op1_sql(), "op4_license_diagonals": _op4_sql(), "op6_line_cleaning": _op6_sql(), "op7_positional_index": _op7_sql(),
+            "op11_hard_negatives": _op11_sql()}
