@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitrisk.llm import (chat, convrepair, decontam, hardnegatives, licenses, mixing, quality, simhash, tokencounts, tokenfile, urlmodel, warc)
+from transitrisk.llm import (chat, convrepair, decontam, hardnegatives, licenses, mixing, neighbourgraph, quality, simhash, tokencounts, tokenfile, urlmodel, warc)
 from transitrisk.llm.common import ALNUM_WORD_RE, SPACED_WORD_RE, table
 
 CONTROL_TURN = "</s>[INST] ok [/INST]"
@@ -74,6 +74,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
+def op12_neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every 20th one."""
+    return neighbourgraph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and digest of every conversation after damage."""
     given = table(spark, sf_dir, "conversations")
@@ -93,7 +98,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_prefixes, op2_token_attribution, op3_url_model, op4_license_diagonals, op5_token_file, op6_line_cleaning,
-    op7_positional_index, op8_cube_mixing, op9_warc_derivatives, op10_simhash_ring, op11_hard_negatives, op13_conversation_repair, pipeline)}
+    op7_positional_index, op8_cube_mixing, op9_warc_derivatives, op10_simhash_ring, op11_hard_negatives, op12_neighbour_graph,
+    op13_conversation_repair, pipeline)}
 
 
 def _escaped(c: str) -> str:
@@ -234,9 +240,9 @@ def _op11_sql() -> str:
     return f"""
     WITH v AS (
       SELECT row_number() OVER () AS no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-        list_transform(embedding, x -> floor({h.SCALE} * x::DOUBLE)) AS q
+        list_transform(embedding, lambda x: floor({h.SCALE} * x::DOUBLE)) AS q
       FROM embeddings
-      WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false)))),
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
     s AS (
       SELECT a.no AS a_no, a.vec_id AS anchor_id, a.label AS a_label, b.no AS b_no, b.vec_id AS b_id, b.label AS b_label,
         list_dot_product(a.q, b.q)::BIGINT AS score

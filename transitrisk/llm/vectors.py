@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from transitrisk.llm.common import stored
+
 #: Parts into which a class of equal rows is dealt before its smallest ids meet.
 SALTS = 16
 
@@ -32,3 +34,15 @@ def matrix_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     n = len(column)
     values = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
     return values.reshape(n, -1) if n and len(values) else np.zeros((n, 0), values.dtype)
+
+
+def dense_numbers(rows: DataFrame, name: str) -> DataFrame:
+    """Numbers rows from 0 without gaps: the place within a written partition plus the
+    sizes of the partitions before it (one row a partition)."""
+    placed = stored(rows.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__first"))
+    return (placed.withColumn("__part", part).join(starts, "__part")
+            .withColumn(name, F.col("__first") + place).drop("__part", "__first", "__at"))
