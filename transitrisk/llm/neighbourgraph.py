@@ -14,11 +14,10 @@ moves is grouped by block first: a vector is sent once to a block that hosts
 or scores it, and proposals of a block for one list are cut to the length of
 the list. A task holds one block.
 
-Nearness is the largest inner product. For the graph, vectors are divided by
-the greatest norm and given a last component that makes all norms 1, so that
-the order of distances is that of inner products; half-precision copies drive
-graph and search, and what a query found is scored again in double precision
-on the original vectors, component by component in order.
+Nearness is the largest inner product, in the graph as in the answers: a list
+names the nodes that its node would find. Half-precision copies, divided by the
+greatest norm, drive graph and search, and what a query found is scored again
+in double precision on the original vectors, component by component in order.
 
 Equal vectors are one node; its smallest ids stand for it, as many as an answer
 may hold. Defined results: null, empty and zero vectors and those with a null or
@@ -39,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transitrisk.llm.common import row_keys, stored
+from transitrisk.llm.common import row_keys, shuffles_removed, stored
 from transitrisk.llm.vectors import dense_numbers, finite, smallest_members
 
 NEIGHBOURS = 20          # of an answer
-LIST = 40                # entries of a node's list
+LIST = 48                # entries of a node's list
 SAMPLE = 20              # new and as many old entries that join in a round, of each direction
-BEAM = 100               # best nodes that a query keeps
-OPEN = 25                # nodes that a query opens in a round
+BEAM = 160               # best nodes that a query keeps
+OPEN = 40                # nodes that a query opens in a round
 LEAST_CHANGE = 0.005     # share of entries that must change for another round
 MOST_ROUNDS = 20
 BLOCK = 4096             # nodes
@@ -55,19 +54,15 @@ STATE = "block long, node long, near array<long>, scores array<float>, fresh arr
 PROPOSALS = "block long, node long, near array<long>, scores array<float>"
 
 
-def _units(nodes: DataFrame, width: int, norm: float, query: bool) -> DataFrame:
-    """(block, node, unit): vectors divided by the greatest norm, with the component that
-    makes their norm 1 (0 for queries), in half precision."""
+def _units(nodes: DataFrame, width: int, norm: float) -> DataFrame:
+    """(block, node, unit): vectors divided by the greatest norm, in half precision."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.zeros((batch.num_rows, width + 1))
+            x = np.zeros((batch.num_rows, width))
             for row, v in zip(x, batch["vector"]):
                 row[:len(v)] = v.values.to_numpy()
-            x /= norm
-            if not query:
-                x[:, -1] = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["node"], pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())],
-                                             ["block", "node", "unit"])
+            units = pa.array([r.tobytes() for r in (x / norm).astype(np.float16)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["block"], batch["node"], units], ["block", "node", "unit"])
 
     return nodes.select("block", "node", "vector").mapInArrow(run, "block long, node long, unit binary")
 
@@ -409,9 +404,10 @@ def nearest(vectors: DataFrame, query: Column, id_col="vec_id", vector_col="embe
     n_nodes, width, norm2 = nodes.agg(F.count(F.lit(1)), F.max(F.size("vector")), F.max(square)).first()
     n_blocks = max(1, -(-n_nodes // block))
     norm, width = float(norm2 or 1.0) ** 0.5, width or 0
-    units = stored(_units(nodes, width, norm, False), "graph-units")
-    graph = build_graph(units, n_nodes, size, sample, block=block)
-    found = search_graph(graph, units, _units(nodes.where("query"), width, norm, True), n_nodes, beam, opened, block)
+    units = stored(_units(nodes, width, norm), "graph-units")
+    with shuffles_removed(vectors.sparkSession):
+        graph = build_graph(units, n_nodes, size, sample, block=block)
+        found = search_graph(graph, units, units.join(nodes.where("query").select("node"), "node", "left_semi"), n_nodes, beam, opened, block)
 
     some = found.select(F.col("node").alias("query"), F.slice("near", 1, 2 * neighbours + 2).alias("near"))
     scores = exact_scores(some, nodes.select("block", "node", "vector"), block, n_blocks)
