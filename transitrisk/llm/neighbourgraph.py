@@ -51,7 +51,8 @@ MOST_ROUNDS = 20
 BLOCK = 4096             # nodes
 
 STATE = "block long, node long, near array<long>, scores array<float>, fresh array<boolean>, pick array<boolean>, worst float, n_new long"
-PROPOSALS = "block long, node long, near array<long>, scores array<float>"
+#: A row holds all entries that one task proposes to the lists of a block.
+PROPOSALS = "block long, nodes array<long>, near array<long>, scores array<float>"
 
 
 def _units(nodes: DataFrame, width: int, norm: float) -> DataFrame:
@@ -96,6 +97,16 @@ def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch[name].flatten().to_numpy(zero_copy_only=False)
 
 
+def _packed(homes: np.ndarray, nodes: np.ndarray, near: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    """PROPOSALS of entries, one row for each of their blocks (``homes``)."""
+    order = np.argsort(homes, kind="stable")
+    each, first = np.unique(homes[order], return_index=True)
+    cuts = np.append(first, len(homes))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(each, pa.int64()), _lists(nodes[order], cuts, pa.int64()), _lists(near[order], cuts, pa.int64()),
+         _lists(scores[order], cuts, pa.float32())], [f.split()[0] for f in PROPOSALS.split(", ")])
+
+
 def _random(*keys: np.ndarray) -> np.ndarray:
     """A number in [0, 1) for each entry, by its keys."""
     h = np.zeros(len(keys[0]), np.uint64)
@@ -142,8 +153,10 @@ def _merged(state: DataFrame | None, proposals: DataFrame, size: int, chosen, n_
 
         for block, batch, ends in _of_blocks(batches):
             n = np.diff(batch["near"].offsets.to_numpy())
-            nodes, known = np.repeat(batch["node"].to_numpy(), n), np.repeat(batch["known"].to_numpy(zero_copy_only=False), n)
-            waiting.append([nodes, _flat(batch, "near"), _flat(batch, "scores"), known, _flat(batch, "fresh").astype(bool)])
+            known = np.repeat(batch["known"].to_numpy(zero_copy_only=False), n)
+            fresh = np.ones(len(known), bool)
+            fresh[known] = _flat(batch, "fresh")
+            waiting.append([_flat(batch, "nodes"), _flat(batch, "near"), _flat(batch, "scores"), known, fresh])
             if ends or sum(len(w[0]) for w in waiting) > 1 << 20:
                 fold()
             if not ends:
@@ -161,10 +174,11 @@ def _merged(state: DataFrame | None, proposals: DataFrame, size: int, chosen, n_
                  _lists(fresh, cuts, pa.bool_()), _lists(pick, cuts, pa.bool_()), pa.array(worst), pa.array(new)],
                 [f.split()[0] for f in STATE.split(", ")])
 
-    given = proposals.select("block", "node", "near", "scores", F.transform("near", lambda _: F.lit(True)).alias("fresh"), F.lit(False).alias("known"))
+    given = proposals.select("*", F.lit(None).cast("array<boolean>").alias("fresh"), F.lit(False).alias("known"))
     if state is not None:
         left = F.zip_with("fresh", "pick", lambda f, p: f & ~p)
-        given = given.unionByName(state.select("block", "node", "near", "scores", left.alias("fresh"), F.lit(True).alias("known")))
+        given = given.unionByName(state.select("block", F.array_repeat("node", F.size("near")).alias("nodes"), "near", "scores",
+                                               left.alias("fresh"), F.lit(True).alias("known")))
     return _by_block(given, [], run, STATE, n_blocks)
 
 
@@ -185,10 +199,9 @@ def _first_lists(units: DataFrame, size: int, n_blocks: int) -> DataFrame:
                 scores = x[lo:lo + 1024] @ x.T
                 scores[np.arange(len(scores)), np.arange(lo, lo + len(scores))] = -np.inf
                 best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-                cuts = np.arange(0, best.size + 1, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(homes[lo:lo + 1024]), pa.array(nodes[lo:lo + 1024]), _lists(nodes[best].ravel(), cuts, pa.int64()),
-                     _lists(np.take_along_axis(scores, best, axis=1).ravel(), cuts, pa.float32())], ["block", "node", "near", "scores"])
+                some = slice(lo, lo + len(scores))
+                yield _packed(np.repeat(homes[some], k), np.repeat(nodes[some], k), nodes[best].ravel(),
+                              np.take_along_axis(scores, best, axis=1).ravel())
 
     here = units.select("block", F.col("block").alias("home"), "node", "unit")
     dealt = here.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(n_blocks)))
@@ -261,11 +274,7 @@ def _meet(held: list[pa.RecordBatch], size: int, block: int) -> Iterator[pa.Reco
         return
     cut()
     one, other, scores = done[0]
-    each, first = np.unique(one, return_index=True)
-    cuts = np.append(first, len(one))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(guests[each] // block), pa.array(guests[each]), _lists(guests[other], cuts, pa.int64()),
-         _lists(scores, cuts, pa.float32())], ["block", "node", "near", "scores"])
+    yield _packed(guests[one] // block, guests[one], guests[other], scores)
 
 
 def build_graph(units: DataFrame, n_nodes: int, size: int = LIST, sample: int = SAMPLE, least_change: float = LEAST_CHANGE,
@@ -348,8 +357,8 @@ def _scored(asks: DataFrame, asked: DataFrame, units: DataFrame, block: int, n_b
                 scores = np.empty(len(cands), np.float32)
                 for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                     scores[lo:hi] = x[cands[lo:hi] - at * block] @ q[i]
-                yield pa.RecordBatch.from_arrays([asks["home"], asks["node"], _lists(cands, cuts, pa.int64()), _lists(scores, cuts, pa.float32())],
-                                                 ["block", "node", "near", "scores"])
+                n = np.diff(cuts)
+                yield _packed(np.repeat(asks["home"].to_numpy(), n), np.repeat(asks["node"].to_numpy(), n), cands, scores)
             if ends:
                 held, x = [], None
 
