@@ -47,7 +47,7 @@ def test_line_rules(line, why):
 
 def test_cleaning_and_verdict(spark, docs):
     good = [" ".join(f"{w}{i}" for i in range(12)) + "." for w in "abc"]
-    text = "\n".join(["Home | News | About", *good, "All rights reserved."])
+    text = "\n".join(["Home | News | About | Contact", *good, "All rights reserved."])
     menu = "\n".join(["Home | News | About | More words | And more"] * 1 + [f"A{i} | B{i} | C{i} | D{i}" for i in range(9)] + ["One good line."])
     got = {r["doc_id"]: r for r in quality.clean_documents(docs([(1, text), (2, menu)]), keep=("doc_id",)).collect()}
     assert got[1]["kept"] and got[1]["clean_text"] == "\n".join(good)

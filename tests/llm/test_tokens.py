@@ -27,6 +27,19 @@ def check(tokenizer, texts):
         assert [list(o) for o in whole.offsets] == b.tolist(), repr(text)
 
 
+def test_column_ids_equal_whole_texts(tokenizer):
+    import pyarrow as pa
+    rng = random.Random(8)
+    parts = ["the", " The", "é", " ñandú", "\n", "\n\n", " ", "  ", "###", "'s", "3", "-", "日本", "\t", "\u2028", "\xa0", "×", "A\n", "\na", ".", "<|endoftext|>", "ß"]
+    texts = [*TEXTS, None, *("".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(800))]
+    encoder = encoding.Encoder(encoding.vocabulary_path())
+    for size in (1, 7, len(texts)):
+        for lo in range(0, len(texts), size):
+            ids, starts = encoder.column_ids(pa.array(texts[lo:lo + size], pa.string()))
+            want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[lo:lo + size]]
+            assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
+
+
 def test_pieces_equal_whole_texts(tokenizer):
     check(tokenizer, TEXTS)
 

@@ -14,6 +14,10 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from transitrisk.llm.common import utf8
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces a worker remembers in each of two generations: when the younger is full it
@@ -23,6 +27,8 @@ LONGEST_PIECE = 64
 
 _PIECES = re.compile(r"[ \n]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,!?;: \n]|\Z)|[ \n]*[^ \n]+|[ \n]+\Z")
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+_SPACED_WORD = re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+_BARE_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -55,6 +61,64 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def piece_cuts(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Bytes at which the pieces of consecutive texts begin, and last the end. A piece is a run
+    without blanks, with those before it; leading letters are cut from an ASCII byte behind
+    them and from a single line feed before them. Texts marked ``whole`` are not cut inside."""
+    if len(data) == 0:
+        return np.zeros(1, np.int64)
+    blank = (data == 0x20) | (data == 0x0A)
+    text_start = np.zeros(len(data) + 1, bool)
+    text_start[offsets] = True
+    inside = ~blank
+    begins = np.flatnonzero(inside & np.concatenate([[True], blank[:-1]]) | inside & text_start[:-1])
+    ends = np.flatnonzero(inside & np.concatenate([blank[1:], [True]]) | inside & text_start[1:]) + 1
+    ascii_letter = ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)
+    follows = np.concatenate([data[1:], [0]])
+    lead = (data == 0xC3) & (follows >= 0x80) & (follows <= 0xBF) & (follows != 0x97) & (follows != 0xB7)
+    letter = ascii_letter | lead
+    letter[1:] |= lead[:-1]
+    others = np.append(np.flatnonzero(~letter), len(data))
+    after = np.minimum(others[np.searchsorted(others, begins)], ends)  # first byte behind a run's leading letters
+    split = (after > begins) & (after < ends)
+    split[split] = data[after[split]] < 0x80  # no ASCII byte behind letters continues them
+    cut = np.zeros(len(data) + 1, bool)
+    cut[ends] = True
+    cut[after[split]] = True
+    # a single line feed before a letter is a token of its own
+    lines = begins[letter[begins] & (begins > 0) & ~text_start[begins]]
+    lines = lines[data[lines - 1] == 0x0A]
+    cut[lines[text_start[lines - 1] | ~blank[lines - 2]]] = True
+    for i in np.flatnonzero(whole):
+        cut[offsets[i] + 1:offsets[i + 1]] = False
+    cut[offsets] = True
+    return np.flatnonzero(cut)
+
+
+def _other_space(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per text whether it holds a character of ``_OTHER_SPACE``."""
+    single = np.zeros(256, bool)
+    single[[0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20)]] = True
+    found = [np.flatnonzero(single[data])]
+    at = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    padded = np.append(data, np.zeros(2, np.uint8))
+    a, b, c = data[at], padded[at + 1], padded[at + 2]
+    odd = ((a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+           | (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (a == 0xE2) & (b == 0x81) & (c == 0x9F))
+    found.append(at[odd])
+    out = np.zeros(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, np.concatenate(found), "right") - 1] = True
+    return out
+
+
+def _gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` (of ``sizes``, one after the other) that ``which`` names, joined."""
+    first = np.cumsum(sizes) - sizes
+    n = sizes[which]
+    end = np.cumsum(n)
+    return flat[np.repeat(first[which] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+
+
 class _Memory(dict):
     """Encodings of pieces; an unknown one is encoded when it is asked for."""
 
@@ -67,12 +131,15 @@ class _Memory(dict):
         if found is None:
             found = self.encode(piece)
         if len(piece) <= LONGEST_PIECE:
-            if len(self) >= MEMORY_PIECES:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = found
+            self.keep(piece, found)
         return found
 
+    def keep(self, piece: str, found: bytes) -> None:
+        if len(self) >= MEMORY_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
+
 
 class Encoder:
     """Encodes texts; a piece of text is given to the library once."""
@@ -83,6 +150,45 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known_ids, self.known_spans = _Memory(self._ids_of), _Memory(self._spans_of)
 
+    def column_ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of a column's texts, one after the other, and where each text's begin (and
+        last the end). Pieces are dictionary-encoded, so a batch asks for each only once."""
+        column = column.cast(pa.large_string())
+        data, offsets = utf8(column)
+        whole = _other_space(data, offsets)
+        for special in self.special:
+            whole |= pc.fill_null(pc.match_substring(column, special), False).to_numpy(zero_copy_only=False)
+        cuts = piece_cuts(data, offsets, whole)
+        pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        self._learn(distinct)
+        known = list(map(self.known_ids.__getitem__, distinct))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        which = pieces.indices.to_numpy()
+        ids = _gathered(np.frombuffer(b"".join(known), np.uint32), sizes, which)
+        before = np.concatenate([[0], np.cumsum(sizes[which])])
+        return ids, before[np.searchsorted(cuts, offsets)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes the unknown words of a batch a thousand at a time: a word with its space is
+        a pre-token of its own, and so are a bare word and the line feed set before it here."""
+        memory = self.known_ids
+        new = [p for p in pieces if p not in memory and p not in memory.older and len(p) <= LONGEST_PIECE]
+        for pattern, between in ((_SPACED_WORD, ""), (_BARE_WORD, "\n")):
+            words = list(filter(pattern.match, new))
+            for i in range(0, len(words), 1000):
+                some = words[i:i + 1000]
+                found = self.tokenizer.encode(between + between.join(some), add_special_tokens=False)
+                word = np.array(found.word_ids)
+                first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                ends = np.append(first[1:], len(word))
+                step = 2 if between else 1
+                if len(first) != step * len(some):
+                    continue  # each is encoded alone when it is asked for
+                ids = np.array(found.ids, np.uint32).tobytes()
+                for piece, lo, hi in zip(some, (4 * first[step - 1::step]).tolist(), (4 * ends[step - 1::step]).tolist()):
+                    memory.keep(piece, ids[lo:hi])
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of every text."""
         known = self.known_ids.__getitem__

@@ -36,6 +36,8 @@ BLOCK_IDS = 256
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 18
 END_ID = 0
+#: Bytes of texts encoded at a time.
+BATCH_BYTES = 8 << 20
 
 
 def pack_segment(ids: np.ndarray, block_ids: int = BLOCK_IDS, percentile: int = PERCENTILE) -> bytes:
@@ -95,6 +97,10 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.int64)
 
 
+def _row(values: np.ndarray) -> pa.Array:
+    return pa.array([values.tolist()], pa.list_(pa.int64()))
+
+
 SEGMENT_SCHEMA = ("shard int, segment int, n_ids long, doc_ids array<long>, text_keys array<long>, "
                   "doc_sizes array<long>, payload binary")
 
@@ -107,22 +113,28 @@ def write_tokens(docs: DataFrame, id_col="doc_id", text_col="text", vocabulary:
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, held, size, segment, shard = encoder(path).ids, [], 0, 0, 0
+        encode, held, size, segment, shard = encoder(path).column_ids, [], 0, 0, 0
 
         def flush():
-            doc_ids, keys, ids = (list(x) for x in zip(*held))
+            doc_ids, keys, sizes, ids = zip(*held)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([size], pa.int64()),
-                 pa.array([doc_ids], pa.list_(pa.int64())), pa.array([keys], pa.list_(pa.int64())),
-                 pa.array([[len(x) for x in ids]], pa.list_(pa.int64())),
+                 _row(np.concatenate(doc_ids, dtype=object)), _row(np.concatenate(keys)), _row(np.concatenate(sizes)),
                  pa.array([pack_segment(np.concatenate(ids), block_ids, percentile)], pa.binary())], names)
 
-        for part in small_batches(batches, "__text"):
-            texts = [t or "" for t in part["__text"].to_pylist()]
+        for part in small_batches(batches, "__text", BATCH_BYTES):
             shard = part["shard"][0].as_py()
-            for doc_id, key, ids in zip(part["doc_id"].to_pylist(), part["text_key"].to_pylist(), encode(texts)):
-                held.append((doc_id, key, np.append(ids, np.uint32(END_ID))))
-                size += len(ids) + 1
+            found, starts = encode(part["__text"])
+            ids = np.insert(found, starts[1:], np.uint32(END_ID))
+            starts = starts + np.arange(len(starts))
+            doc_ids = np.array(part["doc_id"].to_pylist(), object)
+            keys, at = part["text_key"].to_numpy(), 0
+            while at < part.num_rows:
+                # the documents up to the one that fills the segment
+                to = min(part.num_rows, int(np.searchsorted(starts, starts[at] + segment_ids - size, "left")))
+                held.append((doc_ids[at:to], keys[at:to], np.diff(starts[at:to + 1]), ids[starts[at]:starts[to]]))
+                size += int(starts[to] - starts[at])
+                at = to
                 if size >= segment_ids:
                     yield flush()
                     held, size, segment = [], 0, segment + 1
