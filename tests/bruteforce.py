@@ -29,7 +29,7 @@ class Ride:
 
 
 def solve(rides, walks, cdf, mode, start, target, T, threshold, bound=DAY, buffer_s=120, cutoff=0.99):
-    """walks: {(a, b): (walk_s, prev_node)} in real direction. cdf(dist, slack) -> p.
+    """walks: links {(a, b): walk_s} in real direction, taken one at a time. cdf(dist, slack) -> p.
     Returns (arr_t, prob) in search-relative seconds, or None."""
     dep = mode == "depart"
 
@@ -48,9 +48,20 @@ def solve(rides, walks, cdf, mode, start, target, T, threshold, bound=DAY, buffe
         if ft > 0 and (same or tt_ < DAY) and tt_ <= bound:
             info[r.edge_id] = (r, fn, tn, ft, tt_)
     sw = {}
-    for (a, b), (w, prev) in walks.items():
+    for (a, b), w in walks.items():
         key = (a, b) if dep else (b, a)
-        sw.setdefault(key[0], []).append((key[1], w, prev, a, b))
+        sw.setdefault(key[0], []).append((key[1], w))
+
+    def walked(stop, prev, t):
+        """(stop, stop before, time) of every chain of links, link by link: never straight back
+        (P14), and a chain goes on only where it beats the shorter ones to the same two stops."""
+        known, level = {}, [(stop, prev, t)]
+        while level:
+            nxt = [(b, at, now + w) for at, before, now in level for b, w in sw.get(at, []) if b != before]
+            yield from nxt
+            level = [x for x in nxt if x[2] <= bound and (x[:2] not in known or x[2] < known[x[:2]])]
+            for b, at, now in level:
+                known[b, at] = min(now, known.get((b, at), now))
     by_from = {}
     for eid, (r, fn, tn, ft, tt_) in info.items():
         by_from.setdefault(fn, []).append(eid)
@@ -85,37 +96,25 @@ def solve(rides, walks, cdf, mode, start, target, T, threshold, bound=DAY, buffe
         # arrivals at the target
         if x is not None and to_node == target:
             offer(to_t, prob)
-        for (b, w, prev, ra, rb) in sw.get(to_node, []):
+        chains = list(walked(to_node, x_from, to_t))
+        for b, _, t in chains:
             if b == target:
-                if x is None or b != x_from:
-                    offer(to_t + w, prob)
-        vias = [(to_node, 0, None, False, to_node)]
-        for (b, w, prev, ra, rb) in sw.get(to_node, []):
-            vias.append((b, w, prev, True, to_node))
-        for (via, w, prev, is_walk, a) in vias:
+                offer(t, prob)
+        for via, before, at_t, is_walk in [(to_node, x_from, to_t, False), *((b, a, t, True) for b, a, t in chains)]:
             groups = {}
             for e in by_from.get(via, []):
                 er, efn, etn, eft, ett = info[e]
-                if eft < to_t + w:
+                if eft < at_t or etn == before:
                     continue
                 if x is not None:
                     if (er.trip_id, er.day_start) == (xr.trip_id, xr.day_start) or er.path_id == xr.path_id:
                         continue
-                if is_walk:
-                    if dep:
-                        ok = (x_from is None or via != x_from) and (prev is None or etn != prev)
-                    else:
-                        ok = (etn != a) and (x_from is None or x_from != prev)
-                else:
-                    ok = x_from is None or etn != x_from
-                if not ok:
-                    continue
                 groups.setdefault((etn, er.path_id), []).append(e)
             for _, es in groups.items():
                 es.sort(key=lambda e: (info[e][4], info[e][3], e))
                 for e in es:
                     er, efn, etn, eft, ett = info[e]
-                    slack = eft - to_t - w - buffer_s
+                    slack = eft - at_t - buffer_s
                     if x is None and not is_walk:
                         p = 1.0
                     else:

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 
 from tests.bruteforce import Ride, solve
@@ -36,11 +36,9 @@ def _random_rides(seed):
 def _walks(seed):
     rng = random.Random(seed * 7 + 1)
     w = {}
-    for _ in range(rng.randint(0, 3)):
+    for _ in range(rng.randint(0, 4)):
         a, b = rng.sample(NODES, 2)
-        s = rng.randrange(60, 600, 30)
-        w[(a, b)] = (s, a)
-        w[(b, a)] = (s, b)
+        w[(a, b)] = w[(b, a)] = rng.randrange(60, 600, 30)
     return w
 
 
@@ -56,7 +54,7 @@ def grids(spark):
     return cdf_grids(d).cache()
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, phases=[Phase.explicit, Phase.reuse, Phase.generate], suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(seed=st.integers(0, 10_000))
 def test_rounds_match_bruteforce(spark, grids, seed):
     rows = _random_rides(seed)
@@ -64,8 +62,7 @@ def test_rounds_match_bruteforce(spark, grids, seed):
                                     "arr_node string, dep_sow int, arr_sow int, dist_id string")
     rides = prepare_rides(e).cache()
     walks = _walks(seed)
-    wdf = spark.createDataFrame([(a, b, s, 1, p) for (a, b), (s, p) in walks.items()],
-                                "dep_node string, arr_node string, walk_s int, hops int, prev_node string")
+    wdf = spark.createDataFrame([(a, b, s) for (a, b), s in walks.items()], "dep_node string, arr_node string, walk_s int")
     tt = Timetable(rides, wdf, grids)
     rl = [Ride(r.edge_id, r.trip_id, r.day_start, r.seg, r.seq, r.path_id, r.dep_node, r.arr_node,
                r.dep_sow, r.arr_sow, r.dist_id) for r in rides.collect()]

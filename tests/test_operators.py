@@ -64,11 +64,12 @@ def test_walk_pairs_edges_of_the_radius(spark):
     assert ("n499", "o") in w
 
 
-def test_walk_closure_chains(spark):
-    w = spark.createDataFrame([("a", "b", 100), ("b", "a", 100), ("b", "c", 150), ("c", "b", 150),
-                               ("a", "c", 400), ("c", "a", 400)], "dep_node string, arr_node string, walk_s int")
-    got = {(r.dep_node, r.arr_node): r.walk_s for r in WK.walk_closure(w).collect()}
-    assert got[("a", "c")] == 250 and got[("c", "a")] == 250
+def test_walk_links_know_whether_they_lead_on(spark):
+    from transitrisk.operators.transfers import orient_walks
+    w = spark.createDataFrame([("a", "b", 100), ("b", "a", 100), ("b", "c", 150), ("c", "b", 150), ("x", "y", 9), ("y", "x", 9)],
+                              "dep_node string, arr_node string, walk_s int")
+    got = {(r.a, r.b): r.more for r in orient_walks(w, "depart").collect()}
+    assert got == {("a", "b"): True, ("b", "a"): False, ("b", "c"): False, ("c", "b"): True, ("x", "y"): False, ("y", "x"): False}
 
 
 def test_gamma_numerics():

@@ -21,8 +21,8 @@ def make(spark, rows, walks):
     e = spark.createDataFrame([(i, t, 0, a, b, hm(d), hm(r), "law") for i, (t, a, b, d, r) in enumerate(rows, 1)],
                               "edge_id long, trip_id long, day_start int, dep_node string, arr_node string, "
                               "dep_sow int, arr_sow int, dist_id string")
-    w = spark.createDataFrame([(a, b, s, 1, a) for a, b, s in walks] + [(b, a, s, 1, b) for a, b, s in walks],
-                              "dep_node string, arr_node string, walk_s int, hops int, prev_node string")
+    w = spark.createDataFrame([(a, b, s) for a, b, s in walks] + [(b, a, s) for a, b, s in walks],
+                              "dep_node string, arr_node string, walk_s int")
     law = spark.createDataFrame([("law", 1.0, 0.0, 30.0)], "dist_id string, shape double, loc double, scale double")
     return Timetable(prepare_rides(e), w, cdf_grids(law))
 
@@ -95,6 +95,26 @@ def test_higher_threshold_is_never_earlier(spark, late_walk):
     assert known == sorted(known) and None not in arr[:len(known)]
 
 
+def test_chains_of_links_are_walked_one_at_a_time(spark):
+    tt = make(spark, [(1, "A", "B", "09:00", "09:10"), (2, "E", "F", "09:40", "09:50"), (3, "B", "A", "09:20", "09:30")],
+              [("B", "C", 100), ("C", "D", 100), ("D", "E", 100), ("B", "D", 500), ("F", "G", 60), ("G", "H", 60), ("H", "I", 60), ("Z", "A", 30), ("Y", "Z", 30), ("X", "Y", 30)])
+    q = spark.createDataFrame([(1, "depart", "X", "I", hm("08:00"), 0.5), (2, "arrive", "X", "I", hm("10:00"), 0.5),
+                               (3, "depart", "B", "E", hm("08:00"), 0.5)], QUERY)
+    summary, legs = plan(q, tt)
+    got = {r.query_id: (r.status, r.dep_sow, r.arr_sow, r.n_rides) for r in summary.collect()}
+    assert got[1] == ("ok", hm("08:00"), hm("09:50") + 180, 2) and got[3] == ("ok", hm("08:00"), hm("08:05"), 0)
+    assert got[2] == ("ok", hm("09:00") - 90, hm("09:50") + 180, 2)
+    path = {i: [(r.kind, r.dep_node, r.arr_node, r.dep_sow, r.arr_sow) for r in legs.where(f"query_id = {i}").orderBy("leg").collect()] for i in (1, 2)}
+    assert [p[1] + p[2] for p in path[1]] == ["XY", "YZ", "ZA", "AB", "BC", "CD", "DE", "EF", "FG", "GH", "HI"]
+    assert [p[1:3] for p in path[1]] == [p[1:3] for p in path[2]]
+    assert path[1][0][3:] == (hm("08:00"), hm("08:00") + 30) and path[2][0][3:] == (hm("09:00") - 90, hm("09:00") - 60)
+    assert path[1][6] == ("walk", "D", "E", hm("09:10") + 200, hm("09:10") + 300) == path[2][6]
+    iq = spark.createDataFrame([(1, "X", hm("08:00"), 2 * 3600, 0.5)], "query_id long, start_node string, t_sow int, range_s int, threshold double")
+    reached = {r.stop: r.arr_sow for r in isochrones(iq, tt)[0].collect()}
+    assert reached["A"] == hm("08:00") + 90 and reached["D"] == hm("09:10") + 200 and reached["I"] == hm("09:50") + 180
+    assert len(reached) == 12
+
+
 def test_clock_queries(spark):
     q = spark.createDataFrame([(1, "08:05:00", 2), (2, "24:00:00", 2), (3, "8:05", 2), (4, "00:00:01", None), (5, "10:00:00", 7)],
                               "query_id long, clock string, day int")

@@ -35,5 +35,5 @@ def toy_timetable(spark, walks=None):
                                   "dist_id string, shape double, loc double, scale double")
     grids = cdf_grids(dists).cache()
     if walks is None:
-        walks = spark.createDataFrame([], "dep_node string, arr_node string, walk_s int, hops int, prev_node string")
+        walks = spark.createDataFrame([], "dep_node string, arr_node string, walk_s int")
     return Timetable(rides, walks, grids)

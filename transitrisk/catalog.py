@@ -757,10 +757,10 @@ def q_transfer_cutoff(spark, d):
     return _xfer_out(_xfer(spark, d, direct=True, walks=True, cutoff=True))
 
 
-def _plans(spark, d, mode):
+def _plans(spark, d, mode, with_itinerary=False):
     from transitrisk.plans.journeys import plan
     q = V.plan_queries(_events(spark, d), mode)
-    return plan(q, _ride_timetable(spark, d))
+    return plan(q, _ride_timetable(spark, d), with_itinerary=with_itinerary)
 
 
 @register("plan_depart")
@@ -780,7 +780,7 @@ def q_plan_arrive(spark, d):
 @register("itinerary")
 def q_itinerary(spark, d):
     from transitrisk.plans.journeys import itinerary_display
-    _, it = _plans(spark, d, "depart")
+    _, it = _plans(spark, d, "depart", with_itinerary=True)
     it = itinerary_display(it, V.jstops(_events(spark, d)))
     return it.select("query_id", bi("leg").alias("leg"), "kind", bi("trip_id").alias("trip_id"), "dep_node",
                      "arr_node", bi("dep_sow").alias("dep_sow"), bi("arr_sow").alias("arr_sow"),
@@ -818,7 +818,7 @@ def q_isochrone_arrive(spark, d):
 
 def _full_itinerary(spark, d):
     from transitrisk.plans.journeys import itinerary_edges
-    _, it = _plans(spark, d, "depart")
+    _, it = _plans(spark, d, "depart", with_itinerary=True)
     return itinerary_edges(it, _ride_timetable(spark, d).rides)
 
 

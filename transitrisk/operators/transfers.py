@@ -34,11 +34,9 @@ from transitrisk.operators.delays import with_cdf
 HOUR_S = 3600
 BINS = WEEK_S // HOUR_S
 
-LEG_TYPE = T.StructType([
-    T.StructField("kind", T.StringType()), T.StructField("e1", T.LongType()),
-    T.StructField("e2", T.LongType()), T.StructField("wa", T.StringType()),
-    T.StructField("wb", T.StringType()), T.StructField("walk_s", T.IntegerType())])
-LEGS_TYPE = T.ArrayType(LEG_TYPE)
+#: The walking links since a label's ride, in search order.
+LINK_TYPE = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("walk_s", T.IntegerType())])
+TRAIL_TYPE = T.ArrayType(LINK_TYPE)
 
 
 @dataclass(frozen=True)
@@ -61,20 +59,28 @@ def orient_rides(rides: DataFrame, mode: str) -> DataFrame:
 
 
 def orient_walks(walks: DataFrame, mode: str) -> DataFrame:
+    """Walking links in search direction: a, b, walk_s, and ``more``: whether another link
+    leads on from b to a stop other than a."""
     dep = mode == "depart"
-    return walks.select(F.col("dep_node" if dep else "arr_node").alias("a"),
-                        F.col("arr_node" if dep else "dep_node").alias("b"),
-                        F.col("walk_s").cast("int").alias("walk_s"), "prev_node")
+    links = walks.select(F.col("dep_node" if dep else "arr_node").alias("a"), F.col("arr_node" if dep else "dep_node").alias("b"),
+                         F.col("walk_s").cast("int").alias("walk_s"))
+    links = links.groupBy("a", "b").agg(F.min("walk_s").alias("walk_s"))
+    on = links.groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("_out"))
+    back = links.select(F.col("a").alias("b"), F.col("b").alias("a"), F.lit(1).alias("_back"))
+    return (links.join(on, "b", "left").join(back, ["a", "b"], "left")
+            .select("a", "b", "walk_s", (F.coalesce("_out", F.lit(0)) > F.coalesce("_back", F.lit(0))).alias("more")))
+
+
+def rel_times_of(mode: str, t_col: str = "T") -> Column:
+    """Seconds between the query and the begin of an oriented ride."""
+    t = F.col(t_col)
+    return (F.pmod(F.col("from_abs") - t, F.lit(WEEK_S)) if mode == "depart" else F.pmod(t - F.col("from_abs"), F.lit(WEEK_S))).cast("int")
 
 
 def rel_times(mode: str, t_col: str = "T") -> dict[str, Column]:
     """from_t, to_t and the 24-hour horizon test (P12) of an oriented ride."""
-    t = F.col(t_col)
-    if mode == "depart":
-        from_t = F.pmod(F.col("from_abs") - t, F.lit(WEEK_S))
-    else:
-        from_t = F.pmod(t - F.col("from_abs"), F.lit(WEEK_S))
-    return {"from_t": from_t.cast("int"), "to_t": (from_t + F.col("dur")).cast("int")}
+    from_t = rel_times_of(mode, t_col)
+    return {"from_t": from_t, "to_t": (from_t + F.col("dur")).cast("int")}
 
 
 def in_horizon(mode: str, t_col: str = "T") -> Column:
@@ -142,8 +148,30 @@ def first_beyond(sr: DataFrame, mode: str, safe: DataFrame, buffer_s: int) -> Da
             .select("from_node", "to_node", "path_id", "bin", "r.*").select(*sr.columns))
 
 
-LABEL_COLS = ["query_id", "T", "target", "threshold", "bound", "edge_id", "virtual",
-              "to_node", "to_t", "from_node", "path_id", "trip_id", "day_start", "dist_id", "best"]
+# A label is a ride edge reached by a query, or a stop walked to from it: then to_node, to_t and
+# from_node are the stop, the time there and the stop before, and ``trail`` holds the links walked.
+LABEL_COLS = ["query_id", "T", "target", "threshold", "bound", "edge_id", "virtual", "links", "to_node", "to_t", "from_node",
+              "path_id", "trip_id", "day_start", "dist_id", "trail", "best"]
+
+
+def label_key() -> list:
+    """What makes labels the same: the ride, and for a walked stop that and the one before."""
+    return ["query_id", "edge_id", "virtual", F.col("links") > 0, "to_node", "from_node"]
+
+
+def walk_on(labels: DataFrame, sw: DataFrame) -> DataFrame:
+    """Labels one walking link further (J12, G6), with ``more``; never straight back."""
+    step = F.array(F.struct(F.col("a"), F.col("b"), F.col("walk_s"))).cast(TRAIL_TYPE)
+    onward = labels.join(sw, labels.to_node == sw.a).where(F.coalesce(F.col("b") != F.col("from_node"), F.lit(True)))
+    moved = {"links": F.col("links") + 1, "to_node": F.col("b"), "to_t": (F.col("to_t") + F.col("walk_s")).cast("int"),
+             "from_node": F.col("a"), "trail": F.concat("trail", step)}
+    return onward.select(*[moved.get(c, F.col(c)).alias(c) for c in labels.columns], "more")
+
+
+def walk_labels(frontier: DataFrame, sw: DataFrame) -> DataFrame:
+    """Walking labels that another link can extend, within the query's bound."""
+    return (walk_on(frontier, sw).where(F.col("more") & (F.col("to_t") <= F.col("bound")) & (F.col("best.prob") > F.col("threshold")))
+            .select(*LABEL_COLS))
 
 
 @dataclass
@@ -165,7 +193,7 @@ def _via_keys(vias: DataFrame, mode: str, params: SearchParams, look: Lookups) -
     """Explodes (label, via) into the bins to join: those up to the first safe
     time (``far`` false) and one bin to look up beyond it (``far`` true)."""
     lo, hi = F.col("lo"), F.col("hi")
-    ready = F.col("to_t") + F.col("walk_s") + F.lit(params.buffer_s)
+    ready = F.col("to_t") + F.lit(params.buffer_s)
     if mode == "depart":
         safe = look.safe.select(F.col("dist_id").alias("_did"), F.col("safe_s").alias("_safe"))
         vias = vias.join(safe, F.col("dist_id") == F.col("_did"), "left")
@@ -176,7 +204,7 @@ def _via_keys(vias: DataFrame, mode: str, params: SearchParams, look: Lookups) -
         near_end, far = F.least(hi, F.col("_end") + 1), F.col("_end") < hi
     else:
         # p is 1 for a direct ride into the destination: those labels join all their bins
-        plain = F.col("virtual") & ~F.col("is_walk")
+        plain = F.col("virtual") & (F.col("links") == 0)
         end = hi if look.most is None else F.least(hi, ready + F.lit(max(look.most, -params.buffer_s) + HOUR_S + 1))
         vias = vias.withColumn("_end", F.when(plain, hi).otherwise(end))
         edge_bin = F.floor((F.col("T") - ready) / HOUR_S)
@@ -188,28 +216,26 @@ def _via_keys(vias: DataFrame, mode: str, params: SearchParams, look: Lookups) -
 
 
 def expand(frontier: DataFrame, sr: DataFrame, sw: DataFrame, grids: DataFrame, mode: str,
-           params: SearchParams, cells: int | None = None, tables=None, look: Lookups | None = None) -> DataFrame:
+           params: SearchParams, cells: int | None = None, tables=None, look: Lookups | None = None,
+           few: bool = False) -> DataFrame:
     """One expansion step: frontier labels → best boarding per (query, ride).
 
+    A ride label boards at its stop and one walking link further; a walking
+    label has boarded at its stop when it was made and goes one link further.
     Rides are joined only up to the time a connection is safe (W5's cut-off by
     the monotone CDF); the one ride beyond that may end a group is looked up.
+    ``few``: the caller has checked that the places to board are few enough to
+    be broadcast, so the rides are not shuffled.
 
-    frontier: LABEL_COLS (``best`` = struct(prob, start_t, pkey, hist, board)).
+    frontier: LABEL_COLS, ``best`` = struct(prob, start_t, nrn, pkey, board, before, via):
+    the edge boarded, the edge changed from and the links walked between them.
     Returns (query_id, edge_id, trip_id, day_start, seg, seq, best) for rides
     boarded by a transfer, with W5 (cut-off after the first connection more
     likely than ``params.cutoff`` per (label, via, next stop, path)) applied.
     """
-    fr = frontier.select(*LABEL_COLS, F.col("best.prob").alias("lprob"),
-                         F.col("best.start_t").alias("lstart"), F.col("best.nrn").alias("lnrn"),
-                         F.col("best.pkey").alias("lpkey"),
-                         F.col("best.hist").alias("lhist"), F.col("best.board").alias("lboard"))
-    direct = fr.select("*", F.col("to_node").alias("a"), F.col("to_node").alias("b"),
-                       F.lit(0).alias("walk_s"), F.lit(None).cast("string").alias("prev_node"),
-                       F.lit(False).alias("is_walk"))
-    walked = (fr.join(sw, fr.to_node == sw.a)
-              .select(*fr.columns, "a", "b", "walk_s", "prev_node", F.lit(True).alias("is_walk")))
-    vias = direct.unionByName(walked)
-    lo = F.col("to_t") + F.col("walk_s")
+    fr = frontier.select(*LABEL_COLS)
+    vias = fr.where(F.col("links") == 0).unionByName(walk_on(fr, sw).drop("more"))
+    lo = F.col("to_t")
     hi = F.least(F.lit(DAY_S), F.col("bound") + 1)
     look = look or lookups(sr, grids, mode, params)
     vias = _via_keys(vias.where(lo < hi).withColumns({"lo": lo, "hi": hi}), mode, params, look)
@@ -218,55 +244,47 @@ def expand(frontier: DataFrame, sr: DataFrame, sw: DataFrame, grids: DataFrame,
         "edge_id": "c_edge", "trip_id": "c_trip", "day_start": "c_day", "path_id": "c_path",
         "dist_id": "c_dist", "from_node": "c_from", "to_node": "c_to", "seg": "c_seg",
         "seq": "c_seq", "bin": "c_bin"})
-    c = vias.join(cands, on=[F.col("b") == F.col("c_from"), F.col("bin") == F.col("c_bin"), F.col("far") == F.col("c_far")])
-    rt = rel_times(mode)
-    c = c.withColumns({"c_from_t": rt["from_t"], "c_to_t": rt["to_t"]})
+    vias = F.broadcast(vias) if few else vias
+    c = vias.join(cands, on=[F.col("to_node") == F.col("c_from"), F.col("bin") == F.col("c_bin"), F.col("far") == F.col("c_far")])
+    rt = rel_times_of(mode)
+    c = c.withColumn("c_from_t", rt).withColumn("c_to_t", (F.col("c_from_t") + F.col("dur")).cast("int"))
     tsod = F.pmod(F.col("T"), F.lit(DAY_S))
     same_day = (F.col("c_from_t") < F.lit(DAY_S) - tsod) if mode == "depart" else (F.col("c_from_t") <= tsod)
     horizon = (F.col("c_from_t") > 0) & (same_day | (F.col("c_to_t") < DAY_S))
-    c = c.where(horizon & (F.col("c_from_t") >= F.col("to_t") + F.col("walk_s"))
-                & (F.col("c_to_t") <= F.col("bound")))
+    c = c.where(horizon & (F.col("c_from_t") >= F.col("to_t")) & (F.col("c_to_t") <= F.col("bound")))
     # P15 / run rule: never the same vehicle run, never another run of the same path
     other_run = (F.col("virtual") | (F.col("trip_id") != F.col("c_trip"))
                  | (F.col("day_start") != F.col("c_day")))
     other_path = F.col("virtual") | (F.col("path_id") != F.col("c_path"))
     # No immediate return (null-safe for the virtual start label)
-    nz = lambda x: F.coalesce(x, F.lit(True))
-    if mode == "depart":
-        p14_walk = nz(F.col("b") != F.col("from_node")) & nz(F.col("c_to") != F.col("prev_node"))
-    else:
-        p14_walk = nz(F.col("a") != F.col("c_to")) & nz(F.col("from_node") != F.col("prev_node"))
-    p14 = F.when(F.col("is_walk"), p14_walk).otherwise(nz(F.col("c_to") != F.col("from_node")))
+    p14 = F.coalesce(F.col("c_to") != F.col("from_node"), F.lit(True))
     c = c.where(other_run & other_path & p14)
     # connection probability
-    slack = F.col("c_from_t") - F.col("to_t") - F.col("walk_s") - F.lit(params.buffer_s)
+    walked = F.col("links") > 0
+    slack = F.col("c_from_t") - F.col("to_t") - F.lit(params.buffer_s)
     if mode == "depart":
         dist = F.col("dist_id")
     else:
-        dist = F.when(F.col("virtual") & ~F.col("is_walk"), F.lit(None)).otherwise(F.col("c_dist"))
+        dist = F.when(F.col("virtual") & ~walked, F.lit(None)).otherwise(F.col("c_dist"))
     c = c.withColumns({"_slack": slack.cast("int"), "_dist": dist.cast("string")})
     c = with_cdf(c, grids, "_dist", "_slack", "p", cells, tables)
     # Ordered cut-off per (label, via, next stop, path)
-    w = (Window.partitionBy("query_id", "edge_id", "virtual", "a", "b", "c_to", "c_path")
+    w = (Window.partitionBy("query_id", "edge_id", "virtual", "links", "to_node", "from_node", "to_t", "c_to", "c_path")
          .orderBy("c_to_t", "c_from_t", "c_edge")
          .rowsBetween(Window.unboundedPreceding, -1))
     c = c.withColumn("_seen", F.max((F.col("p") > params.cutoff).cast("int")).over(w))
     c = c.where(F.coalesce(F.col("_seen"), F.lit(0)) == 0)
-    prob = F.col("lprob") * F.col("p")
-    c = c.withColumn("nprob", prob).where(F.col("nprob") > F.col("threshold"))
-    hist = F.when(F.col("virtual"), F.array().cast(LEGS_TYPE)).otherwise(
-        F.concat(F.col("lhist"), F.array(ride_leg(F.col("lboard"), F.col("edge_id")))))
-    hist = F.when(F.col("is_walk"), F.concat(hist, F.array(walk_leg(F.col("a"), F.col("b"), F.col("walk_s"))))) \
-        .otherwise(hist)
+    c = c.withColumn("nprob", F.col("best.prob") * F.col("p")).where(F.col("nprob") > F.col("threshold"))
     # start key: depart = first departure after T (a first walk leaves at T);
     # arrive = time before T of the (re-timed) arrival at the destination
-    walk_start = F.lit(0) if mode == "depart" else F.col("c_from_t") - F.col("walk_s")
-    start = F.when(F.col("virtual"), F.when(F.col("is_walk"), walk_start).otherwise(F.col("c_from_t"))) \
-        .otherwise(F.col("lstart"))
+    walk_start = F.lit(0) if mode == "depart" else F.col("c_from_t") - F.col("to_t")
+    start = F.when(F.col("virtual"), F.when(walked, walk_start).otherwise(F.col("c_from_t"))) \
+        .otherwise(F.col("best.start_t"))
     best = F.struct(F.col("nprob").alias("prob"), start.cast("int").alias("start_t"),
-                    (F.col("lnrn") - 1).cast("int").alias("nrn"),
-                    F.xxhash64(F.col("lpkey"), F.col("c_edge"), F.col("b")).alias("pkey"),
-                    hist.alias("hist"), F.col("c_edge").cast("long").alias("board"))
+                    (F.col("best.nrn") - 1).cast("int").alias("nrn"),
+                    F.xxhash64(F.col("best.pkey"), F.col("c_edge"), F.col("to_node")).alias("pkey"),
+                    F.col("c_edge").cast("long").alias("board"),
+                    F.when(~F.col("virtual"), F.col("edge_id")).cast("long").alias("before"), F.col("trail").alias("via"))
     c = c.select("query_id", F.col("c_edge").alias("edge_id"), F.col("c_trip").alias("trip_id"),
                  F.col("c_day").alias("day_start"), F.col("c_seg").alias("seg"),
                  F.col("c_seq").alias("seq"), best.alias("best"), "T", "target", "threshold", "bound")
@@ -279,37 +297,18 @@ def expand(frontier: DataFrame, sr: DataFrame, sw: DataFrame, grids: DataFrame,
 
 def stay_aboard(boardings: DataFrame, sr: DataFrame, mode: str) -> DataFrame:
     """Propagates each boarding along its vehicle run (probability unchanged):
-    a running maximum over the run's later edges (in search direction), so no
-    board/alight pairs are ever enumerated. Boarding rows and run rows are
-    unioned and share one window partition (query, run stretch); a stretch
-    boarded twice is expanded once (from its earliest boarding).
-    Returns LABEL_COLS rows.
+    every later edge of the run (in search direction) takes the best of the
+    boardings before it. The boardings are read once, and their copies along
+    the run are aggregated before the shuffle. Returns LABEL_COLS rows.
     """
     asc = mode == "depart"
-    part = ["query_id", "trip_id", "day_start", "seg"]
-    b = boardings.withColumn("_bseq", F.col("seq"))
-    run = (b.select("query_id", "trip_id", "day_start", "seg", "_bseq", "T", "target", "threshold", "bound")
-           .join(sr.drop("bin"), on=["trip_id", "day_start", "seg"]))
-    run = run.withColumns(rel_times(mode))
+    b = boardings.select("query_id", "trip_id", "day_start", "seg", F.col("seq").alias("_bseq"), "best", "T", "target", "threshold", "bound")
+    run = b.join(sr.drop("bin"), on=["trip_id", "day_start", "seg"]).withColumns(rel_times(mode))
     run = run.where(in_horizon(mode) & (F.col("to_t") <= F.col("bound"))
                     & ((F.col("seq") >= F.col("_bseq")) if asc else (F.col("seq") <= F.col("_bseq"))))
-    run = run.select("query_id", "trip_id", "day_start", "seg", "seq", "edge_id", "T", "target", "threshold",
-                     "bound", "to_node", "to_t", "from_node", "path_id", "dist_id", "_bseq",
-                     F.lit(None).cast(boardings.schema["best"].dataType).alias("b0"), F.lit(1).alias("_kind"))
-    brd = boardings.select("query_id", "trip_id", "day_start", "seg", "seq", "edge_id", "T", "target",
-                           "threshold", "bound", F.lit(None).cast("string").alias("to_node"),
-                           F.lit(None).cast("int").alias("to_t"), F.lit(None).cast("string").alias("from_node"),
-                           F.lit(None).cast("long").alias("path_id"), F.lit(None).cast("string").alias("dist_id"),
-                           F.col("seq").alias("_bseq"), F.col("best").alias("b0"), F.lit(0).alias("_kind"))
-    u = run.unionByName(brd)
-    order = [F.col("seq").asc() if asc else F.col("seq").desc(), F.col("_kind").asc()]
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    first_b = (F.min("_bseq") if asc else F.max("_bseq")).over(Window.partitionBy(*part))
-    u = u.withColumns({"best": F.max("b0").over(w), "_first": first_b})
-    u = u.where((F.col("_kind") == 1) & (F.col("_bseq") == F.col("_first")) & F.col("best").isNotNull())
-    return u.select("query_id", "T", "target", "threshold", "bound", "edge_id",
-                    F.lit(False).alias("virtual"), "to_node", "to_t", "from_node", "path_id",
-                    "trip_id", "day_start", "dist_id", "best")
+    same = ["query_id", "T", "target", "threshold", "edge_id", "to_node", "to_t", "from_node", "path_id", "trip_id", "day_start", "dist_id"]
+    u = run.groupBy(*same).agg(F.max("best").alias("best"), F.min("bound").alias("bound"))
+    return u.withColumns({"virtual": F.lit(False), "links": F.lit(0), "trail": F.array().cast(TRAIL_TYPE)}).select(*LABEL_COLS)
 
 
 def transfer_table(rides: DataFrame, walks: DataFrame | None, grids: DataFrame,

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitrisk.functions.geo import grid_shape, haversine_m, walk_seconds
-from transitrisk.session import cut_lineage
 
 WALK_MAX_M = 500.0
 
@@ -42,45 +41,6 @@ def walk_pairs(stops: DataFrame, max_m: float = WALK_MAX_M, speed_mps: float = 1
             .withColumn("walk_s", walk_seconds("metres", speed_mps)))
 
 
-def walk_closure(walks: DataFrame, max_walk_s: int | None = None) -> DataFrame:
-    """Shortest walking time between stops over chains of walk links.
-
-    Iterates min-plus relaxation until no pair improves (exact; no hop
-    cap). ``max_walk_s`` optionally bounds the total walking time.
-    Columns: dep_node, arr_node, walk_s, hops, prev_node (the stop before
-    the last link, for the no-immediate-return rule).
-    """
-    base = walks.select("dep_node", "arr_node", F.col("walk_s").cast("int").alias("walk_s"),
-                        F.lit(1).alias("hops"), F.col("dep_node").alias("prev_node"))
-    if max_walk_s is not None:
-        base = base.where(F.col("walk_s") <= max_walk_s)
-    best = _best_chain(base)
-    best = cut_lineage(best)
-    links = walks.select(F.col("dep_node").alias("mid"), F.col("arr_node").alias("nxt"),
-                         F.col("walk_s").cast("int").alias("w2"))
-    while True:
-        ext = (best.join(links, best.arr_node == links.mid)
-               .where(F.col("nxt") != F.col("dep_node"))
-               .select("dep_node", F.col("nxt").alias("arr_node"),
-                       (F.col("walk_s") + F.col("w2")).alias("walk_s"),
-                       (F.col("hops") + 1).alias("hops"), F.col("mid").alias("prev_node")))
-        if max_walk_s is not None:
-            ext = ext.where(F.col("walk_s") <= max_walk_s)
-        merged = cut_lineage(_best_chain(best.unionByName(ext)))
-        changed = merged.join(best, on=["dep_node", "arr_node", "walk_s", "hops", "prev_node"],
-                              how="left_anti").limit(1).count()
-        best = merged
-        if changed == 0:
-            return best
-
-
-def _best_chain(df: DataFrame) -> DataFrame:
-    return (df.groupBy("dep_node", "arr_node")
-            .agg(F.min_by(F.struct("walk_s", "hops", "prev_node"),
-                          F.struct("walk_s", "hops", "prev_node")).alias("b"))
-            .select("dep_node", "arr_node", "b.walk_s", "b.hops", "b.prev_node"))
-
-
 def timetable_stops(edges: DataFrame) -> DataFrame:
     """Distinct stops used by the timetable, sorted."""
     return (edges.select(F.col("dep_node").alias("stop"))

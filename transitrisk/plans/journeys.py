@@ -1,22 +1,30 @@
-"""Batch journey planning as DataFrame rounds (G1, G2, G4-G8, W6, A15, A16,
+"""Batch journey planning as DataFrame rounds (G1, G2, G4-G8, J12, W6, A15, A16,
 J9, J13, J14, P17, F15, F19, O1, U4).
 
-A label is a ride edge reached by a query with a path probability. Round k
-boards one more vehicle: frontier ⋈ (walk closure) ⋈ rides on (stop, hour
-bin) → connection probability → W5 cut-off → best boarding per (query,
-edge) → propagation along the vehicle run → keep strict improvements.
-The max-product recursion over time-ordered edges does not depend on the
-visiting order, so the rounds reach the same labels as a best-first search.
-Per query, labels later than the best arrival found so far are pruned
-(exact: times only grow along a path).
+A label is a ride edge reached by a query with a path probability, or a stop
+walked to from one. Round k boards one more vehicle and walks one more link:
+frontier ⋈ links ⋈ rides on (stop, hour bin) → connection probability → W5
+cut-off → best boarding per (query, edge) → propagation along the vehicle run
+→ keep strict improvements. Chains of walking links grow by a link a round,
+within the query's bound, so no table of all walkable pairs is needed. The
+max-product recursion over time-ordered edges does not depend on the visiting
+order, so the rounds reach the same labels as a best-first search. Per query,
+labels later than the best arrival found so far are pruned (exact: times only
+grow along a path).
+
+A label holds no history, only the edge boarded, the edge changed from and the
+links between them. Itineraries follow these pointers back from the answers, so
+histories exist for answers only.
 
 Nothing is collected to the driver except the row count of each round's
-improvements; lineage is cut every round with a reliable checkpoint.
+improvements; each round is one written table in the shared folder. What
+depends on the timetable alone (oriented rides, links, the rides to look up
+beyond a bin, CDF tables) is prepared once per timetable and mode.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,40 +32,69 @@ from pyspark.sql import functions as F
 from transitrisk.functions.timeops import DAY_S, WEEK_S, format_hms, hhmm_to_sod, is_hms, sow, today_weekday
 from transitrisk.operators.delays import cdf_tables, grid_cells
 from transitrisk.operators.paths import chain_segments, run_paths
-from transitrisk.operators.transfers import (LABEL_COLS, LEGS_TYPE, SearchParams, expand, lookups,
-                                              orient_rides, orient_walks, ride_leg, stay_aboard,
-                                              walk_leg)
-from transitrisk.session import cut_lineage, cut_lineage_counted
+from transitrisk.operators.transfers import (HOUR_S, LABEL_COLS, TRAIL_TYPE, Lookups, SearchParams, expand, label_key, lookups,
+                                              orient_rides, orient_walks, ride_leg, stay_aboard, walk_labels, walk_leg,
+                                              walk_on)
+from transitrisk.session import small_job, write_counted
 
 INF = 10 * WEEK_S
 
 
+@dataclass
+class Prepared:
+    """What a search of one mode needs of a timetable."""
+    rides: DataFrame
+    links: DataFrame
+    cells: int
+    tables: tuple[DataFrame, DataFrame]
+    look: Lookups
+    most_links: int  # that leave one stop
+
+
 @dataclass
 class Timetable:
     """rides: edge_id, trip_id, day_start, seg, seq, path_id, dep_node, arr_node,
-    dep_sow, arr_sow, dist_id; walks: walk closure; grids: CDF grids."""
+    dep_sow, arr_sow, dist_id; walks: walking links (dep_node, arr_node, walk_s); grids: CDF grids."""
     rides: DataFrame
     walks: DataFrame
     grids: DataFrame
+    _prepared: dict = field(default_factory=dict, repr=False)
+
+    def prepared(self, mode: str, params: "SearchParams") -> Prepared:
+        """Built once per mode and parameters, kept for all later searches."""
+        key = (mode, params)
+        if key not in self._prepared:
+            sr = orient_rides(self.rides, mode).cache()
+            bounds, points = cdf_tables(self.grids)
+            links = orient_walks(self.walks, mode).cache()
+            most = links.groupBy("a").count().agg(F.max("count")).first()[0] or 0
+            self._prepared[key] = Prepared(sr, links, grid_cells(self.grids), (bounds.cache(), points.cache()),
+                                           lookups(sr, self.grids, mode, params), most)
+        return self._prepared[key]
 
 
 def build_timetable(spark, rides: DataFrame, stops: DataFrame, dists: DataFrame,
-                    walk_max_m: float = 500.0, speed_mps: float = 1.0,
-                    max_walk_s: int | None = None) -> "Timetable":
+                    walk_max_m: float = 500.0, speed_mps: float = 1.0, params: SearchParams = SearchParams()) -> "Timetable":
     """Materialises the search inputs once (S4) and reads them back (S5):
-    rides (already prepared), the walk closure over stops within
-    ``walk_max_m`` and the CDF grids of the delay laws."""
+    rides (already prepared), the walking links between stops within
+    ``walk_max_m``, the CDF grids of the delay laws, and per mode the rides to
+    look up beyond an hour bin."""
     from transitrisk.operators.delays import cdf_grids
-    from transitrisk.operators.walks import walk_closure, walk_pairs
+    from transitrisk.operators.walks import walk_pairs
     from transitrisk.session import scratch_path
     from transitrisk.sources.storage import read_stage, write_stage
-    walks = walk_closure(walk_pairs(stops, walk_max_m, speed_mps), max_walk_s)
+    walks = walk_pairs(stops, walk_max_m, speed_mps).select("dep_node", "arr_node", F.col("walk_s").cast("int").alias("walk_s"))
     grids = cdf_grids(dists)
     base = scratch_path(spark, "timetable")
     out = {}
     for name, df in (("rides", rides), ("walks", walks), ("grids", grids)):
         out[name] = read_stage(spark, write_stage(df, f"{base}/{name}")).cache()
-    return Timetable(out["rides"], out["walks"], out["grids"])
+    tt = Timetable(out["rides"], out["walks"], out["grids"])
+    for mode in ("depart", "arrive"):
+        look = tt.prepared(mode, params).look
+        look.beyond.unpersist()
+        look.beyond = read_stage(spark, write_stage(look.beyond, f"{base}/beyond-{mode}")).cache()
+    return tt
 
 
 def prepare_rides(edges: DataFrame, dist_col: str = "dist_id") -> DataFrame:
@@ -73,36 +110,28 @@ def prepare_rides(edges: DataFrame, dist_col: str = "dist_id") -> DataFrame:
 
 
 def _virtual_labels(q: DataFrame) -> DataFrame:
+    no_trail = F.array().cast(TRAIL_TYPE)
     best = F.struct(F.lit(1.0).alias("prob"), F.lit(0).alias("start_t"), F.lit(0).alias("nrn"),
-                    F.lit(0).cast("long").alias("pkey"), F.array().cast(LEGS_TYPE).alias("hist"),
-                    F.lit(None).cast("long").alias("board"))
+                    F.lit(0).cast("long").alias("pkey"), F.lit(None).cast("long").alias("board"),
+                    F.lit(None).cast("long").alias("before"), no_trail.alias("via"))
     return q.select("query_id", "T", "target", "threshold", "bound",
-                    F.lit(-1).cast("long").alias("edge_id"), F.lit(True).alias("virtual"),
+                    F.lit(-1).cast("long").alias("edge_id"), F.lit(True).alias("virtual"), F.lit(0).alias("links"),
                     F.col("start").alias("to_node"), F.lit(0).alias("to_t"),
                     F.lit(None).cast("string").alias("from_node"),
                     F.lit(None).cast("long").alias("path_id"),
                     F.lit(None).cast("long").alias("trip_id"),
                     F.lit(None).cast("int").alias("day_start"),
-                    F.lit(None).cast("string").alias("dist_id"), best.alias("best"))
+                    F.lit(None).cast("string").alias("dist_id"), no_trail.alias("trail"), best.alias("best"))
 
 
 def _target_arrivals(labels: DataFrame, q: DataFrame, sw: DataFrame) -> DataFrame:
-    """Every way a query's labels reach its target: riding in, walking the
-    last stretch, or walking directly from the start."""
-    no_walk = F.lit(None).cast("string")
-    ride = (labels.where(F.col("to_node") == F.col("target"))
-            .select("query_id", F.col("to_t").alias("arr_t"), "best", "edge_id",
-                    no_walk.alias("wa"), no_walk.alias("wb"), F.lit(None).cast("int").alias("walk_s")))
-    walk = (labels.join(sw, labels.to_node == sw.a).where(F.col("b") == F.col("target"))
-            .where(F.coalesce(F.col("b") != F.col("from_node"), F.lit(True)))
-            .select("query_id", (F.col("to_t") + F.col("walk_s")).alias("arr_t"), "best",
-                    "edge_id", "a", "b", "walk_s").withColumnsRenamed({"a": "wa", "b": "wb"}))
-    v = _virtual_labels(q)
-    direct = (v.join(sw, v.to_node == sw.a).where(F.col("b") == F.col("target"))
-              .select("query_id", F.col("walk_s").alias("arr_t"), "best", "edge_id",
-                      F.col("a").alias("wa"), F.col("b").alias("wb"), "walk_s"))
+    """Every way a query's labels reach its target: riding in, or walking the
+    last link from a ride, a walked stop or the start."""
+    at_target = F.col("to_node") == F.col("target")
+    arrivals = labels.where(at_target & (F.col("links") == 0)).unionByName(
+        walk_on(labels.unionByName(_virtual_labels(q)), sw).drop("more").where(at_target))
     th = q.select("query_id", F.col("threshold").alias("_th"))
-    return (ride.unionByName(walk).unionByName(direct).join(th, "query_id")
+    return (arrivals.select("query_id", F.col("to_t").alias("arr_t"), "best", "edge_id", "virtual", "trail").join(th, "query_id")
             .where(F.col("best.prob") > F.col("_th")).drop("_th"))
 
 
@@ -111,34 +140,33 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
     """Runs the rounds for queries q(query_id, T, start, target, threshold, bound).
 
     Returns (labels, q). Only strict improvements go on, so the rounds end by
-    themselves. Each round is one reliable checkpoint of the improved labels;
-    the per-query bound (best target arrival so far) rides along in the label
-    rows, so no other table is rewritten per round.
+    themselves. Each round is one job that writes and counts the improved
+    labels; the per-query bound (best target arrival so far) rides along in the
+    label rows, so no other table is rewritten per round. Earlier labels are
+    compared by key and rank only.
     """
-    sr = orient_rides(tt.rides, mode).cache()
-    sw = orient_walks(tt.walks, mode).cache()
-    cells = grid_cells(tt.grids)
-    bounds, pts = cdf_tables(tt.grids)
-    tables = (bounds.cache(), pts.cache())
-    look = lookups(sr, tt.grids, mode, params)
-    q, n_queries = cut_lineage_counted(q)
-    frontier = _virtual_labels(q)
+    use = tt.prepared(mode, params)
+    sr, sw = use.rides, use.links
+    q, n_queries = write_counted(q, "search-queries")
+    frontier, n_frontier = _virtual_labels(q), n_queries
+    spark = q.sparkSession
     pieces: list[DataFrame] = []
+    rank = F.struct(*[F.col(f"best.{c}") for c in ("prob", "start_t", "nrn", "pkey")], (-F.col("to_t")).alias("early"))
+    slim = [c for c in LABEL_COLS if c in ("query_id", "edge_id", "virtual", "links", "to_node", "from_node")]
     while True:
-        boardings = expand(frontier, sr, sw, tt.grids, mode, params, cells, tables, look)
-        cand = stay_aboard(boardings, sr, mode).select(*LABEL_COLS)
+        # a label boards at its stop and one link further, in the bins of a day
+        few = n_frontier * (1 + use.most_links) * (DAY_S // HOUR_S + 2) <= BROADCAST_PLACES
+        boardings = expand(frontier, sr, sw, tt.grids, mode, params, use.cells, use.tables, use.look, few)
+        cand = (stay_aboard(boardings, sr, mode).select(*LABEL_COLS).unionByName(walk_labels(frontier, sw))
+                .withColumn("_rank", rank))
         if pieces:
-            # strict improvement over every earlier label of the same (query, edge):
-            # one window over new ∪ old rows instead of an aggregate plus a join
-            old = _union(pieces).select(*LABEL_COLS).withColumn("_new", F.lit(False))
-            u = cand.withColumn("_new", F.lit(True)).unionByName(old)
-            w = Window.partitionBy("query_id", "edge_id")
-            u = u.withColumn("_old", F.max(F.when(~F.col("_new"), F.col("best"))).over(w))
-            cand = (u.where(F.col("_new") & (F.col("_old").isNull() | (F.col("best") > F.col("_old"))))
-                    .select(*LABEL_COLS))
-        improved, n_improved = cut_lineage_counted(cand)
-        if n_improved == 0:
-            improved.unpersist()
+            old = _union([p.select(*slim, rank.alias("_rank")) for p in pieces]).withColumn("_old", F.col("_rank"))
+            u = cand.unionByName(old, allowMissingColumns=True)
+            u = u.withColumn("_known", F.max("_old").over(Window.partitionBy(*label_key())))
+            cand = u.where(F.col("_old").isNull() & (F.col("_known").isNull() | (F.col("_rank") > F.col("_known"))))
+        with small_job(spark, n_frontier):
+            improved, n_frontier = write_counted(cand.select(*LABEL_COLS), "search-round")
+        if n_frontier == 0:
             break
         pieces.append(improved)
         frontier = improved
@@ -150,16 +178,11 @@ def search(q: DataFrame, tt: Timetable, mode: str, params: SearchParams = Search
             frontier = (frontier.join(nb, "query_id", "left")
                         .withColumn("bound", F.least("bound", F.coalesce("_nb", "bound")))
                         .where(F.col("to_t") <= F.col("bound")).select(*LABEL_COLS))
-    for used in (sr, *tables, look.safe, look.beyond):  # every round's labels are checkpoints by now
-        used.unpersist()
-    if pieces:
-        labels = (_union(pieces).groupBy("query_id", "edge_id")
-                  .agg(F.max(F.struct("best", *[c for c in LABEL_COLS if c not in ("query_id", "edge_id", "best")]))
-                       .alias("r"))
-                  .select("query_id", "edge_id", "r.*").select(*LABEL_COLS))
-    else:
-        labels = _virtual_labels(q).limit(0)
-    return labels, q
+    if not pieces:
+        return _virtual_labels(q).limit(0), q
+    of = F.struct("best", (-F.col("to_t")).alias("early"), *[c for c in LABEL_COLS if c not in ("query_id", "edge_id", "best")])
+    return (_union(pieces).groupBy(*label_key()).agg(F.max(F.struct(of.alias("r"), F.col("query_id"), F.col("edge_id"))).alias("m"))
+            .select("m.query_id", "m.edge_id", "m.r.*").select(*LABEL_COLS)), q
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:
@@ -204,6 +227,8 @@ def _real_times(mode: str, t: F.Column, dep_sow: F.Column, arr_sow: F.Column):
 
 # The per-query bound table has one row per query; broadcast it up to this many.
 BROADCAST_QUERIES = 2_000_000
+# Places to board (label, stop, hour bin) of a round, rows of some 200 bytes; broadcast up to this many.
+BROADCAST_PLACES = 100_000
 
 ITINERARY_SCHEMA = ("query_id long, leg int, kind string, trip_id long, dep_node string, arr_node string, "
                     "dep_sow int, arr_sow int, prob double, board_edge long, alight_edge long")
@@ -220,25 +245,44 @@ def _answers(labels: DataFrame, qf: DataFrame, sw: DataFrame) -> DataFrame:
     order = F.struct(F.col("arr_t"), -F.col("best.prob"), -F.col("best.start_t"), -F.col("best.nrn"),
                      F.col("best.pkey"))
     best = (arr.groupBy("query_id")
-            .agg(F.min_by(F.struct("arr_t", "best", "edge_id", "wa", "wb", "walk_s"), order).alias("r"))
+            .agg(F.min_by(F.struct("arr_t", "best", "edge_id", "virtual", "trail"), order).alias("r"))
             .select("query_id", "r.*"))
-    legs = F.col("best.hist")
-    # the virtual start label has boarded nothing; edge ids are hashes of either sign
-    legs = F.when(F.col("best.board").isNotNull(), F.concat(legs, F.array(ride_leg(F.col("best.board"), F.col("edge_id"))))) \
-        .otherwise(legs)
-    legs = F.when(F.col("walk_s").isNotNull(),
-                  F.concat(legs, F.array(walk_leg(F.col("wa"), F.col("wb"), F.col("walk_s"))))).otherwise(legs)
-    return best.withColumn("legs", legs).join(qf.select("query_id", "T"), "query_id")
+    return best.join(qf.select("query_id", "T"), "query_id")
+
+
+def _walk_legs(trail: F.Column) -> F.Column:
+    return F.transform(trail, lambda x: walk_leg(x["a"], x["b"], x["walk_s"]))
+
+
+def _with_legs(best: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds ``legs``, the path in search order, by following the pointers back from
+    the answers (J14): a join per ride of the longest answer."""
+    ridden = (labels.where(F.col("links") == 0)
+              .select("query_id", F.col("edge_id").alias("_edge"), F.col("best.board").alias("_board"),
+                      F.col("best.before").alias("_before"), F.col("best.via").alias("_via")))
+    # only the labels of answered queries can be on a path; one is looked up per query and ride
+    ridden, _ = write_counted(ridden.join(best.select("query_id"), "query_id", "left_semi").withColumnRenamed("query_id", "_query"),
+                              "search-pointers")
+    rides = best.agg(F.max(-F.col("best.nrn"))).first()[0] or 0
+    x = best.withColumns({"legs": _walk_legs(F.col("trail")), "_at": F.when(~F.col("virtual"), F.col("edge_id"))})
+    for _ in range(rides):
+        ride = F.array(ride_leg(F.col("_board"), F.col("_at")))
+        x = (x.join(ridden, (F.col("query_id") == F.col("_query")) & (F.col("_at") == F.col("_edge")), "left")
+             .withColumns({"legs": F.when(F.col("_edge").isNull(), F.col("legs"))
+                           .otherwise(F.concat(_walk_legs(F.col("_via")), ride, F.col("legs"))), "_at": F.col("_before")})
+             .drop("_query", "_edge", "_board", "_before", "_via"))
+    return x.drop("_at")
 
 
 def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(),
-         deepening: tuple[int, ...] = DEEPENING_S) -> tuple[DataFrame, DataFrame]:
+         deepening: tuple[int, ...] = DEEPENING_S, with_itinerary: bool = True) -> tuple[DataFrame, DataFrame]:
     """Depart-at (G1) and arrive-by (G2) plans for a table of queries.
 
     queries(query_id, mode, dep_node, arr_node, t_sow, threshold).
     Returns (summary, itinerary):
       summary(query_id, mode, status, dep_sow, arr_sow, prob, n_rides)
-      itinerary(query_id, leg, kind, trip_id, dep_node, arr_node, dep_sow, arr_sow, prob)
+      itinerary(query_id, leg, kind, trip_id, dep_node, arr_node, dep_sow, arr_sow, prob);
+      empty without ``with_itinerary``, which saves the walk back from the answers
     Times are seconds of week in the query's frame (may pass the week's end
     or be negative around Monday 00:00).
 
@@ -249,42 +293,45 @@ def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(
     a walk) is not: it goes to the next pass with the unanswered queries.
     """
     ok, rejected = _validate(queries, tt.rides, tt.walks)
+    ok, _ = write_counted(ok, "search-valid")
     summaries, itins = [], []
     for mode in ("depart", "arrive"):
         qm = ok.where(F.col("mode") == mode)
         start, target = ("dep_node", "arr_node") if mode == "depart" else ("arr_node", "dep_node")
         trivial = qm.where(F.col("dep_node") == F.col("arr_node"))
-        pending = cut_lineage(qm.where(F.col("dep_node") != F.col("arr_node")).select(
+        pending, n_pending = write_counted(qm.where(F.col("dep_node") != F.col("arr_node")).select(
             "query_id", F.col("t_sow").cast("int").alias("T"), F.col(start).alias("start"),
-            F.col(target).alias("target"), F.col("threshold").cast("double")))
-        sw = orient_walks(tt.walks, mode)
-        found = []
+            F.col(target).alias("target"), F.col("threshold").cast("double")), "search-pending")
+        sw = tt.prepared(mode, params).links
+        found, paths = [], []
         summaries.append(trivial.select("query_id", F.lit(mode).alias("mode"), F.lit("trivial").alias("status"),
                                         F.col("t_sow").cast("int").alias("dep_sow"),
                                         F.col("t_sow").cast("int").alias("arr_sow"),
                                         F.lit(1.0).alias("prob"), F.lit(0).alias("n_rides")))
-        if pending.limit(1).count() == 0:
+        if n_pending == 0:
             continue
         for level, bound in enumerate(deepening):
-            if level > 0 and pending.limit(1).count() == 0:
-                break
             qs = pending.withColumn("bound", F.lit(int(bound)))
             labels, qf = search(qs, tt, mode, params, to_target=True)
             answers = _answers(labels, qf, sw)
             if level < len(deepening) - 1:
                 answers = answers.where(F.col("arr_t") <= bound)
-            best = cut_lineage(answers)
+            best, n_found = write_counted(answers, "search-answers")
             found.append(best)
-            pending = cut_lineage(pending.join(best.select("query_id"), "query_id", "left_anti"))
-        best = found[0]
-        for b in found[1:]:
-            best = best.unionByName(b)
-        itin = _itinerary(best, tt.rides, mode)
-        itins.append(itin)
-        agg = (itin.groupBy("query_id")
-               .agg(F.min("dep_sow").alias("dep_sow"), F.max("arr_sow").alias("arr_sow"),
-                    F.first("prob").alias("prob"),
-                    F.sum((F.col("kind") == "ride").cast("int")).alias("n_rides")))
+            if n_found and with_itinerary:
+                paths.append(_with_legs(best, labels))
+            n_pending -= n_found
+            if n_pending == 0:
+                break
+            pending = pending.join(best.select("query_id"), "query_id", "left_anti")
+        if paths:
+            itins.append(_itinerary(_union(paths), tt.rides, mode))
+        # in search direction a path starts start_t and ends arr_t after the query (before it, in arrive mode)
+        begin, end = F.col("T") + F.col("best.start_t"), F.col("T") + F.col("arr_t")
+        if mode == "arrive":
+            begin, end = F.col("T") - F.col("arr_t"), F.col("T") - F.col("best.start_t")
+        agg = _union(found).select("query_id", begin.alias("dep_sow"), end.alias("arr_sow"), F.col("best.prob").alias("prob"),
+                                   (-F.col("best.nrn")).alias("n_rides"))
         searched = qm.where(F.col("dep_node") != F.col("arr_node")).select("query_id")
         found_df = searched.join(agg, "query_id", "left")
         st = F.when(F.col("prob").isNotNull(), F.lit("ok")).otherwise(F.lit("no_path"))
@@ -332,12 +379,19 @@ def _itinerary(best: DataFrame, rides: DataFrame, mode: str) -> DataFrame:
     else:
         aarr = bdep + (F.col("_a_arr") - F.col("_b_dep"))
     x = x.withColumns({"r_dep": bdep, "r_arr": aarr})
+    # a walking link starts when the ride before it and the links since have ended; leading links
+    # start at the query (depart), or so that they end when the first ride leaves (arrive)
     w = Window.partitionBy("query_id").orderBy("pos")
-    prev_arr = F.lag("r_arr").over(w)
-    next_dep = F.lead("r_dep").over(w)
-    first_dep = t if mode == "depart" else F.coalesce(next_dep - F.col("l.walk_s"), t - F.col("l.walk_s"))
-    walk_dep = F.coalesce(prev_arr, first_dep)
     is_walk = F.col("l.kind") == "walk"
+    x = x.withColumns({"_ride_no": F.sum((~is_walk).cast("int")).over(w),
+                       "_prev": F.max("r_arr").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                       "_next": F.min("r_dep").over(w.rowsBetween(1, Window.unboundedFollowing))})
+    stretch = Window.partitionBy("query_id", "_ride_no").orderBy("pos")
+    walked = F.coalesce(F.sum("l.walk_s").over(stretch.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    to_walk = F.coalesce(F.sum("l.walk_s").over(stretch.rowsBetween(0, Window.unboundedFollowing)), F.lit(0))
+    x = x.withColumns({"_walked": walked, "_to_walk": to_walk})
+    first_dep = t + F.col("_walked") if mode == "depart" else F.coalesce("_next", t) - F.col("_to_walk")
+    walk_dep = F.coalesce(F.col("_prev") + F.col("_walked"), first_dep)
     x = x.withColumns({
         "dep_sow": F.when(is_walk, walk_dep).otherwise(F.col("r_dep")),
         "arr_sow": F.when(is_walk, walk_dep + F.col("l.walk_s")).otherwise(F.col("r_arr"))})

@@ -6,9 +6,16 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Rows up to which a round of a search is a small job, and its partitions.
+SMALL_ROWS = 20_000
+SMALL_PARTITIONS = 4
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -24,6 +31,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = (builder
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
+             # call sites for error messages cost several milliseconds a column; iterative plans have thousands
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
              .config("spark.driver.memory", os.environ.get("TR_DRIVER_MEMORY", "16g"))
@@ -110,6 +119,30 @@ def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return out, n
 
 
+@contextmanager
+def small_job(spark: SparkSession, rows: int):
+    """For jobs on few rows: a few partitions and no re-planning between stages, which would
+    take longer than the work. Larger ones run with the session's own settings."""
+    names = {"spark.sql.adaptive.enabled": "false",
+             "spark.sql.shuffle.partitions": str(min(SMALL_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions"))))}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        if rows <= SMALL_ROWS:
+            for n, v in names.items():
+                spark.conf.set(n, v)
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def write_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Writes a table to the shared folder and reads it back; the same job counts its rows."""
+    path, seen = scratch_path(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
