@@ -67,19 +67,23 @@ def piece_cuts(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.n
     them and from a single line feed before them. Texts marked ``whole`` are not cut inside."""
     if len(data) == 0:
         return np.zeros(1, np.int64)
-    blank = (data == 0x20) | (data == 0x0A)
+    blank = _BLANK[data]
     text_start = np.zeros(len(data) + 1, bool)
     text_start[offsets] = True
-    inside = ~blank
-    begins = np.flatnonzero(inside & np.concatenate([[True], blank[:-1]]) | inside & text_start[:-1])
-    ends = np.flatnonzero(inside & np.concatenate([blank[1:], [True]]) | inside & text_start[1:]) + 1
-    ascii_letter = ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)
-    follows = np.concatenate([data[1:], [0]])
-    lead = (data == 0xC3) & (follows >= 0x80) & (follows <= 0xBF) & (follows != 0x97) & (follows != 0xB7)
-    letter = ascii_letter | lead
-    letter[1:] |= lead[:-1]
-    others = np.append(np.flatnonzero(~letter), len(data))
-    after = np.minimum(others[np.searchsorted(others, begins)], ends)  # first byte behind a run's leading letters
+    edge = text_start.copy()
+    edge[1:-1] |= blank[1:] != blank[:-1]
+    edges = np.flatnonzero(edge)
+    runs = np.flatnonzero(~blank[edges[:-1]])
+    begins, ends = edges[runs], edges[runs + 1]
+    letter = _LETTER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    lead = lead[(second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)]
+    letter[lead] = letter[lead + 1] = True
+    others = np.flatnonzero(~letter)
+    before = np.cumsum(~letter, dtype=np.int32)  # at a letter: the others in front of it
+    after = np.append(others, len(data))[before[begins] - ~letter[begins]]
+    after = np.minimum(after, ends)  # first byte behind a run's leading letters
     split = (after > begins) & (after < ends)
     split[split] = data[after[split]] < 0x80  # no ASCII byte behind letters continues them
     cut = np.zeros(len(data) + 1, bool)
@@ -95,6 +99,11 @@ def piece_cuts(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.n
     return np.flatnonzero(cut)
 
 
+_BLANK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[[0x20, 0x0A]] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
 def _other_space(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Per text whether it holds a character of ``_OTHER_SPACE``."""
     single = np.zeros(256, bool)
