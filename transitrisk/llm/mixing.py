@@ -2,14 +2,16 @@
 
 Each document is taken target / source size times on average: whole copies are
 certain, the fraction is its inclusion probability. The flight phase of the
-cube method (Deville and Tille, 2004) moves the probabilities of three
-undecided documents at a time along the null space of the two balancing
-constraints (words and documents of the source) until one of them is 0 or 1,
-so both totals stay exact. It runs in blocks: each block leaves at most two
-undecided documents, which form the blocks of the next level, until one block
-per source is left. Landing decides that block's last documents at random with
-their remaining probabilities. Large documents are decided first, so only
-small ones are left to land.
+cube method (Deville and Tille, 2004) moves the probabilities of the undecided
+documents along the null space of the two balancing constraints (words and
+documents of the source) until one of them is 0 or 1, so both totals stay exact;
+each move is the direction of the largest one, projected on that space. It runs
+in blocks: each block leaves at most two undecided documents, which form the
+blocks of the next level, until one block per source is left. Landing gives up
+the documents' total, keeps the words until one document is left and draws that
+one. Large documents are decided first, with all others of their block to make
+up for them, so those left to land are small; if one document outweighs what its block
+can give, decided ones make up for it, at the price of its inclusion probability.
 
 Defined results: sources are ordered by code point, null last; a null or
 wordless text has size 0 and is in the mix as if of its source; equal rows
@@ -30,7 +32,7 @@ from transitrisk.llm.common import SPACED_WORD_RE, renamed, row_keys, stored
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MAX_REPEAT = 2.0
-BLOCK_DOCS = 2000
+BLOCK_DOCS = 1000
 EPS = 1e-9
 
 
@@ -63,59 +65,94 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
 
 def flight(size: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
     """Moves probabilities until at most two are left strictly between 0 and 1;
-    sums of p and of p * size do not change."""
-    scale = max(1.0, float(size.max(initial=0)))
-    size, p = (size / scale).tolist(), p.astype(float).tolist()
-    active: list[int] = []
-    draws = rng.random(len(p) + 2)
-    steps = 0
-    for unit in range(len(p) + 1):
-        if unit < len(p) and EPS < p[unit] < 1 - EPS:
-            active.append(unit)
-        while len(active) > 2 or (len(active) == 2 and size[active[0]] == size[active[1]]):
-            if len(active) > 2:
-                (a, b, c), (x, y, z) = active[:3], (size[i] for i in active[:3])
-                u = (y - z, z - x, x - y)  # sums to 0, and so does u * size
-                if u == (0.0, 0.0, 0.0):
-                    u = (1.0, -1.0, 0.0)
-                move = [(i, v) for i, v in zip((a, b, c), u) if v]
-            else:
-                move = [(active[0], 1.0), (active[1], -1.0)]
-            up = min((1 - p[i]) / v if v > 0 else -p[i] / v for i, v in move)
-            down = min(p[i] / v if v > 0 else (p[i] - 1) / v for i, v in move)
-            step = up if draws[steps % len(draws)] * (up + down) < down else -down
-            steps += 1
-            for i, v in move:
-                p[i] += step * v
-            stay = [i for i in active if EPS < p[i] < 1 - EPS]
-            if len(stay) == len(active):  # rounding: the unit that came closest is decided
-                nearest = min(stay, key=lambda i: min(p[i], 1 - p[i]))
-                stay.remove(nearest)
-            active = stay
-    p = np.array(p)
-    p[p <= EPS], p[p >= 1 - EPS] = 0.0, 1.0
+    sums of p and of p * size do not change.
+
+    Each move is for the largest undecided unit: its own direction, projected on the
+    null space of both totals. All other undecided units share what it gives or
+    takes, so it is decided within a few moves while they hardly change."""
+    p = p.astype(float).copy()
+    at = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    at = at[np.argsort(-size[at], kind="stable")]
+    draws = rng.random(len(at) + 1)
+    x = size[at] / max(1.0, float(size.max(initial=0)))
+    q = p[at]
+    for draw in draws:
+        n = len(q)
+        if n < 2:
+            break
+        away = x - x.mean()
+        spread = float(away @ away)
+        # what is left of a unit's own direction once both totals are fixed; none of it: the next unit
+        own = 1 - 1 / n - (away * away / spread if spread > EPS * EPS else 0.0)
+        able = np.flatnonzero(np.broadcast_to(own, n) > 1e-7)
+        if len(able) == 0:
+            break
+        v = np.full(n, -1 / n) - (away * (away[able[0]] / spread) if spread > EPS * EPS else 0.0)
+        v[able[0]] += 1
+        v[np.abs(v) < 1e-13] = 0.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(v > 0, (1 - q) / v, np.where(v < 0, -q / v, np.inf))
+            down = np.where(v > 0, q / v, np.where(v < 0, (q - 1) / v, np.inf))
+        most, least = float(up.min()), float(down.min())
+        rise = draw * (most + least) < least
+        q = q + (most if rise else -least) * v
+        hit = int(np.argmin(up if rise else down))
+        q[hit] = float((v[hit] > 0) == rise)
+        done = (q <= EPS) | (q >= 1 - EPS)
+        p[at[done]] = np.round(q[done])
+        at, x, q = at[~done], x[~done], q[~done]
+    p[at] = q
     return p
 
 
+def _move(p: list, move: list, draw: float) -> None:
+    """Moves probabilities along a direction until one is 0 or 1; on average they stay."""
+    up = min((1 - p[i]) / v if v > 0 else -p[i] / v for i, v in move)
+    down = min(p[i] / v if v > 0 else (p[i] - 1) / v for i, v in move)
+    step = up if draw * (up + down) < down else -down
+    for i, v in move:
+        p[i] += step * v
+
+
+def _undecided(p: list, units: list) -> list:
+    return [i for i in units if EPS < p[i] < 1 - EPS]
+
+
+def _make_up(size: np.ndarray, p: np.ndarray, k: int, value: float) -> tuple[float, np.ndarray]:
+    """Unit k decided, and decided units changed, largest first, while that lessens
+    the miss of words: (words still missed, p)."""
+    q = p.copy()
+    q[k] = value
+    gap = float(size[k]) * (p[k] - value)
+    for i in np.argsort(-size, kind="stable"):
+        if i != k and 0 < size[i] <= abs(gap) and q[i] == float(gap < 0):
+            q[i] = 1 - q[i]
+            gap -= float(np.copysign(size[i], gap))
+    return abs(gap), q
+
+
 def land(size: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
-    """Decides what the flight left: the words constraint alone first, then by chance."""
-    left = np.flatnonzero((p > 0) & (p < 1))
-    while len(left) > 1:
+    """Decides what the flight left: the number of documents is given up first, the
+    words are kept until one unit is left, and that one is drawn. If it is larger
+    than the median, decided units make up for it; where they cannot for the value
+    drawn, the other value is taken, if that misses less."""
+    q = p.tolist()
+    left = sorted(_undecided(q, range(len(q))), key=lambda i: -size[i])
+    while len(left) > 1 and size[left[1]] > 0:
         i, j = left[:2]
-        if size[i] == 0 or size[j] == 0:
-            break
-        v = (1.0, -size[i] / size[j])  # keeps p * size
-        move = list(zip((i, j), v))
-        up = min((1 - p[k]) / w if w > 0 else -p[k] / w for k, w in move)
-        down = min(p[k] / w if w > 0 else (p[k] - 1) / w for k, w in move)
-        step = up if rng.random() * (up + down) < down else -down
-        for k, w in move:
-            p[k] = min(1.0, max(0.0, p[k] + step * w))
-        p[(p <= EPS)], p[(p >= 1 - EPS)] = 0.0, 1.0
-        still = np.flatnonzero((p > 0) & (p < 1))
-        left = still if len(still) < len(left) else still[:-1]
+        _move(q, [(i, 1.0), (j, -float(size[i]) / float(size[j]))], rng.random())
+        still = _undecided(q, left)
+        left = still if len(still) < len(left) else [k for k in left if k != j]
+    p = np.clip(np.array(q, float), 0.0, 1.0)
+    p[p <= EPS], p[p >= 1 - EPS] = 0.0, 1.0
     for k in np.flatnonzero((p > 0) & (p < 1)):
-        p[k] = float(rng.random() < p[k])
+        drawn = float(rng.random() < p[k])
+        small = float(np.median(size))
+        if size[k] <= small:
+            p[k] = drawn
+            continue
+        (miss, one), (other_miss, other) = _make_up(size, p, k, drawn), _make_up(size, p, k, 1 - drawn)
+        p = one if miss <= max(small, other_miss) else other
     return p
 
 
