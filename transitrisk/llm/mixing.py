@@ -34,6 +34,8 @@ SHARE = 1.5
 MAX_REPEAT = 2.0
 BLOCK_DOCS = 1000
 EPS = 1e-9
+#: A last document of more than so many medians is made up for, whatever was drawn.
+OUTLIER = 8
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -134,7 +136,7 @@ def _make_up(size: np.ndarray, p: np.ndarray, k: int, value: float) -> tuple[flo
 def land(size: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
     """Decides what the flight left: the number of documents is given up first, the
     words are kept until one unit is left, and that one is drawn. If it is larger
-    than the median, decided units make up for it; where they cannot for the value
+    than ``OUTLIER`` medians, decided units make up for it; where they cannot for the value
     drawn, the other value is taken, if that misses less."""
     q = p.tolist()
     left = sorted(_undecided(q, range(len(q))), key=lambda i: -size[i])
@@ -148,7 +150,7 @@ def land(size: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
     for k in np.flatnonzero((p > 0) & (p < 1)):
         drawn = float(rng.random() < p[k])
         small = float(np.median(size))
-        if size[k] <= small:
+        if size[k] <= OUTLIER * small:
             p[k] = drawn
             continue
         (miss, one), (other_miss, other) = _make_up(size, p, k, drawn), _make_up(size, p, k, 1 - drawn)
