@@ -54,6 +54,50 @@ def test_proximity_and_slop(spark, docs):
     assert got[3] == (0, 0)
 
 
+def brute_near(doc, items, n=13, slop=8, percent=80):
+    """Windows of which enough words stand near where they belong, beside any word of the window."""
+    w, found = words(doc), set()
+    windows = {tuple(v[i:i + n]) for v in (words(t) for _, t in items) for i in range(max(1, len(v) - n + 1) if v else 0)}
+    for window in windows:
+        for off, term in enumerate(window):
+            for p in (p for p, x in enumerate(w) if x == term):
+                met = sum(any(x == t and abs(p + j - off - q) <= slop for q, x in enumerate(w[max(0, p - n + 1):p + n], max(0, p - n + 1)))
+                          for j, t in enumerate(window))
+                if 100 * met >= percent * len(window):
+                    found.add(window)
+    return len(found)
+
+
+def test_near_as_shipped(spark, docs):
+    """Changed, dropped, inserted and moved words; words no document holds; shipped parameters."""
+    rng = random.Random(8)
+    items = [(i, " ".join(f"t{i}x{j}" for j in range(rng.choice([1, 3, 6, 13, 20])))) for i in range(10)]
+    rows, least = [(0, None)], 0
+    for k in range(1, 60):
+        v = words(rng.choice(items)[1])
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(v) + 1)
+            v[at:at + rng.choice([0, 1])] = [f"new{rng.randrange(9)}"] * rng.choice([0, 1, 2])
+        rows.append((k, " ".join(["a", "b"] * rng.randrange(5) + v + ["c"] * rng.randrange(5))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["n_near"] for r in decontam.contamination(docs(rows), bench).collect()}
+    want = {i: brute_near(t, items) for i, t in rows}
+    # a posting beside an anchor sees what any word of the window sees, up to the slop
+    assert all(0 <= got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.9 * sum(want.values()) > 20
+    for i, t in rows:
+        assert got[i] >= (brute(t, items)[1] > 0)
+
+
+def test_near_needs_more_than_two_words(spark, docs):
+    item = " ".join(f"u{i}" for i in range(13))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, "u0 u1 and nothing else"), (2, item.replace("u4", "other")), (3, item.replace("u4 ", "").replace("u9", "x")),
+            (4, " ".join(reversed(item.split())))]
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in decontam.contamination(docs(rows), bench).collect()}
+    assert got == {1: (0, 0), 2: (0, 1), 3: (0, 1), 4: (0, 0)}
+
+
 def test_empty_tables(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r) for r in decontam.contamination(docs([(1, "a b")]), bench).select("n_words", "n_hit", "contaminated").collect()] == [(2, 0, False)]

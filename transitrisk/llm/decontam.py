@@ -8,9 +8,14 @@
 4. A second scan stores the postings of the anchor terms: term, document,
    position, and a 32-bit signature of each neighbouring word.
 5. Postings join anchors on the term; subtracting the anchor's offset turns
-   positions into window starts, and lists meet where the starts agree.
-   All words of the window are then compared by signature: exact matches.
-   Anchors whose starts differ by at most ``slop`` words: proximity matches.
+   positions into window starts. All words of the window are compared with the
+   posting's neighbours by signature, and lists meet where the starts agree:
+   exact matches. At least ``near_percent`` of the window's words within ``slop``
+   places of where they belong beside an anchor: a proximity match.
+
+A window of n words of which m must be found has n - m + 1 anchors, so one of
+them stands in every text that lacks no more than n - m of its words; terms that
+no document holds are the rarest ones and count among them.
 
 Defined results: null or wordless texts have no words, windows or hits;
 repeated benchmark ids are one item; a null item_id counts as one item and is
@@ -32,8 +37,8 @@ from transitrisk.llm.common import (ALNUM_WORD, LOWER, bloom, in_bloom, row_keys
                                     utf8, word_bounds, word_hashes)
 
 WINDOW_WORDS = 13
-ANCHORS = 2
 SLOP = 8
+NEAR_PERCENT = 80
 #: A task holds back at most this many distinct term counts before passing them on.
 HELD_TERMS = 200_000
 
@@ -41,7 +46,8 @@ HELD_TERMS = 200_000
 @dataclass
 class Matches:
     """documents(row, doc_id, key1, key2, n_words), exact(row, start, len, wid),
-    near(row, wid, start), window_items(wid, item)."""
+    near(row, wid, start), window_items(wid, item). A near start is the first
+    place where a window would begin; words lacking before it may make it negative."""
     documents: DataFrame
     exact: DataFrame
     near: DataFrame
@@ -139,18 +145,56 @@ def postings(docs: DataFrame, id_col: str, text_col: str, anchor_terms: np.ndarr
                                "key1 long, key2 long, n_words long, term long, pos long, ctx binary")
 
 
+CONFIRMED = "row long, wid long, start long, off int, len int, need int, same boolean, near boolean"
+
+
+def confirm(lists: DataFrame, words: int, slop: int, near_percent: int) -> DataFrame:
+    """Postings beside an anchor (row, wid, start, off, len, need, ctx, sign) whose
+    neighbours hold the whole window (``same``) or enough of it nearby (``near``)."""
+    reach = words - 1
+    names = ["row", "wid", "start", "off", "len", "need"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            around = np.frombuffer(b"".join(part["ctx"].to_pylist()), np.uint32).reshape(-1, 2 * reach + 1)
+            signs, sizes = part["sign"].to_pylist(), part["len"].to_numpy()
+            offs = part["off"].to_numpy()
+            same, near = np.zeros(part.num_rows, bool), np.zeros(part.num_rows, bool)
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                sign = np.frombuffer(b"".join(signs[i] for i in at.tolist()), np.uint32).reshape(-1, size)
+                here, place = around[at], reach - offs[at].astype(np.int64)
+                found, exact = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+                for k in range(size):
+                    equal = here == sign[:, k:k + 1]
+                    belongs = place + k
+                    exact &= equal[np.arange(len(at)), belongs]
+                    found += (equal & (np.abs(np.arange(2 * reach + 1) - belongs[:, None]) <= slop)).any(axis=1)
+                same[at], near[at] = exact, 100 * found >= near_percent * size
+            keep = pa.array(np.flatnonzero(same | near))
+            yield pa.RecordBatch.from_arrays(
+                [*(part[c].take(keep) for c in names), pa.array(same).take(keep), pa.array(near).take(keep)],
+                [*names, "same", "near"])
+
+    return lists.select(F.col("row"), F.col("wid"), F.col("start").cast("long"), F.col("off").cast("int"),
+                        F.col("len").cast("int"), F.col("need").cast("int"), "ctx", "sign").mapInArrow(run, CONFIRMED)
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id",
-                 item_text_col="text", words: int = WINDOW_WORDS, anchors: int = ANCHORS, slop: int = SLOP) -> Matches:
+                 item_text_col="text", words: int = WINDOW_WORDS, anchors: int | None = None, slop: int = SLOP,
+                 near_percent: int = NEAR_PERCENT) -> Matches:
+    """``anchors``: rarest terms of a window to look up; by default as many as
+    proximity matches need to be complete."""
     windows = stored(benchmark_windows(benchmark, item_col, item_text_col, words), "decontam-windows")
     distinct_windows = windows.select("wid", "terms").distinct()
     window_terms = distinct_windows.select("wid", F.posexplode("terms").alias("off", "term"))
     counts = stored(term_counts(docs, text_col, bloom(window_terms, "term")), "decontam-counts")
 
-    # the rarest terms of a window; one that no document holds excuses the window
+    asked = F.lit(anchors) if anchors else F.col("len") - F.ceil(F.col("len") * near_percent / F.lit(100)).cast("int") + 1
     ranked = (window_terms.join(counts, "term", "left").fillna(0, ["n"])
               .groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("by_n"))
-              .where(F.col("by_n")[0]["n"] > 0)
-              .select("wid", F.size("by_n").alias("len"), F.slice("by_n", 1, anchors).alias("anchors")))
+              .withColumn("len", F.size("by_n"))
+              .select("wid", "len", F.slice("by_n", F.lit(1), asked).alias("anchors")))
     signature = F.col("terms")
     chosen = stored(
         ranked.join(distinct_windows, "wid")
@@ -165,18 +209,12 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
     index = stored(postings(docs, id_col, text_col, bloom(chosen.select("term").distinct(), "term"), words),
                    "decontam-postings", "kind")
     lists = (index.where("kind = 1").select("row", "term", "pos", "ctx").join(chosen, "term")
-             .withColumn("start", F.col("pos") - F.col("off")).where("start >= 0")
-             .select("row", "wid", "start", "off", "len", "need",
-                     (F.expr(f"substring(ctx, {4 * (words - 1) + 1} - 4 * off, 4 * len)") == F.col("sign")).alias("same")))
-    # neighbours in the merged lists of a window: same start for all anchors, or starts within the slop
-    order = Window.partitionBy("row", "wid").orderBy("start", "off")
-    exact = (lists.where("same").groupBy("row", "wid", "start").agg(
+             .withColumn("start", F.col("pos") - F.col("off")))
+    met = stored(confirm(lists, words, slop, near_percent), "decontam-lists")
+    exact = (met.where("same").groupBy("row", "wid", "start").agg(
         F.count_distinct("off").alias("met"), F.first("need").alias("need"), F.first("len").alias("len"))
         .where("met = need").select("row", "start", "len", "wid"))
-    near = (lists.where("need > 1").withColumns({"p_start": F.lag("start").over(order), "p_off": F.lag("off").over(order)})
-            .where(F.col("p_off").isNotNull() & (F.col("p_off") != F.col("off"))
-                   & (F.col("start") - F.col("p_start") <= slop))
-            .select("row", "wid", F.col("p_start").alias("start")).distinct())
+    near = met.where("near").groupBy("row", "wid").agg(F.min("start").alias("start"))
     documents = index.where("kind = 0").select("row", "doc_id", "key1", "key2", "n_words")
     return Matches(documents, stored(exact, "decontam-exact"), near, windows.select("wid", "item").distinct())
 

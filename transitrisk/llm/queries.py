@@ -220,14 +220,16 @@ def _op7_sql() -> str:
     posts AS (SELECT rid, i - 1 AS pos, words[i] AS term FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM d)
               WHERE words[i] IN (SELECT term FROM terms)),
     counts AS (SELECT term, count(*) AS n FROM posts GROUP BY term),
-    ranked AS (SELECT win, len, off, term, row_number() OVER w AS r, first_value(coalesce(n, 0)) OVER w AS least_n
-               FROM terms LEFT JOIN counts USING (term) WINDOW w AS (PARTITION BY win, len ORDER BY coalesce(n, 0), off)),
-    lists AS (SELECT rid, win, len, off, pos - off AS start FROM posts JOIN ranked USING (term)
-              WHERE r <= {decontam.ANCHORS} AND least_n > 0 AND pos >= off),
-    pairs AS (SELECT rid, win, len, start, off, lag(start) OVER w AS p_start, lag(off) OVER w AS p_off
-              FROM lists WINDOW w AS (PARTITION BY rid, win, len ORDER BY start, off)),
-    near AS (SELECT rid, count(*) AS n_near FROM (SELECT DISTINCT rid, win, len, p_start FROM pairs
-             WHERE p_off IS NOT NULL AND p_off <> off AND start - p_start <= {decontam.SLOP}) GROUP BY rid)
+    ranked AS (SELECT win, len, off, term,
+                 row_number() OVER (PARTITION BY win, len ORDER BY coalesce(n, 0), off) AS r,
+                 ceil(len * {decontam.NEAR_PERCENT} / 100.0) AS least
+               FROM terms LEFT JOIN counts USING (term)),
+    places AS (SELECT rid, win, len, off, pos, least FROM posts JOIN ranked USING (term) WHERE r <= len - least + 1),
+    near AS (SELECT rid, count(DISTINCT (win, len)) AS n_near FROM (
+               SELECT a.rid, a.win, a.len FROM places a JOIN terms t ON t.win = a.win AND t.len = a.len
+                 JOIN posts p ON p.rid = a.rid AND p.term = t.term AND p.pos - a.pos BETWEEN {1 - n} AND {n - 1}
+                   AND p.pos - a.pos - (t.off - a.off) BETWEEN -{decontam.SLOP} AND {decontam.SLOP}
+               GROUP BY a.rid, a.win, a.len, a.off, a.pos, a.least HAVING count(DISTINCT t.off) >= a.least) GROUP BY rid)
     SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
       sha256(coalesce(items, '')) AS items_sha256,
       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated,
