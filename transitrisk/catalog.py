@@ -18,6 +18,7 @@ from transitrisk.functions.timeops import DAY_S, WEEK_S, hhmm_to_sod
 from transitrisk.operators import clustering as C
 from transitrisk.operators import delays as D
 from transitrisk.operators import paths as PA
+from transitrisk.operators import summaries as SU
 from transitrisk.operators import timetable as TT
 from transitrisk.operators import walks as WK
 from transitrisk.operators.transfers import (SearchParams, in_horizon, orient_rides, rel_times,
@@ -887,6 +888,51 @@ def q_plan_depart_fitted(spark, d):
                     r6("prob").alias("prob"), bi("n_rides").alias("n_rides"))
 
 
+def _daily_counts(spark, d):
+    from transitrisk.session import scratch_path
+    obs = _obs(spark, d).select("stop", F.date_format("service_date", "yyyy-MM-dd").alias("day"), F.col("arrival_delay").alias("delay"))
+    path = scratch_path(spark, "delay-summary")
+    counts = SU.period_counts(obs, "stop", "day")
+    odd = F.dayofmonth(F.to_date("period")) % 2 == 1
+    for some in (odd, ~odd):  # two loads, of different days
+        SU.write_periods(counts.where(some), path)
+    return SU.merged_counts(spark, path, "stop")
+
+
+_QUANTS = ", ".join(f"round(quantile_cont(arrival_delay, {p / 100}), 6) AS p{p}" for p in D.PERCENTILES)
+
+
+@register("delay_summary", V.with_views(V.SQL_OBS) + f"""
+SELECT stop, CAST(count(*) AS BIGINT) AS n, round(avg(arrival_delay), 6) AS mean, round(stddev_samp(arrival_delay), 6) AS std, {_QUANTS}
+FROM v_obs WHERE arrival_delay IS NOT NULL GROUP BY stop""")
+def q_delay_summary(spark, d):
+    """Moments and percentiles per stop from daily counts stored in two loads and merged."""
+    s = SU.summary_stats(_daily_counts(spark, d), "stop")
+    return s.select("stop", bi("n").alias("n"), *[r6(c).alias(c) for c in ("mean", "std", *D.FEATURE_COLS)])
+
+
+QUANTILE_PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.999, 1.0]
+
+
+@register("delay_quantiles", V.with_views(V.SQL_OBS) + f"""
+SELECT CAST(p AS DOUBLE) AS prob, round(q, 6) AS quantile FROM (
+  SELECT unnest({QUANTILE_PROBS}) AS p, unnest(quantile_cont(CAST(arrival_delay AS DOUBLE), {QUANTILE_PROBS})) AS q FROM v_obs)""")
+def q_delay_quantiles(spark, d):
+    """Exact quantiles of all delays without gathering them in one task (A5)."""
+    return SU.exact_quantiles(_obs(spark, d), "arrival_delay", QUANTILE_PROBS).select("prob", r6("quantile").alias("quantile"))
+
+
+@register("law_choice", V.with_views(V.SQL_OBS) + """
+SELECT stop, CAST(count(*) AS BIGINT) AS n, true AS no_worse, true AS below_min FROM v_obs WHERE arrival_delay IS NOT NULL GROUP BY stop""")
+def q_law_choice(spark, d):
+    """Invariants of the law chosen per stop: at least as near as the location-fixed fit, starting below the least delay."""
+    counts = D.delay_counts(_obs(spark, d).select("stop", F.col("arrival_delay").alias("delay")), "stop")
+    least = counts.groupBy("stop").agg(F.min("value").alias("least"))
+    return SU.choose_laws(counts, "stop").join(least, "stop").select(
+        "stop", bi("n").alias("n"), (F.col("ks") <= F.col("ks_fixed")).alias("no_worse"),
+        (F.col("loc") <= F.col("least")).alias("below_min"))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
 

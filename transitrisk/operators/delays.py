@@ -77,11 +77,15 @@ def gamma_stats(long: DataFrame, key: str, value: str = "delay",
     """Sufficient statistics of a location-fixed gamma fit per key (A9, A10):
     n, min, loc = min − pad, mean and mean log of x − loc, sample variance.
     One scan: everything follows from the counts per (key, delay)."""
-    loc = F.col("x_min").cast("double") - F.lit(float(loc_pad))
-    h = (delay_counts(long, key, value).groupBy(key)
-         .agg(F.min("value").alias("x_min"), F.sum("cnt").alias("n"),
+    return stats_from_counts(delay_counts(long, key, value), key, F.lit(float(loc_pad)))
+
+
+def stats_from_counts(counts: DataFrame, key: str, pad: Column) -> DataFrame:
+    """``gamma_stats`` from (key, value, cnt); ``pad`` is constant within a key."""
+    h = (counts.withColumn("_pad", pad).groupBy(key)
+         .agg(F.min("value").alias("x_min"), F.sum("cnt").alias("n"), F.max("_pad").alias("_pad"),
               F.array_sort(F.collect_list(F.struct(F.col("value").cast("double").alias("x"), "cnt"))).alias("h"))
-         .withColumn("loc", loc))
+         .withColumn("loc", F.col("x_min").cast("double") - F.col("_pad")).drop("_pad"))
 
     def mean(of):
         return F.aggregate("h", F.lit(0.0), lambda s, r: s + r["cnt"] * of(r["x"])) / F.col("n")
