@@ -18,12 +18,15 @@ from transitrisk.functions.timeops import DAY_S, WEEK_S, hhmm_to_sod
 from transitrisk.operators import clustering as C
 from transitrisk.operators import delays as D
 from transitrisk.operators import paths as PA
+from transitrisk.operators import split_runs as SR
 from transitrisk.operators import summaries as SU
 from transitrisk.operators import timetable as TT
 from transitrisk.operators import walks as WK
 from transitrisk.operators.transfers import (SearchParams, in_horizon, orient_rides, rel_times,
                                               transfer_table)
+from transitrisk.session import scratch_path
 from transitrisk.sources import actuals as AC
+from transitrisk.sources import dated as DT
 from transitrisk.sources import stations as ST
 from transitrisk.sources import testdata as V
 
@@ -210,6 +213,24 @@ def q_projected_obs(spark, d):
                     bi("departure_delay").alias("departure_delay"))
 
 
+@register("dated_store", ORACLE["projected_obs"].replace("SELECT 'T'", "SELECT service_date, count(*) AS n_rows, "
+          "count(arrival_delay) AS n_arrival, CAST(sum(arrival_delay) AS BIGINT) AS sum_arrival FROM (SELECT 'T'")
+          + ") o GROUP BY service_date")
+def q_dated_store(spark, d):
+    """The actuals as one file a day, loaded in two goes (the second finds all files
+    and opens the new ones only), read back from the dated store."""
+    base = scratch_path(spark, "dated")
+    text = V.actuals_text(_events(spark, d)).withColumn("day", F.substring("service_day", 1, 2).cast("int"))
+    for half, some in (("a", F.col("day") % 2 == 0), ("b", F.col("day") % 2 == 1)):
+        (text.where(some).withColumnsRenamed({v: k for k, v in AC.ACTUALS_COLUMNS.items()})
+         .repartition("day").write.option("sep", ";").option("header", True).partitionBy("day").csv(f"{base}/in/{half}"))
+    DT.load_new_days(spark, f"{base}/in/a/day=*/*.csv", f"{base}/store")
+    DT.load_new_days(spark, f"{base}/in/*/day=*/*.csv", f"{base}/store")
+    o = DT.read_days(spark, f"{base}/store")
+    return o.groupBy("service_date").agg(F.count(F.lit(1)).alias("n_rows"), F.count("arrival_delay").alias("n_arrival"),
+                                         bi(F.sum("arrival_delay")).alias("sum_arrival"))
+
+
 @register("weekday_coalesce", """
 SELECT event_id, CAST(isodow(ts) - 1 AS BIGINT) AS week_day, CAST(ts AS DATE) AS service_date,
        round(coalesce(CASE WHEN event_type <> 'signup' THEN value END, value * 2), 6) AS filled,
@@ -393,6 +414,37 @@ def q_path_join(spark, d):
                     bi("dep_sow").alias("dep_sow"), F.array_join("path", ">").alias("path"))
 
 
+@register("path_dictionary", V.with_views(V.SQL_RIDES, SQL_RIDE_PATHS) + """
+SELECT array_to_string(path, '>') AS path, CAST(dense_rank() OVER (ORDER BY path) - 1 AS BIGINT) AS path_no,
+       count(*) AS n_runs FROM v_rp GROUP BY v_rp.path""")
+def q_path_dictionary(spark, d):
+    """Every distinct stop list of the rides' runs with its exact number, and how many runs share it."""
+    p = PA.run_paths(V.rides(_events(spark, d)))
+    numbered = PA.exact_path_ids(p, PA.path_dictionary(p))
+    return (numbered.groupBy("path", "path_id").agg(F.count(F.lit(1)).alias("n_runs"))
+            .select(F.array_join("path", ">").alias("path"), bi("path_id").alias("path_no"), bi("n_runs").alias("n_runs")))
+
+
+@register("split_run_edges", SQL_BRIDGE)
+def q_split_run_edges(spark, d):
+    """Pairs, wrap-around and bridge repair by blocks of a run's time."""
+    pairs = SR.consecutive_pairs(TT.delay_stats(_obs(spark, d)))
+    return _edge_out(TT.valid_edges(SR.bridge_repair(pairs, BAD_STOP)))
+
+
+@register("split_run_segments", V.with_views(V.SQL_RIDES) + """
+SELECT edge_id, CAST(trip_id AS BIGINT) AS trip_id, CAST(day_start AS BIGINT) AS day_start,
+       CAST(sum(brk) OVER (PARTITION BY trip_id, day_start ORDER BY dep_sow, edge_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seg,
+       row_number() OVER (PARTITION BY trip_id, day_start ORDER BY dep_sow, edge_id) AS seq
+FROM (SELECT *, CASE WHEN lag(arr_node) OVER w <> dep_node OR lag(arr_sow) OVER w > dep_sow THEN 1 ELSE 0 END AS brk
+      FROM v_rides WINDOW w AS (PARTITION BY trip_id, day_start ORDER BY dep_sow, edge_id)) r""")
+def q_split_run_segments(spark, d):
+    """Connected stretches of every run by blocks of departure time."""
+    s = SR.chain_segments(V.rides(_events(spark, d)))
+    return s.select(bi("edge_id").alias("edge_id"), bi("trip_id").alias("trip_id"), bi("day_start").alias("day_start"),
+                    bi("seg").alias("seg"), bi("seq").alias("seq"))
+
+
 # ------------------------------------------------------------ J1, J2, J4, J5, U2, U3, O4, F10
 
 @register("stop_semi_join", V.with_views(V.SQL_RIDES, V.SQL_JSTOPS) + """
@@ -675,6 +727,19 @@ def q_horizon_edges(spark, d):
                                      bi(F.max("to_t")).alias("last_to_t"))
 
 
+@register("horizon_edges_by_day", SQL_HORIZON + """
+SELECT query_id, count(*) AS n_edges, CAST(min(from_t) AS BIGINT) AS first_from_t,
+       CAST(max(to_t) AS BIGINT) AS last_to_t FROM hh GROUP BY query_id""")
+def q_horizon_edges_by_day(spark, d):
+    """Rides within each query's horizon, from rides stored by departure day."""
+    from transitrisk.operators.transfers import horizon_rides
+    path = DT.write_rides_by_day(_rides(spark, d), scratch_path(spark, "rides-by-day"))
+    q = _depart_q(spark, d)
+    h = horizon_rides(q, orient_rides(DT.rides_needed(spark, path, q, "depart"), "depart"), "depart")
+    return h.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_edges"), bi(F.min("from_t")).alias("first_from_t"),
+                                     bi(F.max("to_t")).alias("last_to_t"))
+
+
 @register("seed_edges", SQL_HORIZON + """
 SELECT query_id, edge_id, CAST(from_t AS BIGINT) AS from_t, CAST(to_t AS BIGINT) AS to_t FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, arr_node, path ORDER BY to_t, from_t, edge_id) AS rn FROM hh) s

@@ -42,9 +42,15 @@ def consecutive_pairs(stats: DataFrame) -> DataFrame:
     nxt = {f"n_{c}": F.coalesce(F.lead(c).over(w), F.first(c).over(whole)) for c in arrival_cols}
     p = s.withColumns({"wrap": F.lead("stop").over(w).isNull(),
                        "pos": F.row_number().over(w), **nxt})
+    return pair_columns(p)
+
+
+def pair_columns(p: DataFrame) -> DataFrame:
+    """The pairs' columns from rows with their place (``pos``, ``wrap``) and the
+    following row's columns under ``n_`` names."""
     day_offset = (F.col("n_rel_day") - F.col("rel_day")
                   + F.when(F.col("wrap"), F.lit(7)).otherwise(F.lit(0)))
-    out = p.select(
+    return p.select(
         *RUN_KEY, "pos", "wrap",
         F.col("stop").alias("dep_node"), F.col("n_stop").alias("arr_node"),
         F.col("week_day").alias("dep_day"), F.col("n_week_day").alias("arr_day"),
@@ -54,9 +60,8 @@ def consecutive_pairs(stats: DataFrame) -> DataFrame:
         duration_minutes("dep_sod", "n_arr_sod", day_offset).alias("delta"),
         F.col("n_mean_delay").alias("mean_delay"), F.col("n_std_delay").alias("std_delay"),
         F.col("n_num_delays").alias("num_delays"),
-        *([F.col("n_delays").alias("delays")] if "delays" in stats.columns else []),
+        *([F.col("n_delays").alias("delays")] if "delays" in p.columns else []),
     )
-    return out
 
 
 def anomalies(pairs: DataFrame) -> DataFrame:

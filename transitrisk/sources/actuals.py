@@ -36,8 +36,9 @@ OBS_COLUMNS = ["trip_id", "stop", "service_date", "day_start", "week_day",
                "arr_sod", "dep_sod", "arrival_delay", "departure_delay"]
 
 
-def read_actuals(spark: SparkSession, path: str) -> DataFrame:
-    """Reads the daily files (glob allowed) as strings and projects/renames.
+def read_actuals(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
+    """Reads the daily files (glob or list allowed) as strings and projects/renames (S3, P1);
+    ``with_file`` adds the name of each row's file.
 
     No schema inference pass: every column is text, as in the source.
     Missing optional columns are filled with nulls. A file whose header does
@@ -48,13 +49,14 @@ def read_actuals(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     raw = reader.option("enforceSchema", False).schema(schema).csv(path)
     present = set(raw.columns)
+    file = [F.col("_metadata.file_path").alias("file")] if with_file else []
     return raw.select(*[
         (F.col(src) if src in present else F.lit(None).cast("string")).alias(dst)
-        for src, dst in ACTUALS_COLUMNS.items()])
+        for src, dst in ACTUALS_COLUMNS.items()], *file)
 
 
-def normalize_actuals(raw: DataFrame, drop_outliers: bool = True) -> DataFrame:
-    """Projected actuals → observations with delays in seconds.
+def normalize_actuals(raw: DataFrame, drop_outliers: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Projected actuals → observations with delays in seconds, and the columns ``keep``.
 
     * a side's delay is null unless that side's status is measured;
     * rows with no measured side, pass-through and cancelled rows are dropped;
@@ -95,4 +97,5 @@ def normalize_actuals(raw: DataFrame, drop_outliers: bool = True) -> DataFrame:
         (sod_of("_dep_t") + F.lit(86400) * F.datediff(F.to_date("_dep_t"), F.to_date("_arr_t"))).alias("dep_sod"),
         F.col("arrival_delay").cast("bigint").alias("arrival_delay"),
         F.col("departure_delay").cast("bigint").alias("departure_delay"),
+        *keep,
     )
