@@ -60,7 +60,7 @@ def test_run_and_registration(spark, table, tmp_path):
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert queries.QUERIES["pipeline"](spark, str(tmp_path)).count() == 0
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k != "pipeline") == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k != "pipeline") == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.QUERIES)
     assert quality.MIN_WORDS == 20 and LOWER[ord("Q")] == ord("q")
 
