@@ -75,3 +75,30 @@ def test_bloom_has_no_false_negatives(spark):
     known = bloom(spark.createDataFrame([(int(x),) for x in h[:2500].view(np.int64)], "k long"), "k")
     found = in_bloom(known, h)
     assert found[:2500].all() and found[2500:].sum() < 50
+
+
+def test_equal_rows_have_one_stand_in(spark):
+    from transitrisk.llm.common import one_of_equals
+    kinds = "doc_id long, text string, source string, lang string, row int, more map<string,int>"
+    rows = [(1, "a b c", "s", "en", i, {"k": i}) for i in range(30)] + [(None, None, None, None, i % 2, None) for i in range(6)]
+    picked = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, kinds).repartition(5)
+        kept = corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()
+        mixed = corpus_pipeline.source_mixing(spark, docs, "").collect()
+        assert len(kept) == 2 and kept[0].asDict().keys() == rows_of(docs)
+        picked.append((sorted(map(str, kept)), sorted(map(str, mixed))))
+        assert len({str(r) for r in mixed if r["doc_id"] == 1}) == 1 and all(r in order for r in map(tuple, kept))
+    assert picked[0] == picked[1]
+    keyed = spark.createDataFrame(rows, kinds).withColumn("k", picked_key())
+    names = [c for c in keyed.columns if c != "k"]
+    assert one_of_equals(keyed, ["k"], names).count() == 2
+
+
+def rows_of(docs):
+    return dict.fromkeys(docs.columns).keys()
+
+
+def picked_key():
+    from pyspark.sql import functions as F
+    return F.coalesce("doc_id", F.lit(-1))

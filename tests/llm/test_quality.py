@@ -72,3 +72,27 @@ def test_one_phrase_does_not_drop_a_long_line(spark, docs):
     hindi = " ".join(f"शब्द{i}" for i in range(30)) + "।"
     got = {r["doc_id"]: r for r in quality.clean_documents(docs([(1, text), (2, hindi)]), keep=("doc_id",)).collect()}
     assert got[1]["kept"] and got[1]["clean_text"] == text and got[2]["kept"] and got[2]["clean_text"] == hindi
+
+
+def test_sql_states_the_line_rules(spark, docs, tmp_path):
+    import duckdb
+
+    from transitrisk.llm import queries
+    lines = ["Please log in or sign in.", "Sign in log in sign in and then six more words of it.", "he will assign in time",
+             "catalog in", "log in_ here", "élog in", "log iné", "Log In", "click here or subscribe to our list of all the many things.",
+             "यह एक लंबा वाक्य है जिसमें दस से अधिक शब्द हैं और अंत में दंड है।", "a b c d e f g h i j k", "a b c d e f g h i j k。",
+             "a b c d e f g h i j k ࠷", "one; two three four five six seven eight nine ten eleven", "## ** %%", "no! no! no!",
+             "A | B | C | D", "A | B | C", "", " \t", "terms of use terms of service.", "terms  of use", "Lorem ipsum dolor."]
+    rng = random.Random(4)
+    rows = [(i, line) for i, line in enumerate(lines)]
+    rows += [(100 + i, "\n".join(rng.choices(lines, k=rng.randrange(1, 9)) + ["Some words that stay, number %d of them." % i] * rng.randrange(4)))
+             for i in range(80)] + [(300, None), (301, ""), (4, "a b\na b"), (4, "a b\na b"), (None, "sign in")]
+    given = docs(rows)
+    given.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cur = con.execute(queries.oracle_sql()["op6_line_cleaning"])
+    names = [c[0] for c in cur.description]
+    got = queries.op6_line_cleaning(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(cur.fetchall(), key=str)
+    assert {r["n_bad_lines"] for r in got} >= {0, 1, 2}

@@ -192,3 +192,12 @@ def renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """Columns under names that clash with none of an operator's own."""
     names = [f"__{i}" for i in range(len(docs.columns))]
     return docs.toDF(*names), names
+
+
+def one_of_equals(rows: DataFrame, key: list[str], names: list[str]) -> DataFrame:
+    """(*key, *names): of rows equal in ``key`` the one whose columns hash least, the same
+    in every run. Such rows meet map-side first, so a row repeated often is not a hot one."""
+    plain = [f"`{n}`" if "map<" not in rows.schema[n].dataType.simpleString() else F.to_json(F.struct(n)) for n in names]
+    seen = [x for c in plain for x in ((F.col(c) if isinstance(c, str) else c).isNull(), c)]
+    tie = F.struct(*[F.xxhash64(F.lit(i), *seen) for i in (3, 4)])
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*names), tie).alias("__row")).select(*key, "__row.*")

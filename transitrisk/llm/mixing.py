@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from transitrisk.llm.common import SPACED_WORD_RE, renamed, row_keys, stored
+from transitrisk.llm.common import SPACED_WORD_RE, one_of_equals, renamed, row_keys, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -233,10 +233,10 @@ def per_row(mixed: DataFrame) -> DataFrame:
 
 def materialize(docs: DataFrame, mixed: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """The mix itself: the documents' own columns, each document as often as it
-    is taken. Equal rows meet map-side first; one of them stands for all."""
+    is taken. Of rows equal in id, source and text one stands for all (see ``one_of_equals``)."""
     _, names = renamed(docs)
-    mine = (docs.select(*row_keys(id_col, source_col, text_col), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
-            .dropDuplicates(["key1", "key2"]))
+    mine = one_of_equals(docs.select(*row_keys(id_col, source_col, text_col),
+                                     *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)]), ["key1", "key2"], names)
     taken = mixed.where("copies > 0").select("key1", "key2", "copies")
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
     return (mine.join(taken, ["key1", "key2"]).select(*names, copy)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,8 +169,12 @@ def _op6_sql() -> str:
     def chars(column, letters):
         return " + ".join(f"(length({column}) - length(replace({column}, '{c}', '')))" for c in letters)
     words = rf"regexp_extract_all({{}}, '{SPACED_WORD_RE}')"
-    phrases = " OR ".join(f"contains(low, '{p}')" for p in quality.BOILERPLATE)
-    marks = " OR ".join(f"contains(line, '{m}')" for m in quality.SENTENCE_MARKS)
+    # every sign that is no letter, digit or underscore is doubled, so that neighbouring phrases need not share one
+    phrase = "|".join(p.replace(" ", "  ") for p in quality.BOILERPLATE)
+    theirs = (r"array_to_string(regexp_extract_all(regexp_replace(low, '([^\pL\pN_])', '\1\1', 'g'), "
+              rf"'(?:^|[^\pL\pN_])({phrase})(?:$|[^\pL\pN_])', 1), ' ')")
+    others = re.sub(r"\\u([0-9A-F]{4})|\\U([0-9A-F]{8})", lambda m: rf"\x{{{m[1] or m[2]}}}", quality.OTHER_SENTENCE_MARKS)
+    marks = f"regexp_matches(line, '[{re.escape(quality.SENTENCE_MARKS)}{others}]')"
     w = quality.WINDOW_WORDS
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -179,7 +185,9 @@ def _op6_sql() -> str:
     judged AS (SELECT rid, line, n, coalesce(n > 0 AND (
                  (({chars('line', quality.SEPARATORS)}) >= 3 AND 4 * ({chars('line', quality.SEPARATORS)}) >= n)
                  OR (n >= 3 AND (({chars('line', quality.SYMBOLS)}) >= n OR ({chars('line', '!')}) >= n))
-                 OR (n >= 10 AND NOT ({marks})) OR {phrases}), false) AS bad FROM lines),
+                 OR (n >= 10 AND NOT {marks})
+                 OR (n_phrase > 0 AND {quality.LINE_WORDS_A_PHRASE_WORD} * n_phrase >= n)), false) AS bad
+               FROM (SELECT *, len(regexp_extract_all({theirs}, '[^ ]+')) AS n_phrase FROM lines)),
     l AS (SELECT rid, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
             count(*) FILTER (bad) AS n_bad_lines, coalesce(sum(n) FILTER (NOT bad), 0) AS n_words_left
           FROM judged GROUP BY rid),

@@ -6,14 +6,20 @@ target URI, date and payload digest, and carry a record id and a block digest
 of their own. The metadata record lists the HTTP status line and headers and
 the page's title and links count; the conversion record holds the text.
 
-Defined results: a null URL or body is empty; a record that is not a response
-or cannot be parsed yields no derivative; repeated responses have equal ids
-and so yield equal derivatives; an empty table yields none.
+Records are kept as a Parquet column (key, record) or as WARC files: whole
+records, one after the other, gzipped, a bounded number to a file.
+
+Defined results: a null URL or body is empty; a null date is ``DATE``; a record
+that is not a response or cannot be parsed yields no derivative, and in an index a
+row with its key alone; a response's id follows from its key, URL, date and payload, so
+equal responses yield equal derivatives and others do not share an id; an empty
+table yields none; a WARC file ends where a record cannot be parsed.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import re
@@ -21,7 +27,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transitrisk.llm.common import stored
@@ -69,23 +75,28 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes] | None:
     return headers, rest[:int(size)]
 
 
-def responses(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", date: str = DATE) -> DataFrame:
-    """(key, record): a response record per page."""
+def responses(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", date_col: str | None = None) -> DataFrame:
+    """(key, record): a response record per page; ``date_col`` holds the time of capture."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, url, page in zip(*(batch[c].to_pylist() for c in ("key", "url", "html"))):
+            for key, url, page, date in zip(*(batch[c].to_pylist() for c in ("key", "url", "html", "date"))):
                 url, body = _one_line(url or ""), (page or "").encode()
                 block = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                          b"Content-Length: %d\r\n\r\n" % len(body)) + body
-                record_id = f"<{uuid.uuid5(NAMESPACE, f'{key} {url}').urn}>"
+                payload = digest(body)
+                record_id = f"<{uuid.uuid5(NAMESPACE, f'{key} {date} {payload} {url}').urn}>"
                 out.append(build_record("response", record_id, [
-                    ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Payload-Digest", digest(body)),
+                    ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Payload-Digest", payload),
                     ("WARC-Block-Digest", digest(block)),
                     ("Content-Type", "application/http; msgtype=response")], block))
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(out, pa.binary())], ["key", "record"])
 
-    src = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    date = F.lit(DATE)
+    if date_col is not None:
+        date = F.coalesce(F.date_format(F.col(date_col).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), date)
+    src = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
+                       date.alias("date"))
     return src.mapInArrow(run, RECORD_SCHEMA)
 
 
@@ -144,14 +155,19 @@ INDEX_SCHEMA = ("key long, record_type string, record_id string, refers_to strin
 
 
 def read_index(records: DataFrame) -> DataFrame:
-    """One row per record, read back from its bytes; the block digest is checked."""
+    """One row per record, read back from its bytes; the block digest is checked. What is
+    no record keeps its key, all else null."""
     names = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, record in zip(batch["key"].to_pylist(), batch["record"].to_pylist()):
-                h, block = parse_record(record)
+                parsed = parse_record(record) if record else None
+                if parsed is None:
+                    rows.append((key, *[None] * (len(names) - 1)))
+                    continue
+                h, block = parsed
                 rows.append((key, h.get("WARC-Type"), h.get("WARC-Record-ID"), h.get("WARC-Refers-To"),
                              h.get("WARC-Target-URI"), h.get("WARC-Date"), h.get("WARC-Source-Payload-Digest"),
                              h.get("WARC-Block-Digest"), digest(block) == h.get("WARC-Block-Digest"), len(block),
@@ -167,3 +183,43 @@ def read_index(records: DataFrame) -> DataFrame:
 def build_derivatives(pages: DataFrame, **kw) -> DataFrame:
     """Pages -> responses -> derivatives, written as one table of records."""
     return stored(derivatives(responses(pages, **kw)), "warc-derivatives")
+
+
+def write_warc(records: DataFrame, path: str, per_file: int = 10_000) -> str:
+    """(key, record) as gzipped WARC files of at most ``per_file`` records each; null records are left out."""
+    # the bytes as they are: a record ends in a line feed, which the writer adds
+    block = F.col("record").substr(F.lit(1), F.length("record") - 1).cast("string")
+    (records.where("record IS NOT NULL").select(block.alias("value"))
+     .write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path))
+    return path
+
+
+def split_records(data: bytes) -> Iterator[bytes]:
+    """The records of a WARC file, found by their stated lengths."""
+    at = 0
+    while at < len(data):
+        head = data.find(EOL + EOL, at)
+        size = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)[ \t]*(?=\r\n|$)", data[at:head]) if head > 0 else None
+        if size is None or not data.startswith(b"WARC/", at):
+            return
+        end = head + 4 + int(size[1])
+        if data[end:end + 4] != EOL + EOL:
+            return
+        yield data[at:end + 4]
+        at = end + 4
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(key, record) of WARC files, plain or gzipped (also a record at a time): the key is
+    the record's place in its file. A task holds one file."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = batch["content"][i].as_py()
+                found = list(split_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
+                for k in range(0, len(found), 1000):
+                    part = found[k:k + 1000]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part)), pa.int64()), pa.array(part, pa.binary())],
+                                                     ["key", "record"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SCHEMA)
