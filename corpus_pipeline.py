@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transitrisk.llm import decontam, mixing, quality, simhash, tokenfile
-from transitrisk.llm.common import renamed, row_keys, stored, table
+from transitrisk.llm.common import one_of_equals, renamed, row_keys, stored, table
 from transitrisk.session import configure
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go; documents the rules reject go. n_chars follows the cleaned text."""
+    """Failing lines go; documents the rules reject go. n_chars follows the cleaned text.
+
+    Null and empty texts have no words and go; repeated rows are judged alike; other
+    columns, nulls among them, pass as they are; an empty table yields none."""
     configure(spark)
     plain, names = renamed(docs)
     at = dict(zip(docs.columns, names))
@@ -30,7 +33,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest id (then text key)."""
+    """One document of each group stays: that of the smallest id (null ids last), then of
+    the smallest key of its text.
+
+    Of rows equal in id and text, one stays whatever their other columns hold: that whose
+    columns hash least. Null and empty texts are one group; an empty table yields none."""
     configure(spark)
     keyed = docs.select("doc_id", "text", *row_keys("doc_id", "text"))
     groups = simhash.near_duplicates(keyed, keep=("key1", "key2"))
@@ -38,13 +45,16 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     stay = stored(groups.groupBy("root").agg(first).select("first.key1", "first.key2"), "dedup-stay")
     plain, names = renamed(docs)
     at = dict(zip(docs.columns, names))
-    rows = plain.select(*row_keys(at["doc_id"], at["text"]), *names).dropDuplicates(["key1", "key2"])
+    rows = one_of_equals(plain.select(*row_keys(at["doc_id"], at["text"]), *names), ["key1", "key2"], names)
     return (rows.join(stay, ["key1", "key2"], "left_semi")
             .select(*[F.col(n).alias(c) for c, n in at.items()]))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go.
+
+    Rows equal in id and text share a verdict. A null or empty text has no words and is
+    never contaminated; without documents or benchmark items nothing goes."""
     configure(spark)
     judged = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
     gone = stored(judged.where("contaminated").select("key1", "key2").distinct(), "decontam-gone")
@@ -55,13 +65,18 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources meet their target words."""
+    """Documents repeated or left out so that sources meet their target words.
+
+    A null source is one of its own, the last. Rows equal in id, source and text are taken
+    as one row's copies, that whose columns hash least. Documents without words are
+    taken by their source's rate; an empty table yields none."""
     configure(spark)
     return mixing.materialize(docs, mixing.mix(docs))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token file of the mix, read back: one row per document taken."""
+    """Token file of the mix, read back: one row per document taken, in ascending doc_id
+    (nulls first). A null or empty text is its end id alone; an empty table yields none."""
     configure(spark)
     return tokenfile.read_tokens(tokenfile.write_tokens(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
