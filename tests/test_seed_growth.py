@@ -51,7 +51,9 @@ def test_flags_do_not_shuffle_the_edges_for_a_few_stops(spark):
     stops = spark.createDataFrame([("A", 8.0, 47.0), ("B", 8.1, 47.0)], "stop string, lon double, lat double").groupBy("stop").agg(
         F.min("lon").alias("lon"), F.min("lat").alias("lat"))
     df = spark.range(10).select(F.lit("A").alias("f"), F.lit("B").alias("t"), F.lit("B").alias("g"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for stops of unknown size
     with plain_plans(spark):
         flags = direction_flags(df, stops, "f", "t", "g")
         assert "SortMergeJoin" not in flags._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [r.nice for r in flags.collect()] == [True] * 10
