@@ -57,3 +57,15 @@ def test_table_keeps_the_pairs_up_to_the_first_safe_arrival(spark):
                 break
     key = lambda r: tuple((v is None, v) for v in r)
     assert sorted(table(True), key=key) == sorted(want, key=key) and len(want) > 300
+
+
+def test_pairs_are_the_same_in_slices_and_spread(spark, monkeypatch):
+    rows = [(i % 4, "ABC"[i % 3], "BCA"[i % 3], 36000 + 7 * i, 36300 + 7 * i, "g") for i in range(200)]
+    tt = timetable(spark, rows)
+    one = transfers.transfer_table(tt.rides, None, tt.grids, cutoff=False)
+    monkeypatch.setattr(transfers, "PAIRS_PER_TASK", 100)
+    cut = transfers.transfer_table(tt.rides, None, tt.grids, cutoff=False)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, one.collect())) and one.count() > 500
+    with plain_plans(spark):
+        made = transfers.transfer_table(tt.rides, None, tt.grids, cutoff=False).groupBy(F.spark_partition_id()).count()
+        assert made.count() > 4 and made.agg(F.max("count")).first()[0] < one.count() / 3
