@@ -56,6 +56,16 @@ def test_forgetting_changes_nothing(tokenizer, monkeypatch):
     check(tokenizer, TEXTS * 2)
 
 
+def test_a_piece_is_remembered_when_met_again(tokenizer):
+    import pyarrow as pa
+    e = encoding.Encoder(encoding.vocabulary_path())
+    for text, known in (("one two, 3x", set()), ("two one", set()), (" two 3x", {" 3x"})):
+        ids, starts = e.column_ids(pa.array([text]))
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and not e.known_ids.learned
+        assert set(e.known_ids) >= known
+    assert "one" not in e.known_ids and not e.known_ids.older
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
 @pytest.mark.parametrize("high", [1, 2, 50_257, 2 ** 32])
 @pytest.mark.parametrize("percentile", [0, 50, 90, 100])

@@ -23,6 +23,10 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Pieces a worker remembers in each of two generations: when the younger is full it
 #: becomes the older, and what is not used again goes (results do not change).
 MEMORY_PIECES = 400_000
+#: A piece is remembered when it is asked for again: most pieces of a long table are met once.
+#: Bits that mark the pieces asked for, and how many are marked before all are cleared.
+SEEN_BITS = 1 << 23
+MOST_SEEN = 1 << 20
 LONGEST_PIECE = 64
 
 _PIECES = re.compile(r"[ \n]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,!?;: \n]|\Z)|[ \n]*[^ \n]+|[ \n]+\Z")
@@ -133,16 +137,32 @@ class _Memory(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.learned = encode, {}, {}
+        self.seen, self.n_seen = bytearray(SEEN_BITS // 8), 0
 
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
+        if found is not None:
+            self.keep(piece, found)
+            return found
+        found = self.learned.get(piece)
         if found is None:
             found = self.encode(piece)
-        if len(piece) <= LONGEST_PIECE:
+        if len(piece) <= LONGEST_PIECE and self.again(piece):
             self.keep(piece, found)
         return found
 
+    def again(self, piece: str) -> bool:
+        """Whether the piece was asked for before, as far as the marks tell."""
+        at, bit = divmod(hash(piece) % SEEN_BITS, 8)
+        if self.seen[at] >> bit & 1:
+            return True
+        if self.n_seen >= MOST_SEEN:
+            self.seen, self.n_seen = bytearray(SEEN_BITS // 8), 0
+        self.seen[at] |= 1 << bit
+        self.n_seen += 1
+        return False
+
     def keep(self, piece: str, found: bytes) -> None:
         if len(self) >= MEMORY_PIECES:
             self.older = dict(self)
@@ -172,6 +192,7 @@ class Encoder:
         distinct = pieces.dictionary.to_pylist()
         self._learn(distinct)
         known = list(map(self.known_ids.__getitem__, distinct))
+        self.known_ids.learned = {}
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         which = pieces.indices.to_numpy()
         ids = _gathered(np.frombuffer(b"".join(known), np.uint32), sizes, which)
@@ -196,7 +217,7 @@ class Encoder:
                     continue  # each is encoded alone when it is asked for
                 ids = np.array(found.ids, np.uint32).tobytes()
                 for piece, lo, hi in zip(some, (4 * first[step - 1::step]).tolist(), (4 * ends[step - 1::step]).tolist()):
-                    memory.keep(piece, ids[lo:hi])
+                    memory.learned[piece] = ids[lo:hi]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of every text."""

@@ -37,7 +37,7 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 18
 END_ID = 0
 #: Bytes of texts encoded at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def pack_segment(ids: np.ndarray, block_ids: int = BLOCK_IDS, percentile: int = PERCENTILE) -> bytes:
