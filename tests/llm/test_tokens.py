@@ -66,6 +66,29 @@ def test_a_piece_is_remembered_when_met_again(tokenizer):
     assert "one" not in e.known_ids and not e.known_ids.older
 
 
+def test_remembered_pieces_take_little_memory():
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+    e, n = encoding.Encoder(encoding.vocabulary_path()), 40_000
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(100)) for i in range(n // 100)])
+    e.column_ids(pa.array(["a b"]))
+    gc.collect()
+    tracemalloc.start()
+    try:
+        arrow = pa.total_allocated_bytes()
+        want = e.column_ids(texts)[0].tolist()
+        for _ in range(2):
+            assert e.column_ids(texts)[0].tolist() == want
+        del want
+        gc.collect()
+        used = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert len(list(e.known_ids)) >= n // 2 and used < 80 * n  # some 200 bytes a piece as Python objects
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
 @pytest.mark.parametrize("high", [1, 2, 50_257, 2 ** 32])
 @pytest.mark.parametrize("percentile", [0, 50, 90, 100])

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from transitrisk.llm.common import utf8
+from transitrisk.llm.common import utf8, word_hashes
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces a worker remembers in each of two generations: when the younger is full it
@@ -126,9 +127,9 @@ def _other_space(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` (of ``sizes``, one after the other) that ``which`` names, joined."""
-    first = np.cumsum(sizes) - sizes
+    first = np.cumsum(sizes, dtype=np.int64) - sizes
     n = sizes[which]
-    end = np.cumsum(n)
+    end = np.cumsum(n, dtype=np.int64)
     return flat[np.repeat(first[which] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
 
 
@@ -137,7 +138,7 @@ class _Memory(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.older, self.learned = encode, {}, {}
+        self.encode, self.older = encode, {}
         self.seen, self.n_seen = bytearray(SEEN_BITS // 8), 0
 
     def __missing__(self, piece: str) -> bytes:
@@ -145,9 +146,7 @@ class _Memory(dict):
         if found is not None:
             self.keep(piece, found)
             return found
-        found = self.learned.get(piece)
-        if found is None:
-            found = self.encode(piece)
+        found = self.encode(piece)
         if len(piece) <= LONGEST_PIECE and self.again(piece):
             self.keep(piece, found)
         return found
@@ -170,6 +169,71 @@ class _Memory(dict):
         self[piece] = found
 
 
+class _Pieces:
+    """Pieces and their ids in a few long arrays: some 35 bytes a piece, where a string and
+    a bytes object in a dictionary take 200 and lie scattered over the worker's memory."""
+
+    def __init__(self, texts: pa.Array | None = None, ids=None, sizes=None):
+        self.texts = pa.array([], pa.large_string()) if texts is None else texts
+        self.ids = np.zeros(0, np.uint32) if ids is None else ids
+        self.sizes = np.zeros(0, np.int32) if sizes is None else sizes
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.texts.to_pylist())
+
+    def find(self, texts: pa.Array) -> np.ndarray:
+        """The place of each text, -1 for an unknown one."""
+        return pc.fill_null(pc.index_in(texts, value_set=self.texts), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def joined(self, other: "_Pieces") -> "_Pieces":
+        return _Pieces(pa.concat_arrays([self.texts, other.texts]), np.concatenate([self.ids, other.ids]),
+                       np.concatenate([self.sizes, other.sizes]))
+
+    def taken(self, which: np.ndarray) -> "_Pieces":
+        return _Pieces(self.texts.take(pa.array(which)), _gathered(self.ids, self.sizes, which), self.sizes[which])
+
+
+class _KnownPieces:
+    """The pieces a worker remembers, in two generations. ``learned`` holds those encoded for
+    the batch at hand."""
+
+    def __init__(self):
+        self.young, self.older, self.learned = _Pieces(), _Pieces(), {}
+        self.seen, self.n_seen = np.zeros(SEEN_BITS, bool), 0
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.young)
+
+    def find(self, texts: pa.Array) -> np.ndarray:
+        """The place of each text, counted through the younger, then the older; -1 for an unknown one."""
+        at = self.young.find(texts)
+        rest = np.flatnonzero(at < 0)
+        old = self.older.find(texts.take(pa.array(rest)))
+        at[rest] = np.where(old < 0, -1, old + len(self.young))
+        return at
+
+    def again(self, texts: pa.Array) -> np.ndarray:
+        """Whether each text was asked for before, as far as the marks tell."""
+        data, offsets = utf8(texts)
+        at = np.zeros(len(texts), np.int64)
+        filled = np.flatnonzero(np.diff(offsets))
+        at[filled] = (word_hashes(data, offsets[filled], offsets[filled + 1]) % np.uint64(SEEN_BITS)).astype(np.int64)
+        found = self.seen[at]
+        if self.n_seen >= MOST_SEEN:
+            self.seen[:], self.n_seen = False, 0
+        self.seen[at] = True
+        self.n_seen += int((~found).sum())
+        return found
+
+    def keep(self, more: _Pieces) -> None:
+        if len(self.young) + len(more) > MEMORY_PIECES:
+            self.young, self.older = _Pieces(), self.young
+        self.young = self.young.joined(more.taken(np.arange(MEMORY_PIECES)) if len(more) > MEMORY_PIECES else more)
+
+
 class Encoder:
     """Encodes texts; a piece of text is given to the library once."""
 
@@ -177,7 +241,7 @@ class Encoder:
         self.tokenizer = _load(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known_ids, self.known_spans = _Memory(self._ids_of), _Memory(self._spans_of)
+        self.known_ids, self.known_spans = _KnownPieces(), _Memory(self._spans_of)
 
     def column_ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of a column's texts, one after the other, and where each text's begin (and
@@ -189,21 +253,37 @@ class Encoder:
             whole |= pc.fill_null(pc.match_substring(column, special), False).to_numpy(zero_copy_only=False)
         cuts = piece_cuts(data, offsets, whole)
         pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        self._learn(distinct)
-        known = list(map(self.known_ids.__getitem__, distinct))
-        self.known_ids.learned = {}
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        which = pieces.indices.to_numpy()
-        ids = _gathered(np.frombuffer(b"".join(known), np.uint32), sizes, which)
-        before = np.concatenate([[0], np.cumsum(sizes[which])])
+        known, distinct = self.known_ids, pieces.dictionary
+        at = known.find(distinct)
+        old = np.flatnonzero(at >= len(known.young))
+        new = np.flatnonzero(at < 0)
+        at[new] = len(known.young) + len(known.older) + np.arange(len(new))
+        found = self._encoded(distinct.take(pa.array(new)))
+        every = known.young.joined(known.older).joined(found)
+        which = at[pieces.indices.to_numpy()]
+        ids = _gathered(every.ids, every.sizes, which)
+        before = np.concatenate([[0], np.cumsum(every.sizes[which], dtype=np.int64)])
+        short = np.flatnonzero(pc.utf8_length(found.texts).to_numpy() <= LONGEST_PIECE)
+        met = short[known.again(found.texts.take(pa.array(short)))]
+        known.keep(every.taken(np.concatenate([at[old], at[new[met]]])))
+        pa.default_memory_pool().release_unused()  # else each worker holds on to what its largest batch took
         return ids, before[np.searchsorted(cuts, offsets)]
 
+    def _encoded(self, texts: pa.Array) -> _Pieces:
+        """Pieces met for the first time or forgotten, with their ids."""
+        pieces = texts.to_pylist()
+        self._learn(pieces)
+        learned = self.known_ids.learned
+        found = [learned[p] if p in learned else self._ids_of(p) for p in pieces]
+        learned.clear()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return _Pieces(texts, np.frombuffer(b"".join(found), np.uint32), sizes.astype(np.int32))
+
     def _learn(self, pieces: list[str]) -> None:
         """Encodes the unknown words of a batch a thousand at a time: a word with its space is
         a pre-token of its own, and so are a bare word and the line feed set before it here."""
-        memory = self.known_ids
-        new = [p for p in pieces if p not in memory and p not in memory.older and len(p) <= LONGEST_PIECE]
+        learned = self.known_ids.learned
+        new = [p for p in pieces if len(p) <= LONGEST_PIECE]
         for pattern, between in ((_SPACED_WORD, ""), (_BARE_WORD, "\n")):
             words = list(filter(pattern.match, new))
             for i in range(0, len(words), 1000):
@@ -217,12 +297,12 @@ class Encoder:
                     continue  # each is encoded alone when it is asked for
                 ids = np.array(found.ids, np.uint32).tobytes()
                 for piece, lo, hi in zip(some, (4 * first[step - 1::step]).tolist(), (4 * ends[step - 1::step]).tolist()):
-                    memory.learned[piece] = ids[lo:hi]
+                    learned[piece] = ids[lo:hi]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of every text."""
-        known = self.known_ids.__getitem__
-        return [np.frombuffer(b"".join(map(known, self._pieces(t))), np.uint32) for t in texts]
+        ids, starts = self.column_ids(pa.array(texts, pa.large_string()))
+        return [ids[a:b] for a, b in zip(starts, starts[1:])]
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
         """(n, 2) character offsets of every text's tokens, in order."""
