@@ -288,23 +288,32 @@ def _walk_legs(trail: F.Column) -> F.Column:
 
 
 def _with_legs(best: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds ``legs``, the path in search order, by following the pointers back from
-    the answers (J14): a join per ride of the longest answer."""
+    """(query_id, T, best.prob, legs): ``legs`` is the path in search order, found by following the
+    pointers back from the answers (J14): a join per ride of the longest answer. Written once, so
+    that no reader follows them again and nothing of it stays on the executors."""
     ridden = (labels.where(F.col("links") == 0)
               .select("query_id", F.col("edge_id").alias("_edge"), F.col("best.board").alias("_board"),
                       F.col("best.before").alias("_before"), F.col("best.via").alias("_via")))
     # only the labels of answered queries can be on a path; one is looked up per query and ride
-    ridden, _ = write_counted(ridden.join(best.select("query_id"), "query_id", "left_semi").withColumnRenamed("query_id", "_query"),
-                              "search-pointers")
-    rides = best.agg(F.max(-F.col("best.nrn"))).first()[0] or 0
-    x = best.withColumns({"legs": _walk_legs(F.col("trail")), "_at": F.when(~F.col("virtual"), F.col("edge_id"))})
+    found = best.agg(F.max(-F.col("best.nrn")).alias("rides"), F.count(F.lit(1)).alias("n")).first()
+    rides, answered = found["rides"] or 0, best.select("query_id")
+    answered = F.broadcast(answered) if found["n"] <= BROADCAST_QUERIES else answered
+    ridden = ridden.join(answered, "query_id", "left_semi").withColumnRenamed("query_id", "_query")
+    x = best.select("query_id", "T", F.struct("best.prob").alias("best"), _walk_legs(F.col("trail")).alias("legs"),
+                    F.when(~F.col("virtual"), F.col("edge_id")).alias("_at"))
+    if rides:
+        # the pointers are dealt once: a step moves the answers alone
+        with shuffles_removed(best.sparkSession):
+            ridden = dealt(ridden, "_query", "_edge")
     for _ in range(rides):
         ride = F.array(ride_leg(F.col("_board"), F.col("_at")))
         x = (x.join(ridden, (F.col("query_id") == F.col("_query")) & (F.col("_at") == F.col("_edge")), "left")
              .withColumns({"legs": F.when(F.col("_edge").isNull(), F.col("legs"))
                            .otherwise(F.concat(_walk_legs(F.col("_via")), ride, F.col("legs"))), "_at": F.col("_before")})
              .drop("_query", "_edge", "_board", "_before", "_via"))
-    return x.drop("_at")
+    out, _ = write_counted(x.drop("_at"), "search-paths")
+    ridden.unpersist()
+    return out
 
 
 def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(),
@@ -382,6 +391,7 @@ def plan(queries: DataFrame, tt: Timetable, params: SearchParams = SearchParams(
         itinerary = itins[0]
         for it in itins[1:]:
             itinerary = itinerary.unionByName(it)
+        itinerary, _ = write_counted(itinerary, "search-itinerary")
     else:
         itinerary = queries.sparkSession.createDataFrame([], ITINERARY_SCHEMA)
     return summary, itinerary
@@ -464,6 +474,7 @@ def itinerary_stops(edges: DataFrame, stops: DataFrame) -> DataFrame:
     """Stop-wise table (W7, J9): every stop of the path with its arrival and
     departure, the first without arrival and the last without departure, and
     coordinates. (query_id, pos, stop, arr_sow, dep_sow, arr_clock, dep_clock, lon, lat)"""
+    edges, _ = write_counted(edges, "itinerary-edges")  # read twice
     w = Window.partitionBy("query_id").orderBy("step")
     left = edges.select("query_id", F.col("step").alias("pos"), F.col("dep_node").alias("stop"),
                         F.lag("arr_sow").over(w).alias("arr_sow"), "dep_sow")
