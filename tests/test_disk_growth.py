@@ -1,8 +1,11 @@
 """Rows that plans shuffle do not grow with the pairs they make."""
 
+from pyspark.sql import functions as F
+
 from tests.growth import plain_plans
 from tests.test_seed_growth import ASKED, oriented
 from transitrisk.operators.transfers import seed_rides
+from transitrisk.plans.journeys import direction_flags
 
 
 def shuffled_rows(df):
@@ -28,3 +31,11 @@ def test_first_rides_are_not_shuffled_for_every_query(spark):
     with plain_plans(spark):
         assert shuffled_rows(first_rides(spark)) < 3000  # 46,350 before
     assert first_rides(spark).count() == 22500
+
+
+def test_flags_of_first_rides_are_not_shuffled_for_every_query(spark):
+    stops = spark.createDataFrame([("A", 8.0, 47.0), ("B", 8.1, 47.0)], "stop string, lon double, lat double")
+    flags = direction_flags(first_rides(spark), stops, "from_node", "to_node", "target")
+    with plain_plans(spark):
+        assert shuffled_rows(flags) < 3000
+    assert [tuple(r) for r in flags.groupBy("nice").agg(F.count(F.lit(1))).collect()] == [(True, 22500)]
