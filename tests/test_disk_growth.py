@@ -85,3 +85,18 @@ def test_the_pairs_of_a_cut_table_are_not_shuffled(spark):
         table = transfers.transfer_table(tt.rides, None, law)
         assert shuffled_rows(table) < 2500
     assert table.count() == 3600
+
+
+def pairs_of_a_day(spark):
+    """3600 pairs of rides and rides that leave within a day of them."""
+    rows = [(i, "A", "B", 30000 + i, 30060 + i, "g") for i in range(60)] + [(100 + i, "B", "C", 36000 + i, 36060 + i, "g") for i in range(60)]
+    tt = timetable(spark, rows)
+    walks = spark.createDataFrame([("B", "B", 60, "X")], "dep_node string, arr_node string, walk_s int, prev_node string")
+    return lambda walk: transfers.transfer_table(tt.rides, walks if walk else None, tt.grids.where("dist_id = 'g'"), direct=not walk, cutoff=False)
+
+
+def test_rides_are_not_shuffled_for_every_hour_of_a_day(spark):
+    table = pairs_of_a_day(spark)
+    with plain_plans(spark):
+        assert shuffled_rows(table(False)) < 1500
+    assert table(False).count() == 3600
