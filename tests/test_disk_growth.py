@@ -12,19 +12,27 @@ from transitrisk.operators.transfers import seed_rides
 from transitrisk.plans.journeys import direction_flags
 
 
-def shuffled_rows(df):
-    """Runs the query; the rows that all exchanges of its plan wrote."""
+def counted(df, name, kind=""):
+    """Runs the query; the sum of a metric over its plan's nodes of a kind."""
     qe = df._jdf.queryExecution()
     qe.toRdd().count()
     rows, todo = 0, [qe.executedPlan()]
     while todo:
         node = todo.pop()
-        metric = node.metrics().get("shuffleRecordsWritten")
-        rows += metric.get().value() if metric.isDefined() else 0
+        metric = node.metrics().get(name)
+        rows += metric.get().value() if metric.isDefined() and kind in node.nodeName() else 0
         todo += [node.children().apply(i) for i in range(node.children().size())]
     return rows
 
 
+def shuffled_rows(df):
+    return counted(df, "shuffleRecordsWritten")
+
+
+def joined_rows(df):
+    return counted(df, "numOutputRows", "Join")
+
+
 def first_rides(spark):
     """150 queries at a stop with 150 groups of one ride."""
     sr = oriented(spark, [(i, "A", "B", 36000 + i, 36600 + i) for i in range(150)])
@@ -100,3 +108,10 @@ def test_rides_are_not_shuffled_for_every_hour_of_a_day(spark):
     with plain_plans(spark):
         assert shuffled_rows(table(False)) < 1500
     assert table(False).count() == 3600
+
+
+def test_a_pair_is_joined_to_its_probability_once(spark):
+    table = pairs_of_a_day(spark)
+    with plain_plans(spark):
+        assert joined_rows(table(True)) < 8000  # a pair made, bounds and points looked up before
+    assert table(True).count() == 3600
