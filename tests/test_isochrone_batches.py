@@ -3,9 +3,11 @@
 import os
 import random
 
+import pytest
+
 from tests.test_transfer_growth import timetable
 from transitrisk.plans import isochrones as I
-from transitrisk.session import ensure_checkpoint_dir
+from transitrisk.session import ensure_checkpoint_dir, scratch_removed, write_counted
 
 
 def folders(spark):
@@ -36,3 +38,16 @@ def check(spark, monkeypatch, mode):
 
 def test_batches_find_the_same_and_leave_results_alone(spark, monkeypatch):
     check(spark, monkeypatch, "depart")
+
+
+def test_batches_backward_find_the_same_and_leave_results_alone(spark, monkeypatch):
+    check(spark, monkeypatch, "arrive")
+
+
+def test_tables_written_for_a_batch_go_with_it(spark):
+    before = folders(spark)
+    with pytest.raises(ValueError), scratch_removed(spark):
+        write_counted(spark.range(3), "batch-gone")
+        part, n = write_counted(spark.range(4), "batch-kept", kept=True)
+        raise ValueError
+    assert n == part.count() == 4 and [x.rsplit("-", 1)[0] for x in folders(spark) - before] == ["batch-kept"]
