@@ -6,7 +6,9 @@ import random
 import pytest
 
 from tests.test_transfer_growth import timetable
+from transitrisk.operators.transfers import SearchParams
 from transitrisk.plans import isochrones as I
+from transitrisk.plans.journeys import build_timetable
 from transitrisk.session import ensure_checkpoint_dir, scratch_removed, write_counted
 
 
@@ -51,3 +53,15 @@ def test_tables_written_for_a_batch_go_with_it(spark):
         part, n = write_counted(spark.range(4), "batch-kept", kept=True)
         raise ValueError
     assert n == part.count() == 4 and [x.rsplit("-", 1)[0] for x in folders(spark) - before] == ["batch-kept"]
+
+
+def test_a_mode_is_prepared_when_it_is_searched(spark):
+    stops = spark.createDataFrame([("A", 8.0, 47.0), ("B", 8.1, 47.0)], "stop string, lon double, lat double")
+    laws = spark.createDataFrame([("g", 1.0, 0.0, 30.0)], "dist_id string, shape double, loc double, scale double")
+    before = folders(spark)
+    tt = build_timetable(spark, asked(spark)[0].rides, stops, laws)
+    made = folders(spark) - before
+    kinds = [x for top in made for x in os.listdir(f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/{top}") if x.startswith("kinds")]
+    assert len(made) == 1 and kinds == []  # both modes were written before
+    tt.prepared("arrive", SearchParams())
+    assert [x.rsplit("-", 1)[0] for x in folders(spark) - before - made] == ["timetable-kinds"] and len(tt._prepared) == 1
